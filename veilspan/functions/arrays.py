@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +17,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def count(values: Column) -> Column:
-    return F.size(values)
+def jvm_id() -> int:
+    """Identifies the JVM that built columns belong to."""
+    return id(SparkContext._gateway)
 
 
 def _fold(values: Column, first: Column, combine: Callable[[Column, Column], Column]) -> Column:

@@ -34,22 +34,20 @@ def gaps_and_matches(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), woven).otherwise(marked)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start int, value string>> of all matches of ``pattern``, in order."""
-
-    def located(parts: Column) -> Column:
-        starts = sums_before(F.transform(parts, lambda p: F.length(p)))
-        spans = F.zip_with(
-            parts,
-            starts,
-            lambda p, s: F.struct(s.alias("start"), p.alias("value")),
-        )
-        return F.filter(spans, lambda x, i: (i % 2 == 1) & (x["value"] != ""))
+def located(parts: Column) -> Column:
+    """array<struct<start int, value string>> of the matches in ``gaps_and_matches``, in order."""
 
-    return let(
-        gaps_and_matches(text, pattern),
-        lambda parts: F.when(F.size(parts) > 1, located(parts)).otherwise(F.expr(NO_SPANS)),
-    )
+    def spans(ps: Column) -> Column:
+        starts = sums_before(F.transform(ps, lambda p: F.length(p)))
+        pairs = F.zip_with(ps, starts, lambda p, s: F.struct(s.alias("start"), p.alias("value")))
+        return F.filter(pairs, lambda x, i: (i % 2 == 1) & (x["value"] != ""))
+
+    return let(parts, lambda ps: F.when(F.size(ps) > 1, spans(ps)).otherwise(F.expr(NO_SPANS)))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """All matches of ``pattern`` as array<struct<start int, value string>>."""
+    return located(gaps_and_matches(text, pattern))
 
 
 def last_start(text: Column, classes: Sequence[str], prefix: str) -> Column:

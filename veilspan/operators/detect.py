@@ -3,71 +3,109 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan import schemas
-from veilspan.functions.spans import NO_SPANS, match_spans, spans_with_ahead
+from veilspan.functions.arrays import jvm_id
+from veilspan.functions.spans import gaps_and_matches, located, spans_with_ahead
 from veilspan.functions.words import name_spans
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, PERSON_SCORE, Recognizer, RecognizerSet
 
 NO_FINDINGS = f"cast(array() as {schemas.FINDINGS.simpleString()})"
 
 
-def as_findings(spans: Column, entity: str, pattern_name: str, score: float, priority: int) -> Column:
-    """Attach a recognizer's constants to its spans."""
+def worth_matching(text: Column, r: Recognizer, recognizers: RecognizerSet) -> Column | None:
+    """The cheap test a text must pass before the full pattern runs."""
+    if r.needs_text is not None and "i" not in recognizers.flags:
+        return F.contains(text, F.lit(r.needs_text))
+    needed = r.needs_regex or r.needs_text
+    return None if needed is None else text.rlike(recognizers.prefix + needed)
+
+
+def _tagged(r: Recognizer, priority: int, **payload: Column) -> Column:
+    """A recognizer's constants beside what it found in this text."""
+    return F.struct(
+        F.lit(-float(r.score)).alias("neg_score"),
+        F.lit(priority).alias("priority"),
+        F.lit(r.entity).alias("entity"),
+        F.lit(r.pattern_name).alias("pattern_name"),
+        *[column.alias(name) for name, column in payload.items()],
+    )
+
+
+def _findings(tag: Column, spans: Column) -> Column:
     return F.transform(
         spans,
         lambda x: F.struct(
             x["start"].alias("start"),
             (-(x["start"] + F.length(x["value"]))).alias("neg_end"),
-            F.lit(-float(score)).alias("neg_score"),
-            F.lit(priority).alias("priority"),
-            F.lit(entity).alias("entity"),
-            F.lit(pattern_name).alias("pattern_name"),
+            tag["neg_score"].alias("neg_score"),
+            tag["priority"].alias("priority"),
+            tag["entity"].alias("entity"),
+            tag["pattern_name"].alias("pattern_name"),
             x["value"].alias("value"),
         ),
     )
 
 
-def recognizer_spans(text: Column, r: Recognizer, recognizers: RecognizerSet) -> Column:
-    prefix = recognizers.prefix
-    pattern = prefix + r.regex
-    if r.needs_ahead:
-        spans = spans_with_ahead(text, pattern, r.needs_ahead, prefix, r.scope)
-    else:
-        spans = match_spans(text, pattern)
-    if r.needs_text is not None and "i" not in recognizers.flags:
-        worth = F.contains(text, F.lit(r.needs_text))
-    elif r.needs_text is not None or r.needs_regex is not None:
-        worth = text.rlike(prefix + (r.needs_regex or r.needs_text))
-    else:
-        return spans
-    return F.when(worth, spans).otherwise(F.expr(NO_SPANS))
+def _by_test(text: Column, recognizers: RecognizerSet, build) -> Column:
+    """build(recognizer) for all, with recognizers that share a test behind one CASE."""
+    groups: dict[tuple, list[Recognizer]] = {}
+    for r in recognizers:
+        groups.setdefault((r.needs_text, r.needs_regex), []).append(r)
+    arrays = []
+    for members in groups.values():
+        worth = worth_matching(text, members[0], recognizers)
+        tagged = F.array(*[build(r) for r in members])
+        arrays.append(tagged if worth is None else F.when(worth, tagged))
+    return F.flatten(F.array_compact(F.array(*arrays)))
+
+
+def _build(text: Column, recognizers: RecognizerSet, names: Sequence[str]) -> Column:
+    def with_parts(r: Recognizer) -> Column:
+        parts = gaps_and_matches(text, recognizers.prefix + r.regex)
+        return _tagged(r, recognizers.priority(r.entity), parts=parts)
+
+    def with_spans(r: Recognizer) -> Column:
+        pattern = recognizers.prefix + r.regex
+        spans = spans_with_ahead(text, pattern, r.needs_ahead, recognizers.prefix, r.scope)
+        return _tagged(r, recognizers.priority(r.entity), spans=spans)
+
+    plain = RecognizerSet([r for r in recognizers if not r.needs_ahead], recognizers.flags, recognizers.entities)
+    ahead = RecognizerSet([r for r in recognizers if r.needs_ahead], recognizers.flags, recognizers.entities)
+    found = []
+    if len(plain):
+        # Offsets are worked out by one expression over whichever patterns matched.
+        matched = F.filter(_by_test(text, plain, with_parts), lambda p: F.size(p["parts"]) > 1)
+        found.append(F.transform(matched, lambda p: _findings(p, located(p["parts"]))))
+    if len(ahead):
+        found.append(F.transform(_by_test(text, ahead, with_spans), lambda p: _findings(p, p["spans"])))
+    if names:
+        person = Recognizer("PERSON", "name_list", "", PERSON_SCORE)
+        tag = _tagged(person, recognizers.priority("PERSON"), spans=name_spans(text, names))
+        found.append(F.transform(F.array(tag), lambda p: _findings(p, p["spans"])))
+    if not found:
+        return F.expr(NO_FINDINGS)
+    return F.array_sort(F.flatten(F.concat(*found)))
+
+
+@lru_cache(maxsize=128)
+def _cached(jvm: int, text: str, recognizers: RecognizerSet, names: tuple[str, ...]) -> Column:
+    return _build(F.col(text), recognizers, names)
 
 
 def findings_array(
-    text: Column,
-    recognizers: RecognizerSet = DEFAULT_RECOGNIZERS,
-    names: Sequence[str] = (),
+    text: str, recognizers: RecognizerSet = DEFAULT_RECOGNIZERS, names: Sequence[str] = ()
 ) -> Column:
-    """All raw findings of a text as one array, in report order, before any resolution."""
-    found = [
-        as_findings(
-            recognizer_spans(text, r, recognizers), r.entity, r.pattern_name, r.score, recognizers.priority(r.entity)
-        )
-        for r in recognizers
-    ]
-    if names:
-        found.append(
-            as_findings(
-                name_spans(text, names), "PERSON", "name_list", PERSON_SCORE, recognizers.priority("PERSON")
-            )
-        )
-    if not found:
-        return F.expr(NO_FINDINGS)
-    return F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]
+    """All raw findings of a text column as one array, in report order, before any resolution.
+
+    Columns are immutable, so the large expression is assembled once per recognizer
+    set and JVM.
+    """
+    return _cached(jvm_id(), text, recognizers, tuple(names))
 
 
 def detect(
@@ -78,7 +116,7 @@ def detect(
     column: str = "raw",
 ) -> DataFrame:
     """Add the array of raw findings: one pass over the text, no shuffle."""
-    return df.withColumn(column, F.coalesce(findings_array(F.col(text), recognizers, names), F.expr(NO_FINDINGS)))
+    return df.withColumn(column, F.coalesce(findings_array(text, recognizers, names), F.expr(NO_FINDINGS)))
 
 
 def public_finding(x: Column) -> list[Column]:

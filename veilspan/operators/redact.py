@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.arrays import jvm_id
 from veilspan.functions.mask import apply_rule, replacement
 from veilspan.functions.spans import gaps_and_matches
 from veilspan.functions.text import with_slicer
@@ -42,13 +44,23 @@ def redact_one(text: Column, recognizer: Recognizer, recognizers: RecognizerSet,
     return done
 
 
+@lru_cache(maxsize=128)
+def _resolved(jvm: int, text: str, raw: str, shared: tuple[str, ...]) -> Column:
+    return resolve(F.col(text), F.col(raw), shared)
+
+
+@lru_cache(maxsize=128)
+def _rebuilt(jvm: int, text: str, kept: str, rules: tuple[tuple[str, Rule], ...]) -> Column:
+    return rebuild(F.col(text), F.col(kept), dict(rules))
+
+
 def redact(
     detected: DataFrame,
-    shared_entities,
+    shared_entities: Iterable[str] = (),
     policy: Mapping[str, Rule] = DEFAULT_POLICY,
     text: str = "text",
     raw: str = "raw",
 ) -> DataFrame:
     """Add ``kept`` (resolved findings) and ``redacted`` to a detected table; no shuffle."""
-    resolved = detected.withColumn("kept", resolve(F.col(text), F.col(raw), shared_entities))
-    return resolved.withColumn("redacted", rebuild(F.col(text), F.col("kept"), policy))
+    resolved = detected.withColumn("kept", _resolved(jvm_id(), text, raw, tuple(shared_entities)))
+    return resolved.withColumn("redacted", _rebuilt(jvm_id(), text, "kept", tuple(policy.items())))

@@ -93,8 +93,8 @@ class Recognizer:
 def _default_list() -> tuple[Recognizer, ...]:
     s = SCORES
     return (
-        Recognizer("CREDIT_CARD", "credit_card_pattern", CREDIT_CARD, s["CREDIT_CARD"], needs_regex=r"[0-9]"),
-        Recognizer("PHONE_NUMBER", "phone_pattern", PHONE_NUMBER, s["PHONE_NUMBER"], needs_regex=r"[0-9]"),
+        Recognizer("CREDIT_CARD", "credit_card_pattern", CREDIT_CARD, s["CREDIT_CARD"], needs_regex=r"\d"),
+        Recognizer("PHONE_NUMBER", "phone_pattern", PHONE_NUMBER, s["PHONE_NUMBER"], needs_regex=r"\d"),
         Recognizer("EMAIL_ADDRESS", "email_pattern", EMAIL_ADDRESS, s["EMAIL_ADDRESS"], needs_text="@"),
         Recognizer(
             "PASSWORD",
@@ -112,7 +112,7 @@ def _default_list() -> tuple[Recognizer, ...]:
         ),
         Recognizer("SSH_KEY", "ssh_key_pattern", SSH_KEY, s["SSH_KEY"], needs_text="ssh-"),
         Recognizer("AADHAAR_NUMBER", "aadhaar_pattern", AADHAAR_NUMBER, s["AADHAAR_NUMBER"], needs_regex=r"\d"),
-        Recognizer("PAN_NUMBER", "pan_pattern", PAN_NUMBER, s["PAN_NUMBER"], needs_regex=r"[0-9]"),
+        Recognizer("PAN_NUMBER", "pan_pattern", PAN_NUMBER, s["PAN_NUMBER"], needs_regex=r"\d"),
         Recognizer("API_KEY", "api_key_pattern", API_KEY, s["API_KEY"]),
     )
 
@@ -134,6 +134,15 @@ class RecognizerSet:
             if item.scope not in PASSWORD_SCOPES:
                 raise ValueError(f"unknown scope: {item.scope!r}")
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, RecognizerSet) and self._key() == other._key()
+
+    def __hash__(self) -> int:
+        return hash(self._key())
+
+    def _key(self) -> tuple:
+        return (self.items, self.flags, self.entities)
+
     def __iter__(self) -> Iterator[Recognizer]:
         return iter(self.items)
 

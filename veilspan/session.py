@@ -47,7 +47,7 @@ def spread(df: DataFrame, key: str, bytes_per_core: int = 4 << 20) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if planned > cores * bytes_per_core:
         return df
     return df.repartition(cores, key)
