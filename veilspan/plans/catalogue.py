@@ -170,7 +170,8 @@ def scored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = all_findings(spark, sf_dir)
     joined = verify.join_verdicts(found, label_verdicts(spark, sf_dir, found), "doc_id")
-    return joined.select("doc_id", "entity", "start", "value", "verdict")
+    verdict = F.coalesce(F.col("verdict").cast("string"), F.lit("missing"))
+    return joined.select("doc_id", "entity", "start", "value", verdict.alias("verdict"))
 
 
 def verify_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,8 +379,16 @@ def write_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "versions")
     done = _email_redacted(spark, sf_dir)
     versions.write_version(done.select("doc_id", "text"), root)
-    versions.write_version(done.select("doc_id", F.col("redacted").alias("text")), root)
-    return versions.read_current(spark, root).select("doc_id", "text")
+    versions.write_scrubbed(done, root, "doc_id")
+    return versions.read_current(spark, root).select("doc_id", "text", "status")
+
+
+def restore_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrub into a version with backups, then restore from the backups it wrote."""
+    root = work_folder(spark, "restored")
+    versions.write_scrubbed(_email_redacted(spark, sf_dir), root, "doc_id")
+    current = versions.read_current(spark, root).select("doc_id", "text")
+    return versions.restore(current, versions.read_backups(spark, root), "doc_id")
 
 
 QUERIES: dict[str, Query] = {
@@ -450,5 +459,6 @@ QUERIES: dict[str, Query] = {
     "backup_rows": backup_rows,
     "latest_backup": latest_backup,
     "restore": restore,
+    "restore_written": restore_written,
     "write_versions": write_versions,
 }

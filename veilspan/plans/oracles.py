@@ -262,7 +262,7 @@ ORACLES: dict[str, str] = {
     "redact_notes": redacted(NOTES, find_many(NOTES)),
     "redact_from_end": redacted(DOCUMENTS, find_many(DOCUMENTS, ["EMAIL_ADDRESS", "CREDIT_CARD"]), FROM_END),
     "redact_with_names": redacted(NOTES, f"{find_many(NOTES)} union all {PERSONS}"),
-    "verify_join": f"select doc_id, entity, start, value, verdict from ({with_verdicts(ALL)})",
+    "verify_join": f"select doc_id, entity, start, value, coalesce(verdict::varchar, 'missing') as verdict from ({with_verdicts(ALL)})",
     "verify_parse": f"select entity, value, response, {IS_TRUE} as verdict from ({VERDICT_ROWS.format(found=ALL)})",
     "verify_fail_closed": f"""select doc_id, entity, start, value, score from ({with_verdicts(SCORED)})
  where coalesce(verdict, false) and score >= {MIN_SCORE}""",
@@ -318,5 +318,7 @@ ORACLES: dict[str, str] = {
     "latest_backup": f"""select doc_id, ts, text from (
   select *, row_number() over (partition by doc_id order by ts desc) as rn from {BACKUPS}) where rn = 1""",
     "restore": "select doc_id, text from documents",
-    "write_versions": f"select doc_id, redacted as text from ({EMAIL_REDACTED})",
+    "restore_written": "select doc_id, text from documents",
+    "write_versions": f"""select doc_id, r.redacted as text, s.status
+ from ({EMAIL_REDACTED}) r join ({STATUS}) s using (doc_id)""",
 }

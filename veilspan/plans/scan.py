@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,37 +138,15 @@ def check(
     if verdicts is not None or classifier is not None:
         options.setdefault("stage_folder", work_folder(spark, "detected"))
     result = scan(documents, "path", "text", verdicts=verdicts, classifier=classifier, **options)
-    if not scrub_files:
-        return result
-    scrub(result, out, create_backup, append_to_files)
-    return result
+    return scrub(result, out, create_backup, append_to_files) if scrub_files else result
 
 
-def scrub(result: ScanResult, out: str, create_backup: bool = True, append: bool = False) -> None:
-    """Write a new version, then take backup and status from what was written.
-
-    The patterns run once, in the write; everything after reads the version's columns.
-    """
-    key = result.key
+def scrub(result: ScanResult, out: str, create_backup: bool = True, append: bool = False) -> ScanResult:
+    """Write the redacted texts as a new version; statuses are read back from it."""
     spark = result.redacted.sparkSession
-    ts = versions.stamp()
-    new_text = versions.output_text(F.col("text"), F.col("redacted"), append)
-    status = versions.scrub_status(result.redacted, key, append=append, backup_stamp=ts if create_backup else None)
-    written = F.lit(append) | versions.is_changed(F.col("text"), F.col("redacted"))
-    plan = result.redacted.select(
-        key, F.col("text").alias("original"), F.when(written, new_text).otherwise(F.col("text")).alias("text"),
-        "redacted", "kept", written.alias("changed"),
-    )
-    staged = f"{work_folder(spark, 'scrub')}/plan"
-    plan.write.parquet(staged)
-    done = spark.read.parquet(staged)
-    if create_backup:
-        originals = done.where("changed").select(key, F.col("original").alias("text"))
-        versions.write_backup(originals, out, ts)
-    versions.write_version(done.select(key, "text"), out)
-    del status
-    base = done.select(key, F.col("original").alias("text"), "redacted")
-    result.scrub_status = versions.status_or_empty(
-        base, versions.scrub_status(base, key, append=append, backup_stamp=ts if create_backup else None)
+    version = versions.write_scrubbed(
+        result.redacted, out, result.key, create_backup=create_backup, append=append
     )
-    result.scrub_summary = versions.scrub_summary(result.scrub_status)
+    written = versions.read_status(spark, out, version, result.key)
+    status = versions.status_or_empty(written, written)
+    return replace(result, scrub_status=status, scrub_summary=versions.scrub_summary(status))

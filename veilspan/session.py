@@ -15,6 +15,8 @@ def build_session(app: str = "veilspan", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Partitioned writes here have two directories: keep both open, skip the sort.
+        .config("spark.sql.maxConcurrentOutputFileWriters", "4")
     )
     if master:
         builder = builder.master(master)

@@ -18,6 +18,7 @@ from veilspan.functions.text import strip
 # Statuses, messages and the timestamp format of backups.
 # ---------------------------------------------------------------------------
 MODIFIED, SKIPPED, ERROR = "modified", "skipped", "errors"
+NEW, ORIGINAL = "new", "original"
 NO_FILES = "No text files found."
 BACKUP_STAMP = "%Y%m%d_%H%M%S"
 # ---------------------------------------------------------------------------
@@ -37,6 +38,19 @@ def output_text(text: Column, redacted: Column, append: bool = False) -> Column:
     return F.concat(text, F.lit("\n"), redacted) if append else redacted
 
 
+def scrub_status_columns(
+    key: str, text: str, result: str, append: bool, backup_stamp: str | None
+) -> dict[str, Column]:
+    failed = F.col(result).isNull()
+    written = F.lit(append) | is_changed(F.col(text), F.col(result))
+    status = F.when(failed, F.lit(ERROR)).when(written, F.lit(MODIFIED)).otherwise(F.lit(SKIPPED))
+    name = F.col(key).cast("string")
+    none = F.lit(None).cast("string")
+    backup = F.when(status == MODIFIED, F.concat(name, F.lit(f".backup_{backup_stamp}"))) if backup_stamp else none
+    error = F.when(failed, F.concat(F.lit("Failed modifying "), name, F.lit(": no redacted text")))
+    return {"status": status, "backup_path": backup, "error": error}
+
+
 def scrub_status(
     redacted: DataFrame,
     key: str = "path",
@@ -46,18 +60,8 @@ def scrub_status(
     backup_stamp: str | None = None,
 ) -> DataFrame:
     """(key, status, backup_path, error) per document; one bad row does not stop the others."""
-    failed = F.col(result).isNull()
-    written = F.lit(append) | is_changed(F.col(text), F.col(result))
-    status = F.when(failed, F.lit(ERROR)).when(written, F.lit(MODIFIED)).otherwise(F.lit(SKIPPED))
-    name = F.col(key).cast("string")
-    backup = F.when(status == MODIFIED, F.concat(name, F.lit(f".backup_{backup_stamp}"))) if backup_stamp else F.lit(None)
-    error = F.when(failed, F.concat(F.lit("Failed modifying "), name, F.lit(": no redacted text")))
-    return redacted.select(
-        key,
-        status.alias("status"),
-        backup.cast("string").alias("backup_path"),
-        error.cast("string").alias("error"),
-    )
+    columns = scrub_status_columns(key, text, result, append, backup_stamp)
+    return redacted.select(key, *[c.alias(name) for name, c in columns.items()])
 
 
 def scrub_summary(status: DataFrame) -> DataFrame:
@@ -67,7 +71,8 @@ def scrub_summary(status: DataFrame) -> DataFrame:
 
 def unmatched(documents: DataFrame, redacted: DataFrame, key: str) -> DataFrame:
     """Keys on one side only; both counts must be zero before anything is written."""
-    left, right = documents.select(key), redacted.select(key)
+    # Distinct keys: a key repeated many times must not gather in one task.
+    left, right = documents.select(key).distinct(), redacted.select(key).distinct()
     missing = left.join(right, key, "left_anti").withColumn("problem", F.lit("no redacted result"))
     extra = right.join(left, key, "left_anti").withColumn("problem", F.lit("no source document"))
     return missing.unionByName(extra)
@@ -87,17 +92,55 @@ def status_or_empty(documents: DataFrame, status: DataFrame) -> DataFrame:
     return status_of_empty(documents.sparkSession) if documents.isEmpty() else status
 
 
-def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as the new current version under ``root``; returns its id."""
-    version = f"{stamp()}_{uuid.uuid4().hex[:8]}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/data/{version}")
-    publish(df.sparkSession, root, version)
+def new_version_id() -> str:
+    return f"{stamp()}_{uuid.uuid4().hex[:8]}"
+
+
+def _write(rows: DataFrame, root: str, version: str) -> str:
+    """Rows with a ``kind`` column as one version; current only once all of it is written."""
+    rows.write.mode("errorifexists").partitionBy("kind").parquet(f"{root}/data/version={version}")
+    publish(rows.sparkSession, root, version)
     return version
 
 
+def write_version(df: DataFrame, root: str) -> str:
+    """Write ``df`` as the new current version under ``root``; returns its id."""
+    return _write(df.withColumn("kind", F.lit(NEW)), root, new_version_id())
+
+
+def write_scrubbed(
+    redacted: DataFrame,
+    root: str,
+    key: str = "path",
+    text: str = "text",
+    result: str = "redacted",
+    create_backup: bool = True,
+    append: bool = False,
+) -> str:
+    """New texts, statuses and backups of the changed originals in one write.
+
+    A changed document gives two rows, the new text and the original, in separate
+    directories of the same version. The patterns run once, nothing is shuffled, and
+    a text is never replaced without its backup: both appear with the same commit.
+    """
+    version = new_version_id()
+    ts = version[: version.rindex("_")]
+    status = scrub_status_columns(key, text, result, append, ts if create_backup else None)
+    changed = status["status"] == MODIFIED
+    out = F.when(changed, output_text(F.col(text), F.col(result), append)).otherwise(F.col(text))
+    none = F.lit(None).cast("string")
+    new = F.struct(
+        F.lit(NEW).alias("kind"), out.alias("text"), status["status"].alias("status"),
+        status["backup_path"].alias("backup_path"), status["error"].alias("error"),
+    )
+    original = F.struct(
+        F.lit(ORIGINAL).alias("kind"), F.col(text).alias("text"), none.alias("status"),
+        none.alias("backup_path"), none.alias("error"),
+    )
+    rows = F.when(changed, F.array(new, original)).otherwise(F.array(new)) if create_backup else F.array(new)
+    return _write(redacted.select(key, F.explode(rows).alias("r")).select(key, "r.*"), root, version)
+
+
 def publish(spark: SparkSession, root: str, version: str) -> None:
     published = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
     pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(published).alias("published"))
@@ -109,34 +152,30 @@ def current_version(spark: SparkSession, root: str) -> str:
     return pointers.agg(F.max_by("version", F.struct("published", "version")).alias("v")).first()["v"]
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/data/{current_version(spark, root)}")
+def read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/data/version={version}/kind={NEW}")
 
 
-def backup_rows(redacted: DataFrame, key: str, text: str = "text", result: str = "redacted", append: bool = False) -> DataFrame:
-    """Originals of the documents about to change."""
-    changed = F.lit(append) | is_changed(F.col(text), F.col(result))
-    return redacted.where(changed).select(key, F.col(text).alias("text"))
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    return read_version(spark, root, current_version(spark, root))
 
 
-def write_backup(originals: DataFrame, root: str, ts: str | None = None) -> str:
-    """Add originals under their own timestamp; backups of different runs never mix."""
-    ts = ts or stamp()
-    originals.withColumn("ts", F.lit(ts)).write.mode("append").partitionBy("ts").parquet(f"{root}/backup")
-    return ts
+def read_status(spark: SparkSession, root: str, version: str, key: str = "path") -> DataFrame:
+    """(key, status, backup_path, error) of a scrubbing run; its texts are not read."""
+    return read_version(spark, root, version).select(key, "status", "backup_path", "error")
 
 
 def read_backups(spark: SparkSession, root: str) -> DataFrame:
-    # Explicit type: a stamp like 20250101_000000 must not be inferred as a number.
-    rows = spark.read.parquet(f"{root}/backup")
-    return rows.withColumn("ts", F.col("ts").cast("string"))
+    """Originals kept by all runs, with the run's timestamp as ``ts``."""
+    rows = spark.read.parquet(f"{root}/data").where(F.col("kind") == ORIGINAL)
+    return rows.withColumn("ts", F.regexp_replace(F.col("version").cast("string"), "_[0-9a-f]+$", ""))
 
 
 def latest_backup(backups: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """The newest backup row of each document.
 
-    The newest stamps are found on keys alone, then matched: texts of older backups
-    are dropped before anything is sorted.
+    The newest stamps are found on keys alone; the match is on (key, stamp), so a
+    document with very many backups does not gather in one task.
     """
     newest = backups.groupBy(key).agg(F.max(ts).alias(ts))
     return backups.join(newest, [key, ts], "left_semi")
