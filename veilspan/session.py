@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +31,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
     Only a session without that setting (a local test) gets a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="veilspan-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="veilspan-")
+
+
 def spread(df: DataFrame, key: str, bytes_per_core: int = 4 << 20) -> DataFrame:
     """Spread a *small* input over the cores before regex work.
 
