@@ -1,0 +1,86 @@
+"""Every registered query against its SQL, and the plans that matter at scale."""
+
+import math
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__ as spark_entry
+from tests.conftest import SF
+from veilspan.operators.detect import detect, explode_findings
+from veilspan.plans.catalogue import QUERIES
+from veilspan.plans.oracles import ORACLES
+from veilspan.plans.scan import scan
+
+TABLES = "customer documents pages labels conversations"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in TABLES.split():
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    return con
+
+
+def plain(value):
+    missing = value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value))
+    return None if missing else value
+
+
+def rows_of(frame):
+    frame = frame[sorted(frame.columns)]
+    return sorted(
+        ([plain(v) for v in row] for row in frame.astype(object).itertuples(index=False, name=None)),
+        key=lambda row: [str(v) for v in row],
+    )
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_sql(spark, duck, name):
+    mine = QUERIES[name](spark, SF).toPandas()
+    theirs = duck.execute(ORACLES[name]).fetchdf()
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    assert rows_of(mine) == rows_of(theirs)
+
+
+def test_contract(spark):
+    assert set(spark_entry.oracle_sql()) == set(spark_entry.queries())
+    rows = {r["entity"]: r["n"] for r in spark_entry.entry(spark).collect()}
+    assert rows == {"EMAIL_ADDRESS": 5, "CREDIT_CARD": 4, "PHONE_NUMBER": 6}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_and_redaction_shuffle_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    result = scan(docs, "doc_id", names=["John Doe"])
+    for df in (result.findings, result.redacted):
+        plan = plan_of(df)
+        assert "Exchange" not in plan and "BroadcastExchange" not in plan
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_detection_is_planned_once(spark):
+    """The optimizer must not copy the matching expression into a second operator."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    email = r"@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+    once = plan_of(detect(docs.select("doc_id", "text")))
+    for df in (explode_findings(detect(docs), "doc_id"), scan(docs, "doc_id").redacted):
+        assert plan_of(df).count(email) == once.count(email)
+
+
+def test_unwanted_recognizers_are_not_in_the_plan(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = plan_of(scan(docs, "doc_id", entities=["US_SSN"]).findings)
+    assert "ssh-" not in plan and "@" not in plan
+
+
+def test_only_findings_and_hit_texts_are_shuffled_for_verdicts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    verdicts = spark.range(1).selectExpr("'EMAIL_ADDRESS' as entity", "'x' as value", "'true' as response")
+    plan = plan_of(scan(docs, "doc_id", verdicts=verdicts).redacted)
+    assert "Union" in plan

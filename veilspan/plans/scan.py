@@ -35,8 +35,9 @@ class ScanResult:
 
 def stage(detected: DataFrame, folder: str) -> DataFrame:
     """Write detection results once, split by whether anything was found, and read them back."""
-    detected.withColumn("hit", F.size("raw") > 0).write.partitionBy("hit").parquet(folder)
-    return detected.sparkSession.read.parquet(folder)
+    marked = detected.withColumn("hit", F.when(F.size("raw") > 0, F.lit("yes")).otherwise(F.lit("no")))
+    marked.write.partitionBy("hit").parquet(folder)
+    return detected.sparkSession.read.schema(marked.schema).parquet(folder)
 
 
 def scan(
@@ -110,7 +111,7 @@ def _attach(detected: DataFrame, findings: DataFrame, key: str, any_document: bo
     settled = F.coalesce("raw", F.expr(NO_FINDINGS)).alias("raw")
     if any_document:
         return detected.select(key, "text").join(arrays, key, "left").select(key, "text", settled)
-    hit = F.col("hit") if "hit" in detected.columns else F.size("raw") > 0
+    hit = F.col("hit") == "yes" if "hit" in detected.columns else F.size("raw") > 0
     clean = detected.where(~hit).select(key, "text", F.expr(NO_FINDINGS).alias("raw"))
     joined = detected.where(hit).select(key, "text").join(arrays, key, "left").select(key, "text", settled)
     return clean.unionByName(joined)
@@ -144,9 +145,12 @@ def check(
 def scrub(result: ScanResult, out: str, create_backup: bool = True, append: bool = False) -> ScanResult:
     """Write the redacted texts as a new version; statuses are read back from it."""
     spark = result.redacted.sparkSession
+    # Only the key column is read for this test, so nothing is matched yet.
+    if result.redacted.select(result.key).isEmpty():
+        status = versions.status_of_empty(spark)
+        return replace(result, scrub_status=status, scrub_summary=versions.scrub_summary(status))
     version = versions.write_scrubbed(
         result.redacted, out, result.key, create_backup=create_backup, append=append
     )
-    written = versions.read_status(spark, out, version, result.key)
-    status = versions.status_or_empty(written, written)
+    status = versions.read_status(spark, out, version, result.key)
     return replace(result, scrub_status=status, scrub_summary=versions.scrub_summary(status))

@@ -171,6 +171,14 @@ def read_backups(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("ts", F.regexp_replace(F.col("version").cast("string"), "_[0-9a-f]+$", ""))
 
 
+def backup_rows(
+    redacted: DataFrame, key: str, text: str = "text", result: str = "redacted", append: bool = False
+) -> DataFrame:
+    """Originals of the documents about to change."""
+    changed = F.lit(append) | is_changed(F.col(text), F.col(result))
+    return redacted.where(changed).select(key, F.col(text).alias("text"))
+
+
 def latest_backup(backups: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """The newest backup row of each document.
 
