@@ -156,3 +156,25 @@ def test_policy_checks():
         require_rules(DEFAULT_POLICY, ["PERSON", "NEW_THING"])
     with pytest.raises(ValueError):
         mask_with("**", 3)
+
+
+def test_policy_and_recognizers_as_tables(spark):
+    from veilspan import DEFAULT_RECOGNIZERS
+    from veilspan.policy import policy_df, policy_from_df
+    from veilspan.recognizers import RecognizerSet
+
+    assert policy_from_df(policy_df(spark)) == DEFAULT_POLICY
+    rows = spark.createDataFrame([("TICKET", "ticket", r"T-\d+", 0.7)], "entity string, pattern_name string, regex string, score double")
+    more = DEFAULT_RECOGNIZERS.with_recognizers_from(rows)
+    assert [r.entity for r in more][-1] == "TICKET" and more.priority("TICKET") == 11
+    with pytest.raises(ValueError):
+        RecognizerSet(()).with_recognizers_from(spark.range(1001).selectExpr("'A' entity", "'p' pattern_name", "'x' regex", "0.5 score"))
+
+
+def test_custom_operation(spark):
+    from veilspan import scan
+    from veilspan.policy import custom
+
+    df = spark.createDataFrame([("k", "mail a@b.co")], "path string, text string")
+    policy = {**DEFAULT_POLICY, "EMAIL_ADDRESS": custom(lambda v: F.concat(F.lit("<"), F.upper(v), F.lit(">")))}
+    assert scan(df, policy=policy).redacted.first()["redacted"] == "mail <A@B.CO>"

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Prefix folds copy their result at every step, so long arrays are folded in runs.
-RUN = 256
+RUN = 128
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

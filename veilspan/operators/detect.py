@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from veilspan import schemas
 from veilspan.functions.arrays import jvm_id
-from veilspan.functions.spans import gaps_and_matches, located, spans_with_ahead
+from veilspan.functions.spans import NO_SPANS, gaps_and_matches, located, spans_with_ahead
 from veilspan.functions.words import name_spans
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, PERSON_SCORE, Recognizer, RecognizerSet
 
+NO_PARTS = "cast(array() as array<string>)"
 NO_FINDINGS = f"cast(array() as {schemas.FINDINGS.simpleString()})"
 
 
@@ -25,14 +26,15 @@ def worth_matching(text: Column, r: Recognizer, recognizers: RecognizerSet) -> C
     return None if needed is None else text.rlike(recognizers.prefix + needed)
 
 
-def _tagged(r: Recognizer, priority: int, **payload: Column) -> Column:
-    """A recognizer's constants beside what it found in this text."""
+def _tagged(r: Recognizer, priority: int, parts: Column | None = None, spans: Column | None = None) -> Column:
+    """A recognizer's constants beside what it found: gaps and matches, or finished spans."""
     return F.struct(
         F.lit(-float(r.score)).alias("neg_score"),
         F.lit(priority).alias("priority"),
         F.lit(r.entity).alias("entity"),
         F.lit(r.pattern_name).alias("pattern_name"),
-        *[column.alias(name) for name, column in payload.items()],
+        (F.expr(NO_PARTS) if parts is None else parts).alias("parts"),
+        (F.expr(NO_SPANS) if spans is None else spans).alias("spans"),
     )
 
 
@@ -65,31 +67,31 @@ def _by_test(text: Column, recognizers: RecognizerSet, build) -> Column:
 
 
 def _build(text: Column, recognizers: RecognizerSet, names: Sequence[str]) -> Column:
-    def with_parts(r: Recognizer) -> Column:
-        parts = gaps_and_matches(text, recognizers.prefix + r.regex)
-        return _tagged(r, recognizers.priority(r.entity), parts=parts)
-
-    def with_spans(r: Recognizer) -> Column:
+    def one(r: Recognizer) -> Column:
         pattern = recognizers.prefix + r.regex
-        spans = spans_with_ahead(text, pattern, r.needs_ahead, recognizers.prefix, r.scope)
-        return _tagged(r, recognizers.priority(r.entity), spans=spans)
-
-    plain = RecognizerSet([r for r in recognizers if not r.needs_ahead], recognizers.flags, recognizers.entities)
-    ahead = RecognizerSet([r for r in recognizers if r.needs_ahead], recognizers.flags, recognizers.entities)
-    found = []
-    if len(plain):
-        # Offsets are worked out by one expression over whichever patterns matched.
-        matched = F.filter(_by_test(text, plain, with_parts), lambda p: F.size(p["parts"]) > 1)
-        found.append(F.transform(matched, lambda p: _findings(p, located(p["parts"]))))
-    if len(ahead):
-        found.append(F.transform(_by_test(text, ahead, with_spans), lambda p: _findings(p, p["spans"])))
+        priority = recognizers.priority(r.entity)
+        if r.needs_ahead:
+            return _tagged(
+                r, priority, spans=spans_with_ahead(text, pattern, r.needs_ahead, recognizers.prefix, r.scope)
+            )
+        parts = gaps_and_matches(text, pattern)
+        if r.needs_also is not None:
+            also = text.rlike(recognizers.prefix + r.needs_also)
+            parts = F.when(also, parts).otherwise(F.expr(NO_PARTS))
+        return _tagged(r, priority, parts=parts)
+
+    groups = [_by_test(text, recognizers, one)] if len(recognizers) else []
     if names:
         person = Recognizer("PERSON", "name_list", "", PERSON_SCORE)
-        tag = _tagged(person, recognizers.priority("PERSON"), spans=name_spans(text, names))
-        found.append(F.transform(F.array(tag), lambda p: _findings(p, p["spans"])))
-    if not found:
+        groups.append(F.array(_tagged(person, recognizers.priority("PERSON"), spans=name_spans(text, names))))
+    if not groups:
         return F.expr(NO_FINDINGS)
-    return F.array_sort(F.flatten(F.concat(*found)))
+    tagged = F.filter(F.concat(*groups), lambda p: (F.size(p["parts"]) > 1) | (F.size(p["spans"]) > 0))
+    # Offsets are worked out by one expression over whichever patterns matched.
+    found = F.transform(
+        tagged, lambda p: _findings(p, F.when(F.size(p["parts"]) > 1, located(p["parts"])).otherwise(p["spans"]))
+    )
+    return F.array_sort(F.flatten(found))
 
 
 @lru_cache(maxsize=128)

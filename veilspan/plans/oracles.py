@@ -82,7 +82,7 @@ def password_spans(source: str, scope: str) -> str:
  where regexp_matches({ahead}, '[a-z]') and regexp_matches({ahead}, '[A-Z]') and regexp_matches({ahead}, '[0-9]'))"""
 
 
-def findings(source: str, entity: str, name: str, score: float, priority: int, found: str) -> str:
+def findings(entity: str, name: str, score: float, priority: int, found: str) -> str:
     return f"""select doc_id, {lit(entity)} as entity, {lit(name)} as pattern_name, start,
  (start + length(value))::int as "end", value, {score}::double as score, {priority}::int as priority from {found}"""
 
@@ -92,7 +92,12 @@ def find(entity: str, source: str, scope: str = "line") -> str:
         found = password_spans(source, scope)
     else:
         found = spans(source, pattern(entity), unicode_words=entity == "API_KEY")
-    return findings(source, entity, pattern_name(entity), SCORES[entity], ENTITIES.index(entity), found)
+    return findings(entity, pattern_name(entity), SCORES[entity], ENTITIES.index(entity), found)
+
+
+def find_any_case(entity: str, source: str) -> str:
+    found = spans(source, "(?i)" + pattern(entity), unicode_words=True)
+    return findings(entity, pattern_name(entity), SCORES[entity], ENTITIES.index(entity), found)
 
 
 def find_many(source: str, entities=None) -> str:
@@ -100,7 +105,7 @@ def find_many(source: str, entities=None) -> str:
 
 
 def custom(source: str, entity: str, name: str, regex: str, score: float, priority: int) -> str:
-    return findings(source, entity, name, score, priority, spans(source, regex))
+    return findings(entity, name, score, priority, spans(source, regex))
 
 
 SHOWN = 'doc_id, entity, start::int as start, "end"::int as "end", value, score'
@@ -229,6 +234,7 @@ ORACLES: dict[str, str] = {
     "find_phone": find("PHONE_NUMBER", DOCUMENTS),
     "find_credit_card": find("CREDIT_CARD", DOCUMENTS),
     "find_api_key": find("API_KEY", DOCUMENTS),
+    "find_api_key_any_case": find_any_case("API_KEY", DOCUMENTS),
     "find_password": find("PASSWORD", DOCUMENTS),
     "find_password_text_scope": find("PASSWORD", DOCUMENTS, "text"),
     "find_password_token_scope": find("PASSWORD", NOTES, "token"),
@@ -269,6 +275,8 @@ ORACLES: dict[str, str] = {
     "verify_score_gate": f"""select doc_id, entity, start, value, score from ({with_verdicts(SCORED)})
  where coalesce(verdict, true) and score >= {MIN_SCORE}""",
     "verify_distinct": f"select entity, value, count(*) as n_findings from ({ALL}) group by entity, value",
+    "verify_classified": f"""select distinct entity, value,
+ case when contains(value, '7') then 'True' else 'False' end as response from ({ALL})""",
     "verify_redacted": redacted(DOCUMENTS, CONFIRMED_ONLY),
     "report_entries": f'select doc_id, start, "end", {ENTRY} as entry from ({ALL})',
     "report_confirmed": f'select doc_id, start, "end", {ENTRY} || {lit(CONFIRMED)} as entry from ({CONFIRMED_ONLY})',
@@ -306,9 +314,10 @@ ORACLES: dict[str, str] = {
     "scrub_append": f"""select d.doc_id, d.text || chr(10) || r.redacted as text
  from documents d join ({EMAIL_REDACTED}) r using (doc_id)""",
     "scrub_summary": f"select status, count(*) as n_files from ({STATUS}) group by status",
-    "scrub_errors": f"""select doc_id, case when doc_id in (select doc_id from labels) then status else 'errors' end as status,
- null::varchar as backup_path, case when doc_id in (select doc_id from labels) then null
- else 'Failed modifying ' || doc_id::varchar || ': no redacted text' end as error from ({STATUS})""",
+    "scrub_errors": f"""select doc_id, case when d.lang = 'de' then 'errors' else s.status end as status,
+ null::varchar as backup_path,
+ case when d.lang = 'de' then 'Failed modifying ' || doc_id::varchar || ': no redacted text' end as error
+ from documents d join ({STATUS}) s using (doc_id)""",
     "unmatched_results": """select doc_id, 'no redacted result' as problem from documents
  where doc_id not in (select doc_id from labels)
  union all select doc_id, 'no source document' from labels where doc_id not in (select doc_id from documents)""",

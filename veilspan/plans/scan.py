@@ -52,15 +52,15 @@ def scan(
     on_missing: str = "drop",
     min_score: float = MIN_SCORE,
     policy: Mapping[str, Rule] = DEFAULT_POLICY,
-    stage_folder: str | None = None,
+    staged: bool | None = None,
 ) -> ScanResult:
     """Find and redact sensitive values in ``documents[text]``; ``key`` is unique per row.
 
     Without verdicts and with at most a list of names everything happens inside the
     row: one scan, no shuffle. Verdicts, a classifier and a name table need joins;
-    these move findings, and only texts that have findings meet them again. Give
-    ``stage_folder`` (shared storage) to match the patterns once instead of once per
-    use of the result.
+    these move findings, and only texts that have findings meet them again. Because
+    findings are then used several times, they are written once to the shared work
+    folder and read from there; ``staged`` forces or forbids that.
     """
     if entities is not None:
         wanted = list(entities)
@@ -80,15 +80,15 @@ def scan(
 
     docs = documents.select(F.col(key), F.col(text).alias("text"))
     detected = detect(docs, "text", recognizers, names or ())
-    if stage_folder is not None:
-        detected = stage(detected, stage_folder)
+    verifying = verdicts is not None or classifier is not None
+    if staged or (staged is None and (verifying or name_table is not None)):
+        detected = stage(detected, work_folder(documents.sparkSession, "detected"))
 
     findings = explode_findings(detected, key)
     if name_table is not None:
         findings = findings.unionByName(
             person_findings(docs, name_table.select(F.col(name_table.columns[0]).alias("name")), key)
         )
-    verifying = verdicts is not None or classifier is not None
     if classifier is not None:
         answers = classify(distinct_values(findings), classifier)
         verdicts = answers if verdicts is None else verdicts.unionByName(answers)
@@ -136,8 +136,6 @@ def check(
     if scrub_files and out is None:
         raise ValueError("scrub_files needs an output folder")
     documents = read_documents(spark, indir)
-    if verdicts is not None or classifier is not None:
-        options.setdefault("stage_folder", work_folder(spark, "detected"))
     result = scan(documents, "path", "text", verdicts=verdicts, classifier=classifier, **options)
     return scrub(result, out, create_backup, append_to_files) if scrub_files else result
 

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from veilspan import schemas
 
 
+# Rules become literals of the plan.
+MAX_RULES = 1000
+
+
 @dataclass(frozen=True)
 class Rule:
     op: str
@@ -75,3 +79,13 @@ def require_rules(policy: Mapping[str, Rule], entities: Iterable[str]) -> None:
 def policy_df(spark: SparkSession, policy: Mapping[str, Rule] = DEFAULT_POLICY) -> DataFrame:
     rows = [(e, r.op, r.new_value, r.mask_char, r.mask_n, r.from_end) for e, r in policy.items()]
     return spark.createDataFrame(rows, schemas.POLICY)
+
+
+def policy_from_df(df: DataFrame) -> dict[str, Rule]:
+    """A policy kept as a table; one row per entity."""
+    rows = df.select(*schemas.POLICY.fieldNames()).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a policy has at most {MAX_RULES} rows")
+    return {
+        r["entity"]: Rule(r["op"], r["new_value"], r["mask_char"], r["mask_n"], bool(r["from_end"])) for r in rows
+    }

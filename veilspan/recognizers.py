@@ -66,6 +66,8 @@ SCORES = {
 PERSON_SCORE = 0.85
 # ---------------------------------------------------------------------------
 
+# Patterns become literals of the plan.
+MAX_RECOGNIZERS = 1000
 PASSWORD_SCOPES = ("line", "text", "token")
 
 
@@ -73,8 +75,9 @@ PASSWORD_SCOPES = ("line", "text", "token")
 class Recognizer:
     """One pattern for one entity.
 
-    ``needs_text`` (a substring) and ``needs_regex`` (a cheap pattern) name something
-    every match must contain; texts without it skip the full pattern.
+    ``needs_text`` (a substring) or ``needs_regex`` (a cheap pattern) name something
+    every match must contain; texts without it skip the full pattern. ``needs_also``
+    is a second such pattern, tried only after the first.
     ``needs_ahead`` lists classes that must each occur at or after a match's start,
     within ``scope`` ('line', 'text', or 'token' for the match itself).
     """
@@ -85,6 +88,7 @@ class Recognizer:
     score: float
     needs_text: str | None = None
     needs_regex: str | None = None
+    needs_also: str | None = None
     needs_ahead: tuple[str, ...] = ()
     scope: str = "line"
     language: str = "en"
@@ -108,7 +112,12 @@ def _default_list() -> tuple[Recognizer, ...]:
         # Every address ends in state and ZIP; testing for that first keeps the
         # backtracking street pattern away from all other texts.
         Recognizer(
-            "ADDRESS", "address_pattern", ADDRESS, s["ADDRESS"], needs_regex=r",\s*[A-Z]{2}\s*\d{5}"
+            "ADDRESS",
+            "address_pattern",
+            ADDRESS,
+            s["ADDRESS"],
+            needs_regex=r"\d",
+            needs_also=r",\s*[A-Z]{2}\s*\d{5}",
         ),
         Recognizer("SSH_KEY", "ssh_key_pattern", SSH_KEY, s["SSH_KEY"], needs_text="ssh-"),
         Recognizer("AADHAAR_NUMBER", "aadhaar_pattern", AADHAAR_NUMBER, s["AADHAAR_NUMBER"], needs_regex=r"\d"),
@@ -185,6 +194,16 @@ class RecognizerSet:
         items = tuple(replace(r, scope=scope) if r.needs_ahead else r for r in self.items)
         return RecognizerSet(items, self.flags, self.entities)
 
+    def with_recognizers_from(self, df: DataFrame) -> RecognizerSet:
+        """Add the patterns of a recognizer table."""
+        rows = df.select("entity", "pattern_name", "regex", "score").limit(MAX_RECOGNIZERS + 1).collect()
+        if len(rows) > MAX_RECOGNIZERS:
+            raise ValueError(f"at most {MAX_RECOGNIZERS} recognizers")
+        out = self
+        for r in sorted(rows, key=lambda r: (r["entity"], r["pattern_name"])):
+            out = out.with_recognizer(r["entity"], r["regex"], r["score"], r["pattern_name"])
+        return out
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(r.entity, r.pattern_name, r.regex, r.score, self.priority(r.entity)) for r in self.items]
         return spark.createDataFrame(rows, schemas.RECOGNIZER)

@@ -16,6 +16,9 @@ def build_session(app: str = "veilspan", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording a call site costs round trips to the JVM for every column operation;
+        # the expressions here have hundreds.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Partitioned writes here have two directories: keep both open, skip the sort.
         .config("spark.sql.maxConcurrentOutputFileWriters", "4")
     )
