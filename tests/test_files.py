@@ -176,3 +176,24 @@ def test_empty_directory(spark, tmp_path):
     result = check(spark, str(tmp_path / "none"), str(tmp_path / "out"))
     rows = result.scrub_status.collect()
     assert [(r["status"], r["error"]) for r in rows] == [("errors", "No text files found.")]
+
+
+def test_written_report(spark, secrets, tmp_path):
+    from veilspan.operators.report import write_report
+
+    result = check(spark, secrets, scrub_files=False)
+    write_report(result.findings, str(tmp_path / "report"), "path")
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert sorted(lines) == ["EMAIL_ADDRESS=someone@example.com:0.96", "US_SSN=123-45-6789:0.9"]
+
+
+def test_second_run_restores_the_newest_backup(spark, secrets, tmp_path):
+    out = str(tmp_path / "out")
+    check(spark, secrets, out)
+    with open(os.path.join(secrets, "c.log"), "w") as f:
+        f.write("ssn 999-99-9999")
+    check(spark, secrets, out)
+    current = versions.read_current(spark, out).select("path", "text")
+    restored = versions.restore(current, versions.read_backups(spark, out), "path")
+    assert restored.count() == 3
+    assert by_name(restored, "text")["c.log"] == "ssn 999-99-9999"

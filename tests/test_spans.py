@@ -123,6 +123,45 @@ def test_dense_document(spark):
     assert found(spark, [text], DEFAULT_RECOGNIZERS) == expected([text], DEFAULT_RECOGNIZERS)
 
 
+LONG_TEXTS = {
+    "dotted run without at": "mail: x@y.org " + "a." * 400_000 + "a",
+    "dotted run with a bad host": "x@y.org " + "a." * 20_000 + "@-",
+    "number table with one address before": "12 Main St, Town, CA 90210: " + "12 34 " * 150_000,
+    "number table with one address after a break": "12 34 " * 150_000 + "; 12 Main St, Town, CA 90210",
+    "number table that runs into an address": "12 34 " * 50_000 + "12 Main St, Town, CA 90210",
+    "street words without a ZIP": ("12 Main St, Town and " * 2_000) + "; 9 Oak Rd, Town, NY 10001",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG_TEXTS))
+def test_long_adversarial_texts_finish(spark, name):
+    text = LONG_TEXTS[name]
+    chosen = DEFAULT_RECOGNIZERS.only(["EMAIL_ADDRESS", "ADDRESS"])
+    got = {(e, v) for _, e, _, _, v, _ in found(spark, [text], chosen)}
+    emails = {("EMAIL_ADDRESS", m) for m in ["x@y.org"] if m in text}
+    assert {g for g in got if g[0] == "EMAIL_ADDRESS"} == emails
+    addresses = [v for e, v in got if e == "ADDRESS"]
+    if "run" in name and "number" in name:
+        assert addresses == [text]
+    elif "number" in name:
+        assert addresses == ["12 Main St, Town, CA 90210"]
+    elif "street" in name:
+        assert addresses == ["9 Oak Rd, Town, NY 10001"]
+
+
+def test_skipping_changes_nothing(spark):
+    """Texts made of the parts that are passed over, with the marker too."""
+    rng = random.Random(21)
+    parts = ["12 ", "7\n", "Main St", "Oak Rd. ", ", ", "Town", "CA ", "90210", "-1234", "é", "_", ";", "x" * 33, "a.b", "@"]
+    parts += ["c.org", "@y.co", " ", "a." * 20, "12 Main St, Town, CA 90210"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    texts += [MARK + t for t in texts[:500]]
+    chosen = DEFAULT_RECOGNIZERS.only(["EMAIL_ADDRESS", "ADDRESS"])
+    want = expected(texts, chosen)
+    assert len(want) > 300
+    assert found(spark, texts, chosen) == want
+
+
 def test_ngrams(spark):
     text = "John  Doe-Smith, Ann\nLee #7 x"
     df = spark.createDataFrame([(text,)], "text string")
@@ -158,3 +197,20 @@ def test_match_spans_of_adjacent_matches(spark):
     df = spark.createDataFrame([("aaaa",)], "text string")
     row = df.select(match_spans(F.col("text"), "aa").alias("s")).first()
     assert [(x["start"], x["value"]) for x in row["s"]] == [(0, "aa"), (2, "aa")]
+
+
+def test_words_of_any_length(spark):
+    text = "a." * 300_000 + "a John"
+    df = spark.createDataFrame([(text,)], "text string")
+    grams = df.select(F.transform(ngrams(F.col("text"), 2), lambda g: F.length(g["gram"])).alias("n")).first()["n"]
+    assert sorted(grams) == [4, 600_001, 600_006]
+
+
+def test_strip_like_python(spark):
+    from veilspan.functions.text import strip
+
+    spaces = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    texts = [spaces + "a b" + spaces, spaces, "", "x", " \n x \t y\r\n", "a" + " " * 200_000 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = df.select(strip(F.col("text")).alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in rows] == [t.strip() for t in texts]

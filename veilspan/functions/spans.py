@@ -21,17 +21,25 @@ MARK = "\uffff"
 NO_SPANS = "cast(array() as array<struct<start:int,value:string>>)"
 
 
-def gaps_and_matches(text: Column, pattern: str) -> Column:
-    """[gap, match, gap, match, ..., gap]"""
-    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    woven = F.flatten(
-        F.zip_with(
-            F.split(text, pattern, -1),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            lambda gap, hit: F.array(gap, F.coalesce(hit, F.lit(""))),
-        )
-    )
-    return F.when(F.contains(text, F.lit(MARK)), woven).otherwise(marked)
+def gaps_and_matches(text: Column, pattern: str, prefix: str = "", skip: str | None = None) -> Column:
+    """[gap, match, gap, match, ..., gap]; what ``skip`` passed over belongs to the gaps."""
+    if skip is None:
+        whole, kept, passed = prefix + pattern, "$0", ""
+    else:
+        whole, kept, passed = f"{prefix}(?:({pattern})|({skip}))", "$1", "$2"
+    marked = F.split(F.regexp_replace(text, F.lit(whole), F.lit(f"{MARK}{kept}{MARK}{passed}")), MARK, -1)
+
+    def all_of(group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(whole), F.lit(group))
+
+    gaps = F.split(text, whole, -1)
+    if skip is None:
+        woven = F.zip_with(gaps, all_of(0), lambda gap, hit: F.array(gap, F.coalesce(hit, F.lit(""))))
+    else:
+        both = F.zip_with(all_of(1), all_of(2), lambda hit, over: F.array(hit, over, F.lit("")))
+        none = F.array(F.lit(""))
+        woven = F.zip_with(gaps, both, lambda gap, rest: F.concat(F.array(gap), F.coalesce(rest, none)))
+    return F.when(F.contains(text, F.lit(MARK)), F.flatten(woven)).otherwise(marked)
 
 
 def located(parts: Column) -> Column:

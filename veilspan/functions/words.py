@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from veilspan.functions.arrays import let, sums_before
 from veilspan.functions.spans import gaps_and_matches
 
-# A word, its inner joiners included, so O'Neil and Anne-Marie stay whole.
-WORD = r"(?Ud)\w[\w#]*(?:['’.-][\w#]+)*"
+# A word, its inner joiners included, so O'Neil and Anne-Marie stay whole. The loops are
+# possessive: a greedy group loop recurses in the JVM and overflows on very long words.
+WORD = r"(?Ud)\w[\w#]*+(?:['’.-][\w#]++)*+"
 MAX_WORDS = 3
 
 

@@ -74,7 +74,7 @@ def _build(text: Column, recognizers: RecognizerSet, names: Sequence[str]) -> Co
             return _tagged(
                 r, priority, spans=spans_with_ahead(text, pattern, r.needs_ahead, recognizers.prefix, r.scope)
             )
-        parts = gaps_and_matches(text, pattern)
+        parts = gaps_and_matches(text, r.regex, recognizers.prefix, r.skip)
         if r.needs_also is not None:
             also = text.rlike(recognizers.prefix + r.needs_also)
             parts = F.when(also, parts).otherwise(F.expr(NO_PARTS))

@@ -33,7 +33,7 @@ def rebuild(text: Column, kept: Column, policy: Mapping[str, Rule] = DEFAULT_POL
 
 def redact_one(text: Column, recognizer: Recognizer, recognizers: RecognizerSet, rule: Rule) -> Column:
     """Short way for a single plain pattern: no offsets, only gaps and matches."""
-    parts = gaps_and_matches(text, recognizers.prefix + recognizer.regex)
+    parts = gaps_and_matches(text, recognizer.regex, recognizers.prefix, recognizer.skip)
     done = F.array_join(
         F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (p != ""), apply_rule(rule, p)).otherwise(p)), ""
     )

@@ -35,13 +35,9 @@ EMAIL_ADDRESS = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 PASSWORD_RUN = r"\b[a-zA-Z0-9!@#$%^&*()_+=\-\[\]{}|;:'\",.<>/?`~]{8,}\b"
 PASSWORD_NEEDS = (r"[a-z]", r"[A-Z]", r"\d")
 US_SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-STREET_WORDS = (
-    "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl"
-    "|Square|Sq|Terrace|Ter|Parkway|Pkwy|Circle|Cir"
-)
 ADDRESS = (
-    r"\b\d{1,5}\s(?:[A-Za-z0-9\s\.,'#-]+(?:" + STREET_WORDS + r")\.?)"
-    r"[\s,]+[A-Za-z\s\.,'-]+,\s*[A-Z]{2}\s*\d{5}(?:-\d{4})?\b"
+    r"\b\d{1,5}\s(?:[A-Za-z0-9\s\.,'#-]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct"
+    r"|Place|Pl|Square|Sq|Terrace|Ter|Parkway|Pkwy|Circle|Cir)\.?)[\s,]+[A-Za-z\s\.,'-]+,\s*[A-Z]{2}\s*\d{5}(?:-\d{4})?\b"
 )
 SSH_KEY = r"ssh-(rsa|dss|ecdsa|ed25519)\s[A-Za-z0-9+/=]+\s*.*"
 AADHAAR_NUMBER = r"\b\d{4}\s\d{4}\s\d{4}\b|\b\d{12}\b"
@@ -66,6 +62,12 @@ SCORES = {
 PERSON_SCORE = 0.85
 # ---------------------------------------------------------------------------
 
+# Where a pattern has failed at a word boundary, it also fails everywhere in the run
+# that follows: an e-mail's local part must reach its '@', and an address may start at
+# any earlier number of its run. Passing over the run keeps long texts linear.
+EMAIL_SKIP = r"\b[a-zA-Z0-9._%+-]{32,}+"
+ADDRESS_SKIP = r"\b\d{1,5}\s[A-Za-z0-9\s\.,'#-]*+"
+
 # Patterns become literals of the plan.
 MAX_RECOGNIZERS = 1000
 PASSWORD_SCOPES = ("line", "text", "token")
@@ -78,6 +80,8 @@ class Recognizer:
     ``needs_text`` (a substring) or ``needs_regex`` (a cheap pattern) name something
     every match must contain; texts without it skip the full pattern. ``needs_also``
     is a second such pattern, tried only after the first.
+    ``skip`` is what to pass over where the pattern failed, because no match can start
+    in it; it has no effect on the result. Neither pattern may have capturing groups.
     ``needs_ahead`` lists classes that must each occur at or after a match's start,
     within ``scope`` ('line', 'text', or 'token' for the match itself).
     """
@@ -89,6 +93,7 @@ class Recognizer:
     needs_text: str | None = None
     needs_regex: str | None = None
     needs_also: str | None = None
+    skip: str | None = None
     needs_ahead: tuple[str, ...] = ()
     scope: str = "line"
     language: str = "en"
@@ -99,7 +104,9 @@ def _default_list() -> tuple[Recognizer, ...]:
     return (
         Recognizer("CREDIT_CARD", "credit_card_pattern", CREDIT_CARD, s["CREDIT_CARD"], needs_regex=r"\d"),
         Recognizer("PHONE_NUMBER", "phone_pattern", PHONE_NUMBER, s["PHONE_NUMBER"], needs_regex=r"\d"),
-        Recognizer("EMAIL_ADDRESS", "email_pattern", EMAIL_ADDRESS, s["EMAIL_ADDRESS"], needs_text="@"),
+        Recognizer(
+            "EMAIL_ADDRESS", "email_pattern", EMAIL_ADDRESS, s["EMAIL_ADDRESS"], needs_text="@", skip=EMAIL_SKIP
+        ),
         Recognizer(
             "PASSWORD",
             "password_pattern",
@@ -118,6 +125,7 @@ def _default_list() -> tuple[Recognizer, ...]:
             s["ADDRESS"],
             needs_regex=r"\d",
             needs_also=r",\s*[A-Z]{2}\s*\d{5}",
+            skip=ADDRESS_SKIP,
         ),
         Recognizer("SSH_KEY", "ssh_key_pattern", SSH_KEY, s["SSH_KEY"], needs_text="ssh-"),
         Recognizer("AADHAAR_NUMBER", "aadhaar_pattern", AADHAAR_NUMBER, s["AADHAAR_NUMBER"], needs_regex=r"\d"),

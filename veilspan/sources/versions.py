@@ -92,8 +92,9 @@ def status_or_empty(documents: DataFrame, status: DataFrame) -> DataFrame:
     return status_of_empty(documents.sparkSession) if documents.isEmpty() else status
 
 
-def new_version_id() -> str:
-    return f"{stamp()}_{uuid.uuid4().hex[:8]}"
+def new_version_id(now: datetime) -> str:
+    """Sorts by time; unique even for two runs in one second."""
+    return f"{stamp(now)}_{now.microsecond:06d}_{uuid.uuid4().hex[:8]}"
 
 
 def _write(rows: DataFrame, root: str, version: str) -> str:
@@ -105,7 +106,7 @@ def _write(rows: DataFrame, root: str, version: str) -> str:
 
 def write_version(df: DataFrame, root: str) -> str:
     """Write ``df`` as the new current version under ``root``; returns its id."""
-    return _write(df.withColumn("kind", F.lit(NEW)), root, new_version_id())
+    return _write(df.withColumn("kind", F.lit(NEW)), root, new_version_id(datetime.now(timezone.utc)))
 
 
 def write_scrubbed(
@@ -123,9 +124,9 @@ def write_scrubbed(
     directories of the same version. The patterns run once, nothing is shuffled, and
     a text is never replaced without its backup: both appear with the same commit.
     """
-    version = new_version_id()
-    ts = version[: version.rindex("_")]
-    status = scrub_status_columns(key, text, result, append, ts if create_backup else None)
+    now = datetime.now(timezone.utc)
+    version = new_version_id(now)
+    status = scrub_status_columns(key, text, result, append, stamp(now) if create_backup else None)
     changed = status["status"] == MODIFIED
     out = F.when(changed, output_text(F.col(text), F.col(result), append)).otherwise(F.col(text))
     none = F.lit(None).cast("string")
@@ -166,9 +167,9 @@ def read_status(spark: SparkSession, root: str, version: str, key: str = "path")
 
 
 def read_backups(spark: SparkSession, root: str) -> DataFrame:
-    """Originals kept by all runs, with the run's timestamp as ``ts``."""
+    """Originals kept by all runs; ``ts`` is the run's version, which sorts by time."""
     rows = spark.read.parquet(f"{root}/data").where(F.col("kind") == ORIGINAL)
-    return rows.withColumn("ts", F.regexp_replace(F.col("version").cast("string"), "_[0-9a-f]+$", ""))
+    return rows.withColumn("ts", F.col("version").cast("string"))
 
 
 def backup_rows(
