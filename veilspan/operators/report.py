@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.operators.resolve import of_entity
-from veilspan.session import work_folder
+from veilspan.session import materialise
 
 NOTHING_FOUND = "No sensitive data detected."
 NOTHING_REDACTED = "No data to anonymize or no sensitive data found."
@@ -58,12 +58,9 @@ def report_joined(detected: DataFrame, *keys: str, raw: str = "raw") -> DataFram
 
 def write_report(findings: DataFrame, path: str, *keys: str, confirmed: bool = False) -> None:
     """The whole report as text part files, in order; never one string on the driver."""
-    spark = findings.sparkSession
     # A global sort samples its input first, which would run the patterns twice:
     # the findings, small beside the texts, are written once and sorted from there.
-    folder = work_folder(spark, "report")
-    findings.write.parquet(folder)
-    entries = report_entries(spark.read.schema(findings.schema).parquet(folder), *keys, confirmed=confirmed)
+    entries = report_entries(materialise(findings, "report"), *keys, confirmed=confirmed)
     # Newlines inside a value would split its line.
     entries.select(F.replace("entry", F.lit("\n"), F.lit("\\n")).alias("value")).write.mode("overwrite").text(path)
 

@@ -17,7 +17,7 @@ from veilspan.plans.derived import customer_names, documents, notes, table
 from veilspan.plans.scan import scan
 from veilspan.policy import DEFAULT_POLICY, mask_with
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, ENTITIES, RecognizerSet
-from veilspan.session import spread, work_folder
+from veilspan.session import materialise, spread, work_folder
 from veilspan.sources import versions
 from veilspan.sources.files import (
     coverage,
@@ -163,12 +163,13 @@ def label_verdicts(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFr
 SCORED = DEFAULT_RECOGNIZERS.with_recognizer("HEX_TOKEN", HEX_TOKEN, 0.5, "hex_token")
 
 
-def scored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_findings(detect(documents(spark, sf_dir), recognizers=SCORED), "doc_id")
+def kept_findings(spark: SparkSession, sf_dir: str, recognizers: RecognizerSet = DEFAULT_RECOGNIZERS) -> DataFrame:
+    """Findings on disk: verdicts are derived from them and joined to them."""
+    return materialise(explode_findings(detect(documents(spark, sf_dir), recognizers=recognizers), "doc_id"), "findings")
 
 
 def verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = all_findings(spark, sf_dir)
+    found = kept_findings(spark, sf_dir)
     joined = verify.join_verdicts(found, label_verdicts(spark, sf_dir, found), "doc_id")
     verdict = F.coalesce(F.col("verdict").cast("string"), F.lit("missing"))
     return joined.select("doc_id", "entity", "start", "value", verdict.alias("verdict"))
@@ -191,7 +192,7 @@ def verify_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verify_confirmed(on_missing: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = scored_findings(spark, sf_dir)
+        found = kept_findings(spark, sf_dir, SCORED)
         kept = verify.confirm(found, label_verdicts(spark, sf_dir, found), "doc_id", on_missing=on_missing)
         return kept.select("doc_id", "entity", "start", "value", "score")
 
@@ -214,7 +215,7 @@ def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = all_findings(spark, sf_dir)
+    found = kept_findings(spark, sf_dir)
     kept = verify.confirm(found, label_verdicts(spark, sf_dir, found), "doc_id")
     return report.report_entries(kept, "doc_id", confirmed=True)
 

@@ -16,7 +16,7 @@ from veilspan.operators.resolve import overlapping_entities
 from veilspan.operators.verify import MIN_SCORE, classify, confirm, distinct_values
 from veilspan.policy import DEFAULT_POLICY, Rule, require_rules
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, RecognizerSet
-from veilspan.session import work_folder
+from veilspan.session import materialise
 from veilspan.sources import versions
 from veilspan.sources.files import read_documents
 
@@ -33,11 +33,10 @@ class ScanResult:
     scrub_summary: DataFrame | None = None
 
 
-def stage(detected: DataFrame, folder: str) -> DataFrame:
-    """Write detection results once, split by whether anything was found, and read them back."""
-    marked = detected.withColumn("hit", F.when(F.size("raw") > 0, F.lit("yes")).otherwise(F.lit("no")))
-    marked.write.partitionBy("hit").parquet(folder)
-    return detected.sparkSession.read.schema(marked.schema).parquet(folder)
+def stage(detected: DataFrame) -> DataFrame:
+    """Detection results written once, split by whether anything was found."""
+    hit = F.when(F.size("raw") > 0, F.lit("yes")).otherwise(F.lit("no"))
+    return materialise(detected.withColumn("hit", hit), "detected", "hit")
 
 
 def scan(
@@ -82,7 +81,7 @@ def scan(
     detected = detect(docs, "text", recognizers, names or ())
     verifying = verdicts is not None or classifier is not None
     if staged or (staged is None and (verifying or name_table is not None)):
-        detected = stage(detected, work_folder(documents.sparkSession, "detected"))
+        detected = stage(detected)
 
     findings = explode_findings(detected, key)
     if name_table is not None:

@@ -38,6 +38,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` once to the shared work folder and read it back.
+
+    For results that are used several times: costly steps above it run once, and a
+    lost executor re-reads the files instead of repeating them.
+    """
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.partitionBy(*partition_by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @cache
 def _local_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
