@@ -1,14 +1,73 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilspan.llm import chunk_dedup, language_spans, packing, suffix_decontamination
 from veilspan.llm.minhash_forest import near_duplicates
+from veilspan.llm.queries import TOKENIZER
+from veilspan.session import materialise
 
-STAGES = []
+#: A document goes if less than this share of its letters is in spans of its main language.
+LEAST_SHARE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without letters, or without a language of half their letters, go.
+
+    Learns from the rows' own text and lang. Null texts have no letters and go; a null lang is no reason to go.
+    """
+    found = language_spans.identify(docs, language_spans.learn(docs))
+    keep = (F.col("lang_pred") != language_spans.UNKNOWN) & (F.col("lang_score") >= LEAST_SHARE)
+    return found.where(keep).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of least doc_id; rows that repeat a doc_id are one of them.
+
+    Rows without doc_id cannot be told apart and stay.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; a document of which nothing is left goes."""
+    cut = chunk_dedup.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return suffix_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1,024 tokens; ids as a checksum."""
+    pieces = materialise(packing.tokenise(docs, TOKENIZER), "pieces")
+    placed = packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", keep_one_of_each_group),
+    ("repeated_passages", cut_repeated_passages),
+    ("benchmark", remove_benchmark),
+    ("packing", pack_sequences),
+]
+
+#: SQL has no form of the language model, the rolling hash or the packing; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

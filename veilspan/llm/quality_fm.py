@@ -92,8 +92,10 @@ class Machine:
 
     def fit(self, sets: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 8, rate: float = 0.05, decay: float = 1e-5) -> None:
         """Adaptive gradient steps over batches of 32 documents, in an order that is equal everywhere."""
-        share = min(max(label.mean(), 0.01), 0.99)
-        self.bias = float(np.log(share / (1 - share)))
+        # Both labels weigh the same together, whatever their shares; few rows are gone through more often.
+        share = label.mean()
+        weight = np.where(label > 0.5, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) if 0 < share < 1 else np.ones(len(label))
+        epochs = max(epochs, 20_000 // len(label))
         past_w, past_v, past_b = np.full(FEATURES, 1e-4), np.full((FEATURES, RANK), 1e-4), 1e-4
         rng = np.random.default_rng(3)
         for _ in range(epochs):
@@ -103,7 +105,7 @@ class Machine:
                 place = np.concatenate([sets[i][0] for i in batch])
                 value = np.concatenate([sets[i][1] for i in batch])
                 row = np.repeat(np.arange(len(batch)), [len(sets[i][0]) for i in batch])
-                slope = (1 / (1 + np.exp(-self.logit(place, value, row, len(batch)))) - label[batch]) / len(batch)
+                slope = (1 / (1 + np.exp(-self.logit(place, value, row, len(batch)))) - label[batch]) * weight[batch] / len(batch)
                 part = self.vector[place] * value[:, None]
                 total = np.stack([np.bincount(row, part[:, f], len(batch)) for f in range(RANK)], 1)
                 pull = slope[row] * value
