@@ -130,16 +130,22 @@ def test_check_scrubs_with_backup_and_restores(spark, secrets, tmp_path):
     }
     assert by_name(result.scrub_status, "status") == {"a.txt": "modified", "b.ini": "skipped", "c.log": "modified"}
     backup = by_name(result.scrub_status, "backup_path")
-    assert ".txt.backup_" in backup["a.txt"] and backup["b.ini"] is None
-    assert {r["status"]: r["n_files"] for r in result.scrub_summary.collect()} == {"modified": 2, "skipped": 1}
+    folder, _, key = backup["a.txt"].partition("#")
+    assert backup["b.ini"] is None and os.path.basename(key) == "a.txt"
+    kept = spark.read.parquet(folder).where(F.col("path") == key).collect()
+    assert [r["text"] for r in kept] == ["mail someone@example.com now"]
+    summary = {r["status"]: (r["n_files"], r["n_backups"]) for r in result.scrub_summary.collect()}
+    assert summary == {"modified": (2, 2), "skipped": (1, 0)}
     assert by_name(versions.read_backups(spark, out), "text") == {
         "a.txt": "mail someone@example.com now", "c.log": "ssn 123-45-6789\n",
     }
     assert open(os.path.join(secrets, "a.txt")).read() == "mail someone@example.com now"
 
-    current = versions.read_current(spark, out).select("path", "text")
-    versions.write_version(versions.restore(current, versions.read_backups(spark, out), "path"), out)
-    assert by_name(versions.read_current(spark, out), "text")["c.log"] == "ssn 123-45-6789\n"
+    version = versions.rollback(spark, out)
+    assert versions.current_version(spark, out) == version
+    assert by_name(versions.read_current(spark, out), "text") == {
+        "a.txt": "mail someone@example.com now", "b.ini": "plain words", "c.log": "ssn 123-45-6789\n",
+    }
 
 
 def test_check_append_and_no_backup(spark, secrets, tmp_path):
@@ -197,3 +203,34 @@ def test_second_run_restores_the_newest_backup(spark, secrets, tmp_path):
     restored = versions.restore(current, versions.read_backups(spark, out), "path")
     assert restored.count() == 3
     assert by_name(restored, "text")["c.log"] == "ssn 999-99-9999"
+
+
+def test_too_large_files_are_errors_and_the_others_go_on(spark, secrets, tmp_path, monkeypatch):
+    from veilspan.sources import files
+
+    monkeypatch.setattr(files.documents_of, "__defaults__", (False, 20))
+    monkeypatch.setattr(files.oversized, "__defaults__", (20,))
+    result = check(spark, secrets, str(tmp_path / "out"))
+    assert by_name(result.scrub_status, "status") == {"a.txt": "errors", "b.ini": "skipped", "c.log": "modified"}
+    assert "larger than 20 bytes" in by_name(result.scrub_status, "error")["a.txt"]
+
+
+def test_form_of_files_is_known(spark, tmp_path):
+    from veilspan.sources.files import documents_of, list_files, text_files
+
+    (tmp_path / "w.txt").write_bytes("é\r\n".encode("latin-1"))
+    (tmp_path / "u.txt").write_bytes("é\n".encode())
+    rows = documents_of(text_files(list_files(spark, str(tmp_path))), details=True)
+    assert by_name(rows, "encoding") == {"w.txt": "latin-1", "u.txt": "utf-8"}
+    assert by_name(rows, "had_crlf") == {"w.txt": True, "u.txt": False}
+
+
+def test_reports_of_nothing_hold_one_line(spark, tmp_path):
+    from veilspan.operators.report import NOTHING_FOUND, NOTHING_REDACTED, redacted_in_order, write_report
+
+    (tmp_path / "plain.txt").write_text("plain words")
+    result = check(spark, str(tmp_path), scrub_files=False)
+    write_report(result.findings, str(tmp_path / "report"), "path")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == [NOTHING_FOUND]
+    assert [r["redacted"] for r in redacted_in_order(result.redacted, "path").collect()] == ["plain words"]
+    assert [r["redacted"] for r in redacted_in_order(result.redacted.limit(0), "path").collect()] == [NOTHING_REDACTED]

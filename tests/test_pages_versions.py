@@ -3,32 +3,37 @@ import random
 from pyspark.sql import functions as F
 
 from veilspan.sources import versions
-from veilspan.sources.pages import assemble_pages
+from veilspan.sources.pages import assemble_pages, assemble_segments, page_blocks
 
 
 def brute(rows):
     out = {}
-    for doc, page, text in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "")):
+    for doc, page, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2] is not None, r[2] or "")):
         pages = out.setdefault(doc, [])
         n = len(pages) + 1
         pages.append(f"\n--- Page {n} ---\n{text}" if text else f"\n--- Page {n} (No text extracted or error) ---\n")
-    return {doc: "".join(pages) for doc, pages in out.items()}
+    return out
 
 
-def test_assembly_over_segments_of_any_size(spark):
+def test_pages_of_any_number(spark):
     rng = random.Random(2)
-    # Document 0 holds most pages.
+    # Document 0 holds most pages; some page numbers and document ids are null, some numbers far apart.
     rows = [(0, p, f"text {p}") for p in rng.sample(range(5000), 900)]
     rows += [(d, p, rng.choice(["x", "", None])) for d in range(1, 30) for p in range(rng.randrange(1, 12))]
+    rows += [(30, 1, "a"), (30, 1000, "b"), (30, None, "c"), (30, None, None), (31, 5000, "d"), (None, 1, "e"), (None, None, "f"), (32, -7, "g")]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc int, page int, text string")
-    for size in (1, 7, 100, 100000):
-        parts = assemble_pages(df, "doc", "page", pages_per_segment=size).orderBy("doc", "segment").collect()
+    want = brute(rows)
+    for span in (1, 7, 100, 100000):
+        blocks = page_blocks(df, "doc", "page", span=span)
         got = {}
-        for r in parts:
-            got[r["doc"]] = got.get(r["doc"], "") + r["text"]
-        assert got == brute(rows)
-    assert len({r["segment"] for r in assemble_pages(df, "doc", "page", pages_per_segment=100).collect()}) > 40
+        for r in sorted(blocks.collect(), key=lambda r: r["n"]):
+            got.setdefault(r["doc"], []).append(r["block"])
+            assert len(got[r["doc"]]) == r["n"]
+        assert got == want
+    assert {r["doc"]: r["text"] for r in assemble_pages(blocks, "doc").collect()} == {d: "".join(p) for d, p in want.items()}
+    parts = {(r["doc"], r["segment"]): r["text"] for r in assemble_segments(blocks, "doc", 4).collect()}
+    assert parts[0, 3] == "".join(want[0][12:16])
 
 
 def test_versions_are_published_whole(spark, tmp_path):

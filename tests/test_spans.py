@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from veilspan.functions.arrays import RUN, max_before, sums_before
 from veilspan.functions.spans import MARK, match_spans
-from veilspan.functions.words import ngrams
+from veilspan.functions.words import word_runs
 from veilspan.operators.detect import detect, explode_findings
 from veilspan.plans.derived import notes
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, PASSWORD_NEEDS, PASSWORD_RUN, RecognizerSet
@@ -165,21 +165,32 @@ def test_skipping_changes_nothing(spark):
 def test_ngrams(spark):
     text = "John  Doe-Smith, Ann\nLee #7 x"
     df = spark.createDataFrame([(text,)], "text string")
-    grams = df.select(F.explode(ngrams(F.col("text"))).alias("g")).select("g.*").collect()
+    any_word = lambda word: F.lit(True)
+    grams = df.select(F.explode(word_runs(F.col("text"), [1, 2, 3], any_word)).alias("g")).select("g.*").collect()
     for g in grams:
         assert text[g["start"] : g["end"]] == g["value"]
         assert " ".join(g["value"].split()) == g["gram"]
     got = {g["gram"] for g in grams}
-    assert {"John", "Doe-Smith", "John Doe-Smith", "Ann Lee", "Ann", "7 x"} <= got
+    assert {"John", "Doe-Smith", "John Doe-Smith", "Ann Lee", "Ann", "7 x", "Doe-Smith, Ann"} <= got
     assert "Doe-Smith Ann" not in got
+    ann = df.select(F.explode(word_runs(F.col("text"), [2, 9], lambda word: word == "Ann")).alias("g")).select("g.*").collect()
+    assert [g["gram"] for g in ann] == ["Ann Lee"]
+    assert df.select(F.size(word_runs(F.col("text"), [], any_word)).alias("n")).first()["n"] == 0
+    assert spark.createDataFrame([("",)], "text string").select(F.size(word_runs(F.col("text"), [1], any_word)).alias("n")).first()["n"] == 0
 
 
-def test_recognizer_set_rules():
+def test_recognizer_set_rules(spark):
     assert [r.entity for r in DEFAULT_RECOGNIZERS.only(["US_SSN"])] == ["US_SSN"]
     with pytest.raises(ValueError):
         DEFAULT_RECOGNIZERS.only(["NOPE"])
-    with pytest.raises(re.error):
+    with pytest.raises(ValueError):
         DEFAULT_RECOGNIZERS.with_recognizer("X", "(", 0.5)
+    # Patterns are those of the engine that runs them.
+    assert len(DEFAULT_RECOGNIZERS.with_recognizer("X", r"\p{L}++", 0.5)) == 11
+    with pytest.raises(ValueError):
+        DEFAULT_RECOGNIZERS.with_recognizer("X", "(?P<n>a)", 0.5)
+    scoped = DEFAULT_RECOGNIZERS.with_scope("text").with_flags("i")
+    assert {r.scope for r in scoped if r.needs_ahead} == {"text"}
     with pytest.raises(ValueError):
         DEFAULT_RECOGNIZERS.with_recognizer("X", "a*", 0.5)
     with pytest.raises(ValueError):
@@ -202,7 +213,7 @@ def test_match_spans_of_adjacent_matches(spark):
 def test_words_of_any_length(spark):
     text = "a." * 300_000 + "a John"
     df = spark.createDataFrame([(text,)], "text string")
-    grams = df.select(F.transform(ngrams(F.col("text"), 2), lambda g: F.length(g["gram"])).alias("n")).first()["n"]
+    grams = df.select(F.transform(word_runs(F.col("text"), [1, 2], lambda word: F.lit(True)), lambda g: F.length(g["gram"])).alias("n")).first()["n"]
     assert sorted(grams) == [4, 600_001, 600_006]
 
 
@@ -214,3 +225,31 @@ def test_strip_like_python(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     rows = df.select(strip(F.col("text")).alias("s")).orderBy("k").collect()
     assert [r["s"] for r in rows] == [t.strip() for t in texts]
+
+
+STREETS = ["Main St", "Oak Rd.", "Ave", "Terrace", "Cir", "Street", "Pl"]
+TAILS = [", CA 90210", ", CA90210-1234", ",CA 9021", ", ca 90210", ", CA 902101", ", CA  90210-12", ", NY 10001."]
+
+
+def test_addresses_read_backwards_are_those_of_the_pattern(spark):
+    rng = random.Random(11)
+    parts = ["12 ", "7\n", "123456 ", "x1 ", "#", "'", "-", " ", "  ", ", ", "\n", ";", "Town", "A", "5", "é", *STREETS, *TAILS]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 30))) for _ in range(6000)]
+    texts += [f"{rng.choice(parts)}12 Main {rng.choice(STREETS)}{rng.choice([' ', ', ', ',,'])}Town{rng.choice(TAILS)}" * 2 for _ in range(300)]
+    chosen = DEFAULT_RECOGNIZERS.only(["ADDRESS"])
+    want = expected(texts, chosen)
+    assert len(want) > 150
+    assert found(spark, texts, chosen) == want
+
+
+def test_addresses_take_linear_time(spark):
+    import time
+
+    street = "Main Street Oak Avenue "
+    texts = ["12 " + street * 45_000, "12 " + street * 40_000 + "12345", "12 " + (street + "5 ") * 40_000 + ", CA 12345",
+             "Oak St, a, CA 12345," * 50_000, "1 " * 300_000 + "Oak St, Town, CA 12345", "9 a St" + " " * 300_000 + "b, CA 12345"]
+    for text in texts:
+        df = spark.createDataFrame([(1, text)], "path int, text string")
+        start = time.perf_counter()
+        explode_findings(detect(df, recognizers=DEFAULT_RECOGNIZERS.only(["ADDRESS"])), "path").collect()
+        assert time.perf_counter() - start < 10

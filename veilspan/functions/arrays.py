@@ -17,9 +17,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def jvm_id() -> int:
-    """Identifies the JVM that built columns belong to."""
-    return id(SparkContext._gateway)
+def jvm_id() -> str:
+    """Identifies the application whose JVM built columns belong to; no two have the same."""
+    return SparkContext.getOrCreate().applicationId
 
 
 def _fold(values: Column, first: Column, combine: Callable[[Column, Column], Column]) -> Column:

@@ -23,7 +23,8 @@ def apply_rule(rule: Rule, value: Column) -> Column:
         return F.lit(rule.new_value)
     if rule.op == "mask":
         return mask(value, rule.mask_char, rule.mask_n, rule.from_end)
-    return rule.apply(value)
+    done = rule.apply(value)
+    return F.coalesce(done, F.repeat(F.lit("*"), F.length(value))) if rule.on_null == "mask" else done
 
 
 def replacement(entity: Column, value: Column, policy: Mapping[str, Rule]) -> Column:

@@ -39,7 +39,17 @@ def gaps_and_matches(text: Column, pattern: str, prefix: str = "", skip: str | N
         both = F.zip_with(all_of(1), all_of(2), lambda hit, over: F.array(hit, over, F.lit("")))
         none = F.array(F.lit(""))
         woven = F.zip_with(gaps, both, lambda gap, rest: F.concat(F.array(gap), F.coalesce(rest, none)))
-    return F.when(F.contains(text, F.lit(MARK)), F.flatten(woven)).otherwise(marked)
+    # The last gap has no match behind it: an odd number of parts on either route.
+    two_pass = let(F.flatten(woven), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+    return F.when(F.contains(text, F.lit(MARK)), two_pass).otherwise(marked)
+
+
+def parts_of(text: Column, recognizer, prefix: str) -> Column:
+    """``gaps_and_matches`` of a recognizer; a ``backwards`` pattern runs over the reversed text."""
+    if recognizer.backwards is None:
+        return gaps_and_matches(text, recognizer.regex, prefix, recognizer.skip)
+    parts = gaps_and_matches(F.reverse(text), recognizer.backwards, prefix, recognizer.skip)
+    return F.transform(F.reverse(parts), lambda p: F.reverse(p))
 
 
 def located(parts: Column) -> Column:

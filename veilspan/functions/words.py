@@ -1,10 +1,14 @@
-"""Word n-grams with offsets, for names given as a list or a table."""
+"""Runs of words with offsets, for names given as a list or a table.
+
+Names and texts are cut into words by the same pattern. Two runs are equal if their words and the gaps between them are,
+white space of any kind and length counting as one space: ``J. Smith`` is found as written, also over a line break.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import let, sums_before
@@ -13,63 +17,71 @@ from veilspan.functions.spans import gaps_and_matches
 # A word, its inner joiners included, so O'Neil and Anne-Marie stay whole. The loops are
 # possessive: a greedy group loop recurses in the JVM and overflows on very long words.
 WORD = r"(?Ud)\w[\w#]*+(?:['’.-][\w#]++)*+"
-MAX_WORDS = 3
 
 
-def _alternate(pieces: list[Column], spaces: list[Column]) -> list[Column]:
-    out = [pieces[0]]
-    for gap, piece in zip(spaces, pieces[1:]):
-        out += [gap, piece]
-    return out
+def plain(piece: Column) -> Column:
+    return F.regexp_replace(piece, r"(?U)\s+", " ")
 
 
-def ngrams(text: Column, max_words: int = MAX_WORDS) -> Column:
-    """array<struct<start, end, gram, value>>: runs of 1..max_words words separated by whitespace only."""
+def name_parts(name: Column) -> Column:
+    """struct<key, words, first> of a name; key is null without words. What is outside the words does not count."""
+
+    def build(parts: Column) -> Column:
+        inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+        some = F.size(parts) > 1
+        return F.struct(
+            F.when(some, F.array_join(F.transform(inner, plain), "")).alias("key"),
+            F.floor(F.size(parts) / 2).cast("int").alias("words"),
+            F.get(parts, F.lit(1)).alias("first"),
+        )
+
+    return let(gaps_and_matches(name, WORD), build)
+
+
+def word_runs(text: Column, lengths: Sequence[int], may_begin: Callable[[Column], Column]) -> Column:
+    """array<struct<start, end, gram, value>>: runs of each of ``lengths`` words from words that ``may_begin`` allows."""
+    if not lengths:
+        return F.expr("cast(array() as array<struct<start:int,end:int,gram:string,value:string>>)")
 
     def build(parts: Column) -> Column:
         starts = sums_before(F.transform(parts, lambda p: F.length(p)))
-        words = F.zip_with(parts, starts, lambda p, s: F.struct(s.alias("start"), p.alias("piece")))
-
-        def grams(ws: Column) -> Column:
-            # Odd positions hold words, even positions the gaps between them.
-            def of_size(n: int) -> Column:
-                def at(_: Column, i: Column) -> Column:
-                    pieces = [F.get(ws, i + 2 * k)["piece"] for k in range(n)]
-                    spaces = [F.get(ws, i + 2 * k + 1)["piece"] for k in range(n - 1)]
-                    ok = (i % 2 == 1) & (pieces[0] != "")
-                    for gap in spaces:
-                        ok = ok & gap.rlike(r"(?U)^\s+$")
-                    for piece in pieces[1:]:
-                        ok = ok & piece.isNotNull() & (piece != "")
-                    last = F.get(ws, i + 2 * (n - 1))
-                    return F.when(
-                        ok,
-                        F.struct(
-                            F.get(ws, i)["start"].alias("start"),
-                            (last["start"] + F.length(last["piece"])).alias("end"),
-                            F.concat_ws(" ", *pieces).alias("gram"),
-                            F.concat(*_alternate(pieces, spaces)).alias("value"),
-                        ),
+
+        def runs(at: Column) -> Column:
+            # Odd places hold words, even places the gaps between them.
+            places = F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(2))
+            heads = F.filter(places, lambda i: F.coalesce(may_begin(F.get(parts, i)), F.lit(False)))
+
+            def of_head(i: Column) -> Column:
+                def of_length(n: Column) -> Column:
+                    piece = F.slice(parts, i + 1, 2 * n - 1)
+                    value = F.array_join(piece, "")
+                    start = F.get(at, i)
+                    run = F.struct(
+                        start.alias("start"), (start + F.length(value)).alias("end"),
+                        F.array_join(F.transform(piece, plain), "").alias("gram"), value.alias("value"),
                     )
+                    return F.when(i + 2 * (n - 1) < F.size(parts), run)
 
-                return F.filter(F.transform(ws, at), lambda x: x.isNotNull())
+                return F.array_compact(F.transform(F.array(*[F.lit(n) for n in lengths]), of_length))
 
-            return F.concat(*[of_size(n) for n in range(1, max_words + 1)])
+            return F.flatten(F.transform(heads, of_head))
 
-        return let(words, grams)
+        return let(starts, runs)
 
     return let(gaps_and_matches(text, WORD), build)
 
 
+def listed_names(names: DataFrame) -> DataFrame:
+    """Distinct key, words and first of the names in the first column."""
+    parts = names.select(name_parts(F.col(names.columns[0])).alias("n"))
+    return parts.where("n.key is not null").select("n.key", "n.words", "n.first").distinct()
+
+
 def name_spans(text: Column, names: Sequence[str]) -> Column:
     """Spans of listed names; the list is a literal set, so this stays inside the row."""
-    longest = max(len(n.split()) for n in names)
-    wanted = sorted({" ".join(n.split()) for n in names})
-    hits = F.filter(ngrams(text, longest), lambda g: g["gram"].isin(wanted))
-    return F.transform(
-        hits,
-        lambda g: F.struct(
-            g["start"].alias("start"),
-            g["value"].alias("value"),
-        ),
-    )
+    spark = SparkSession.builder.getOrCreate()
+    rows = listed_names(spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")).collect()
+    firsts, keys = sorted({r["first"] for r in rows}), sorted({r["key"] for r in rows})
+    runs = word_runs(text, sorted({r["words"] for r in rows}), lambda word: word.isin(firsts))
+    hits = F.filter(runs, lambda g: g["gram"].isin(keys))
+    return F.transform(hits, lambda g: F.struct(g["start"].alias("start"), g["value"].alias("value")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspan import schemas
 from veilspan.functions.arrays import jvm_id
-from veilspan.functions.spans import NO_SPANS, gaps_and_matches, located, spans_with_ahead
+from veilspan.functions.spans import NO_SPANS, located, parts_of, spans_with_ahead
 from veilspan.functions.words import name_spans
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, PERSON_SCORE, Recognizer, RecognizerSet
 
@@ -74,7 +74,7 @@ def _build(text: Column, recognizers: RecognizerSet, names: Sequence[str]) -> Co
             return _tagged(
                 r, priority, spans=spans_with_ahead(text, pattern, r.needs_ahead, recognizers.prefix, r.scope)
             )
-        parts = gaps_and_matches(text, r.regex, recognizers.prefix, r.skip)
+        parts = parts_of(text, r, recognizers.prefix)
         if r.needs_also is not None:
             also = text.rlike(recognizers.prefix + r.needs_also)
             parts = F.when(also, parts).otherwise(F.expr(NO_PARTS))
@@ -95,7 +95,7 @@ def _build(text: Column, recognizers: RecognizerSet, names: Sequence[str]) -> Co
 
 
 @lru_cache(maxsize=128)
-def _cached(jvm: int, text: str, recognizers: RecognizerSet, names: tuple[str, ...]) -> Column:
+def _cached(jvm: str, text: str, recognizers: RecognizerSet, names: tuple[str, ...]) -> Column:
     return _build(F.col(text), recognizers, names)
 
 

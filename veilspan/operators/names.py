@@ -1,58 +1,57 @@
-"""PERSON findings from a table of names of any size."""
+"""PERSON findings from a table of names of any size and length."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.words import MAX_WORDS, ngrams
-from veilspan.operators.verify import salted_lookup
+from veilspan.functions.words import listed_names, word_runs
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, PERSON_SCORE
 
-# Up to this many names go into the plan as a literal set; more are joined.
-INLINE_NAMES = 2000
+# First words of names are marked in a bit map of this many places: 8 KB in the plan, whatever the table.
+PLACES = 1 << 16
 
 
-def inline_names(names: DataFrame, limit: int = INLINE_NAMES) -> list[str] | None:
-    """The names as a list if there are at most ``limit``, else None; reads limit+1 rows at most."""
-    rows = names.select(F.col(names.columns[0]).alias("name")).where("name is not null").limit(limit + 1).collect()
-    return None if len(rows) > limit else [r["name"] for r in rows]
+def _place(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(PLACES)).cast("int")
 
 
-def person_findings(
-    documents: DataFrame,
-    names: DataFrame,
-    *keys: str,
-    text: str = "text",
-    name: str = "name",
-    max_words: int = MAX_WORDS,
-    salts: int = 16,
-) -> DataFrame:
-    """Word n-grams joined to the names: one row per occurrence of a listed name.
+def candidates(text: Column, listed: DataFrame) -> Column:
+    """Word runs of the lengths that names have, from words that may begin one.
 
-    Only keys, offsets and grams are exploded; the text stays behind.
+    Reads two small things from the table: the distinct lengths, and the bit map of first words (at most ``PLACES`` rows).
     """
-    grams = documents.select(*keys, F.explode_outer(ngrams(F.col(text), max_words)).alias("g")).where(
-        F.col("g").isNotNull()
-    )
-    left = grams.select(
-        *keys, F.col("g.start").alias("start"), F.col("g.end").alias("end"), F.col("g.gram").alias("name"),
-        F.col("g.value").alias("value"),
-    )
-    listed = (
-        names.select(F.array_join(F.split(F.trim(F.col(name)), r"(?U)\s+"), " ").alias("name"))
-        .where("name != ''")
-        .distinct()
-        .withColumn("listed", F.lit(True))
-    )
-    hits = salted_lookup(left, listed, ["name"], [*keys, "start"], salts).where("listed")
+    lengths = sorted(r["words"] for r in listed.select("words").distinct().collect())
+    bits = [0] * (PLACES // 64)
+    for row in listed.select(_place(F.col("first")).alias("p")).distinct().collect():
+        bits[row["p"] // 64] |= 1 << (row["p"] % 64)
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    # Folded to one literal array when the plan is made.
+    bit_map = F.from_json(F.lit(json.dumps(signed)), "array<bigint>")
+    marked = lambda word: F.getbit(F.get(bit_map, F.floor(_place(word) / 64).cast("int")), _place(word) % 64) == 1
+    return word_runs(text, lengths, marked)
+
+
+def matched(runs: DataFrame, listed: DataFrame, *keys: str, column: str = "people") -> DataFrame:
+    """Findings of the candidate runs in ``column`` whose key is listed; keys and offsets move, texts do not."""
+    rows = runs.select(*keys, F.explode_outer(column).alias("g")).where(F.col("g").isNotNull())
+    # No salting here: where one name makes up a large share of all rows, the adaptive skew join divides them.
+    hits = rows.join(listed.select("key").distinct(), F.col("g.gram") == F.col("key"), "left_semi")
     return hits.select(
         *keys,
         F.lit("PERSON").alias("entity"),
         F.lit("name_list").alias("pattern_name"),
-        "start",
-        "end",
-        "value",
+        F.col("g.start").alias("start"),
+        F.col("g.end").alias("end"),
+        F.col("g.value").alias("value"),
         F.lit(PERSON_SCORE).alias("score"),
         F.lit(DEFAULT_RECOGNIZERS.priority("PERSON")).alias("priority"),
     )
+
+
+def person_findings(documents: DataFrame, names: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """One row per occurrence of a name in the first column of ``names``."""
+    listed = listed_names(names)
+    return matched(documents.select(*keys, candidates(F.col(text), listed).alias("people")), listed, *keys)

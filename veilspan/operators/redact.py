@@ -8,9 +8,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.arrays import jvm_id
+from veilspan.functions.arrays import jvm_id, let
 from veilspan.functions.mask import apply_rule, replacement
-from veilspan.functions.spans import gaps_and_matches
+from veilspan.functions.spans import parts_of
 from veilspan.functions.text import with_slicer
 from veilspan.operators.resolve import resolve
 from veilspan.policy import DEFAULT_POLICY, Rule
@@ -26,17 +26,18 @@ def rebuild(text: Column, kept: Column, policy: Mapping[str, Rule] = DEFAULT_POL
             return F.concat(cut(gap_from, x["start"]), replacement(x["entity"], x["value"], policy))
 
         tail = cut(-F.element_at(kept, F.lit(-1))["neg_end"], F.length(text))
-        return F.concat(F.array_join(F.transform(kept, one), ""), tail)
+        # array_join would skip a null piece and lose the text before it: without a replacement there is no result.
+        whole = lambda all_: F.when(~F.exists(all_, lambda p: p.isNull()), F.concat(F.array_join(all_, ""), tail))
+        return let(F.transform(kept, one), whole)
 
     return F.when(F.size(kept) > 0, with_slicer(text, F.size(kept), pieces)).otherwise(text)
 
 
 def redact_one(text: Column, recognizer: Recognizer, recognizers: RecognizerSet, rule: Rule) -> Column:
     """Short way for a single plain pattern: no offsets, only gaps and matches."""
-    parts = gaps_and_matches(text, recognizer.regex, recognizers.prefix, recognizer.skip)
-    done = F.array_join(
-        F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (p != ""), apply_rule(rule, p)).otherwise(p)), ""
-    )
+    parts = parts_of(text, recognizer, recognizers.prefix)
+    changed = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & (p != ""), apply_rule(rule, p)).otherwise(p))
+    done = let(changed, lambda all_: F.when(~F.exists(all_, lambda p: p.isNull()), F.array_join(all_, "")))
     if recognizer.needs_text is not None:
         return F.when(F.contains(text, F.lit(recognizer.needs_text)), done).otherwise(text)
     if recognizer.needs_regex is not None:
@@ -45,12 +46,12 @@ def redact_one(text: Column, recognizer: Recognizer, recognizers: RecognizerSet,
 
 
 @lru_cache(maxsize=128)
-def _resolved(jvm: int, text: str, raw: str, shared: tuple[str, ...]) -> Column:
+def _resolved(jvm: str, text: str, raw: str, shared: tuple[str, ...]) -> Column:
     return resolve(F.col(text), F.col(raw), shared)
 
 
 @lru_cache(maxsize=128)
-def _rebuilt(jvm: int, text: str, kept: str, rules: tuple[tuple[str, Rule], ...]) -> Column:
+def _rebuilt(jvm: str, text: str, kept: str, rules: tuple[tuple[str, Rule], ...]) -> Column:
     return rebuild(F.col(text), F.col(kept), dict(rules))
 
 

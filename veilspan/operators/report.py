@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from veilspan.operators.resolve import of_entity
 from veilspan.session import materialise
 
+# ---------------------------------------------------------------------------
+# The lines of an empty report and the mark of a confirmed finding.
+# ---------------------------------------------------------------------------
 NOTHING_FOUND = "No sensitive data detected."
 NOTHING_REDACTED = "No data to anonymize or no sensitive data found."
 CONFIRMED = " (confirmed)"
+# ---------------------------------------------------------------------------
 
 
 def entry(entity: Column, value: Column, score: Column, confirmed: Column | None = None) -> Column:
@@ -56,11 +60,25 @@ def report_joined(detected: DataFrame, *keys: str, raw: str = "raw") -> DataFram
     )
 
 
+def or_line(rows: DataFrame, column: str, line: str) -> DataFrame:
+    """``rows``, or if there are none one row with only ``line`` in ``column``."""
+    if not rows.isEmpty():
+        return rows
+    empty = [F.lit(line if f.name == column else None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    return rows.sparkSession.range(1).select(*empty)
+
+
+def redacted_in_order(redacted: DataFrame, *keys: str, column: str = "redacted") -> DataFrame:
+    """The redacted texts of all documents in the order of their keys, or one fixed line (a range-partitioned sort)."""
+    return or_line(redacted.select(*keys, column).orderBy(*keys), column, NOTHING_REDACTED)
+
+
 def write_report(findings: DataFrame, path: str, *keys: str, confirmed: bool = False) -> None:
     """The whole report as text part files, in order; never one string on the driver."""
     # A global sort samples its input first, which would run the patterns twice:
     # the findings, small beside the texts, are written once and sorted from there.
     entries = report_entries(materialise(findings, "report"), *keys, confirmed=confirmed)
+    entries = or_line(entries, "entry", NOTHING_FOUND)
     # Newlines inside a value would split its line.
     entries.select(F.replace("entry", F.lit("\n"), F.lit("\\n")).alias("value")).write.mode("overwrite").text(path)
 

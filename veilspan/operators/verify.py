@@ -50,35 +50,24 @@ def distinct_values(findings: DataFrame) -> DataFrame:
 
 
 def verdict_table(verdicts: DataFrame) -> DataFrame:
-    """One verdict per (entity, value); conflicting responses count as false."""
-    return verdicts.groupBy(*VALUE_KEY).agg(F.bool_and(is_true(F.col("response"))).alias("verdict"))
+    """One verdict per (entity, value); conflicting responses count as false, a null response is none."""
+    return verdicts.where("response is not null").groupBy(*VALUE_KEY).agg(F.bool_and(is_true(F.col("response"))).alias("verdict"))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], salts: int) -> DataFrame:
-    """Left join to a table that is unique in ``on``, with hot keys split ``salts`` ways.
+def join_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Add ``verdict`` (null when there is none) to each finding.
 
-    A value that makes up a third of all findings would meet its single verdict in
-    one task; here each lookup row is copied once per salt and the findings of a
-    key are divided among the copies. There is no broadcast hint: Spark broadcasts
-    the right side only when its own size check allows it.
+    Values are mostly distinct, so verdicts are not copied for salts; where a value is hot, the adaptive skew join divides its
+    findings. There is no broadcast hint: Spark broadcasts verdicts only when its own size check allows it.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], "left").drop("_salt")
-
-
-def join_verdicts(findings: DataFrame, verdicts: DataFrame, *keys: str, salts: int = 16) -> DataFrame:
-    """Add ``verdict`` (null when there is none) to each finding."""
-    return salted_lookup(findings, verdict_table(verdicts), VALUE_KEY, [*keys, "start"], salts)
+    return findings.join(verdict_table(verdicts), VALUE_KEY, "left")
 
 
 def confirm(
     findings: DataFrame,
     verdicts: DataFrame,
-    *keys: str,
     on_missing: str = "drop",
     min_score: float = MIN_SCORE,
-    salts: int = 16,
 ) -> DataFrame:
     """Findings with a true verdict and a sufficient score.
 
@@ -87,7 +76,7 @@ def confirm(
     """
     if on_missing not in ("drop", "keep"):
         raise ValueError(f"on_missing must be 'drop' or 'keep', not {on_missing!r}")
-    joined = join_verdicts(findings, verdicts, *keys, salts=salts)
+    joined = join_verdicts(findings, verdicts)
     accepted = F.coalesce(F.col("verdict"), F.lit(on_missing == "keep"))
     return joined.where(accepted & (F.col("score") >= min_score)).drop("verdict")
 
@@ -99,19 +88,26 @@ def classify(
 ) -> DataFrame:
     """Verdict rows from a user's classifier over distinct values, in Arrow batches.
 
-    ``classifier`` gets a frame with ``entity`` and ``value`` and returns one
-    response per row. A batch that fails ``attempts`` times gets null responses.
+    ``classifier`` gets a frame with ``entity`` and ``value`` and returns one response per row. If a batch fails, its values
+    are asked one by one, each up to ``attempts`` times; a value that still fails has a null response, which is no verdict.
     """
 
+    def alone(row: pd.DataFrame) -> object:
+        for _ in range(attempts):
+            try:
+                return list(classifier(row))[0]
+            except Exception:
+                continue
+        return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            response = None
-            for _ in range(attempts):
-                try:
-                    response = classifier(batch)
-                    break
-                except Exception:
-                    continue
-            yield batch.assign(response=None if response is None else pd.Series(response).to_numpy())
+            try:
+                response = list(classifier(batch))
+                if len(response) != len(batch):
+                    raise ValueError("one response per row is needed")
+            except Exception:
+                response = [alone(batch.iloc[k : k + 1].reset_index(drop=True)) for k in range(len(batch))]
+            yield batch.assign(response=pd.Series(response, dtype=object, index=batch.index))
 
     return values.select(*VALUE_KEY).mapInPandas(run, schemas.VERDICT)

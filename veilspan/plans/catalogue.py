@@ -13,11 +13,11 @@ from veilspan.operators.names import person_findings
 from veilspan.operators.redact import redact, redact_one
 from veilspan.operators.resolve import clip_overlaps, dedupe, drop_contained, merge_same_entity, overlapping_entities
 from veilspan.plans import derived
-from veilspan.plans.derived import customer_names, documents, notes, table
-from veilspan.plans.scan import scan
-from veilspan.policy import DEFAULT_POLICY, mask_with
+from veilspan.plans.derived import customer_names, documents, letters, notes, table
+from veilspan.plans.scan import check, scan
+from veilspan.policy import DEFAULT_POLICY, custom, mask_with
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, ENTITIES, RecognizerSet
-from veilspan.session import materialise, spread, work_folder
+from veilspan.session import dealt, materialise, work_folder
 from veilspan.sources import versions
 from veilspan.sources.files import (
     coverage,
@@ -31,8 +31,8 @@ from veilspan.sources.files import (
     source_encoding,
     text_files,
 )
-from veilspan.sources.pages import assemble_pages
-from veilspan.sources.tables import as_documents, union_documents
+from veilspan.sources.pages import assemble_pages, assemble_segments, page_blocks
+from veilspan.sources.tables import as_documents, only_language, union_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +61,7 @@ def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_documents(p, "pages", F.col("page_id"), F.col("html")),
         as_documents(c, "conversations", F.concat_ws(":", "conv_id", "turn"), F.col("text")),
     )
-    return spread(parts, "doc_key")
+    return dealt(parts, "doc_key")
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def findings_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return person_findings(notes(spark, sf_dir), customer_names(spark, sf_dir), "doc_id")
+    return person_findings(letters(spark, sf_dir), customer_names(spark, sf_dir), "doc_id")
 
 
 def _array_query(source: Query, recognizers: RecognizerSet, step) -> Query:
@@ -144,7 +144,7 @@ FROM_END = {
 
 def redact_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns and the whole table of customer names together."""
-    found = scan(notes(spark, sf_dir), "doc_id", "text", names=customer_names(spark, sf_dir))
+    found = scan(letters(spark, sf_dir), "doc_id", "text", names=customer_names(spark, sf_dir))
     return found.redacted.select("doc_id", "redacted")
 
 
@@ -170,7 +170,7 @@ def kept_findings(spark: SparkSession, sf_dir: str, recognizers: RecognizerSet =
 
 def verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kept_findings(spark, sf_dir)
-    joined = verify.join_verdicts(found, label_verdicts(spark, sf_dir, found), "doc_id")
+    joined = verify.join_verdicts(found, label_verdicts(spark, sf_dir, found))
     verdict = F.coalesce(F.col("verdict").cast("string"), F.lit("missing"))
     return joined.select("doc_id", "entity", "start", "value", verdict.alias("verdict"))
 
@@ -193,12 +193,32 @@ def verify_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verify_confirmed(on_missing: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = kept_findings(spark, sf_dir, SCORED)
-        kept = verify.confirm(found, label_verdicts(spark, sf_dir, found), "doc_id", on_missing=on_missing)
+        kept = verify.confirm(found, label_verdicts(spark, sf_dir, found), on_missing=on_missing)
         return kept.select("doc_id", "entity", "start", "value", "score")
 
     return query
 
 
+def seven_or_fail(batch):
+    """A stand-in for a service that fails on values with a 3."""
+    if batch["value"].str.contains("3").any():
+        raise RuntimeError("no answer")
+    return has_seven(batch)
+
+
+def verify_failed_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value whose classifier fails has no verdict; with 'keep' it is redacted all the same."""
+    result = scan(documents(spark, sf_dir), "doc_id", "text", classifier=seven_or_fail, on_missing="keep")
+    return result.redacted.select("doc_id", "redacted")
+
+
+def verify_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all documents against the labelled examples and the labels' verdicts together."""
+    found = kept_findings(spark, sf_dir)
+    verdicts = verify.seed_verdicts(spark).unionByName(label_verdicts(spark, sf_dir, found))
+    return verify.confirm(found, verdicts).select("doc_id", "entity", "start", "value", "score")
+
+
 def verify_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.distinct_values(all_findings(spark, sf_dir))
 
@@ -216,7 +236,7 @@ def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kept_findings(spark, sf_dir)
-    kept = verify.confirm(found, label_verdicts(spark, sf_dir, found), "doc_id")
+    kept = verify.confirm(found, label_verdicts(spark, sf_dir, found))
     return report.report_entries(kept, "doc_id", confirmed=True)
 
 
@@ -272,14 +292,20 @@ def repository_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(paths).select("input", is_repository(F.col("input")).alias("is_repository"))
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_blocks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+def sparse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_blocks(derived.sparse_pages(spark, sf_dir), "conv_id", "page", "role", "text")
+
+
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return assemble_pages(turns, "conv_id", "turn", "role", "text")
+    return assemble_pages(blocks(spark, sf_dir), "conv_id")
 
 
 def assembled_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return assemble_pages(turns, "conv_id", "turn", "role", "text", pages_per_segment=3)
+    return assemble_segments(blocks(spark, sf_dir), "conv_id", 3)
 
 
 def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,11 +337,10 @@ def file_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written out as a tree of text files, scanned back as files."""
     root = work_folder(spark, "tree")
-    docs = table(spark, sf_dir, "documents").select("lang", F.col("text").alias("value"))
-    docs.write.option("maxRecordsPerFile", 1000).partitionBy("lang").text(root)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(root)
     found = documents_of(text_files(list_files(spark, root)))
-    lang = F.regexp_extract("path", r"lang=([^/]+)/", 1)
-    return found.groupBy(lang.alias("lang")).agg(F.sum(F.length("text")).alias("n_chars"))
+    return found.select(F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id"), "text")
 
 
 def _email_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,15 +359,55 @@ def scrub_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scrub_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.scrub_summary(versions.scrub_status(_email_redacted(spark, sf_dir), "doc_id"))
+    return versions.scrub_summary(scrub_status(spark, sf_dir))
+
+
+def _without_sevens(on_null: str):
+    """A user's operation that has no answer for values with a 7."""
+    hidden = lambda value: F.when(~F.contains(value, F.lit("7")), F.concat(F.lit("<"), F.length(value), F.lit(">")))
+    return {"EMAIL_ADDRESS": custom(hidden, on_null)}
+
+
+def redact_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's operation; where it gives null, the value is masked whole and the text around it stays."""
+    return redact_with(documents, ["EMAIL_ADDRESS"], _without_sevens("mask"))(spark, sf_dir)
 
 
 def scrub_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one language get no result: they are errors, the others go on."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
-    (recognizer,) = DEFAULT_RECOGNIZERS.only(["EMAIL_ADDRESS"])
-    changed = redact_one(F.col("text"), recognizer, DEFAULT_RECOGNIZERS, DEFAULT_POLICY["EMAIL_ADDRESS"])
-    return versions.scrub_status(d.withColumn("redacted", F.when(F.col("lang") != "de", changed)), "doc_id")
+    """Documents for which the user's operation fails are errors, the others go on."""
+    mails = DEFAULT_RECOGNIZERS.only(["EMAIL_ADDRESS"])
+    done = redact(detect(documents(spark, sf_dir), recognizers=mails), policy=_without_sevens("error"))
+    return versions.scrub_status(done, "doc_id")
+
+
+def redacted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.redacted_in_order(_email_redacted(spark, sf_dir), "doc_id")
+
+
+def find_in_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English texts only, by the recognizers meant for them."""
+    docs = only_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = detect(dealt(docs, "doc_id"), recognizers=DEFAULT_RECOGNIZERS.for_language("en").only(["EMAIL_ADDRESS", "CREDIT_CARD"]))
+    return explode_findings(found, "doc_id")
+
+
+def check_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, one directory each: scanned, scrubbed and read back from the published version."""
+    tree, out = work_folder(spark, "tree"), work_folder(spark, "scrubbed")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(tree)
+    with check(spark, tree, out, entities=["EMAIL_ADDRESS", "CREDIT_CARD"]):
+        pass
+    done = versions.read_current(spark, out)
+    return done.select(F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id"), "text", "status")
+
+
+def empty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to their first line of more than 60 characters: some are empty, and empty files are not documents."""
+    files = derived.document_files(spark, sf_dir)
+    line = F.regexp_extract(decode(F.col("content")), r"(?m)^[^\n]{60,}$", 0)
+    listed = files.select("doc_id", "path", F.encode(line, "UTF-8").alias("content")).withColumn("length", F.length("content").cast("long"))
+    return listed.where(is_text_path(F.col("path")) & (F.col("length") > 0)).select("doc_id", "length")
 
 
 def unmatched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,8 +415,11 @@ def unmatched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def empty_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = documents(spark, sf_dir).where("text is null").withColumn("redacted", F.col("text"))
-    return versions.status_or_empty(none, versions.scrub_status(none, "doc_id"))
+    """A directory in which no file has a text extension: the pictures among the documents' paths."""
+    paths = table(spark, sf_dir, "documents").select(F.expr(derived.FILE_PATH).alias("path"), "text")
+    pictures = paths.where(file_kind(F.col("path")) == "image")
+    none = pictures.where(is_text_path(F.col("path"))).withColumn("redacted", F.col("text"))
+    return versions.status_or_empty(none, versions.scrub_status(none, "path"))
 
 
 def backup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,11 +462,11 @@ def write_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scrub into a version with backups, then restore from the backups it wrote."""
+    """Scrub into a version with backups, roll back, and read the version that is published then."""
     root = work_folder(spark, "restored")
     versions.write_scrubbed(_email_redacted(spark, sf_dir), root, "doc_id")
-    current = versions.read_current(spark, root).select("doc_id", "text")
-    return versions.restore(current, versions.read_backups(spark, root), "doc_id")
+    versions.rollback(spark, root, "doc_id")
+    return versions.read_current(spark, root).select("doc_id", "text")
 
 
 QUERIES: dict[str, Query] = {
@@ -435,10 +503,15 @@ QUERIES: dict[str, Query] = {
     "redact_notes": redact_with(notes),
     "redact_from_end": redact_with(documents, ["EMAIL_ADDRESS", "CREDIT_CARD"], FROM_END),
     "redact_with_names": redact_with_names,
+    "redact_custom": redact_custom,
+    "redacted_in_order": redacted_in_order,
+    "find_in_language": find_in_language,
     "verify_join": verify_join,
     "verify_parse": verify_parse,
     "verify_fail_closed": verify_confirmed("drop"),
     "verify_score_gate": verify_confirmed("keep"),
+    "verify_failed_keep": verify_failed_keep,
+    "verify_seeded": verify_seeded,
     "verify_distinct": verify_distinct,
     "verify_classified": verify_classified,
     "verify_redacted": verify_redacted,
@@ -454,12 +527,16 @@ QUERIES: dict[str, Query] = {
     "scan_count": scan_count,
     "filter_url_sources": filter_url_sources,
     "repository_flags": repository_flags,
+    "page_blocks": blocks,
+    "page_blocks_sparse": sparse_blocks,
     "assemble_pages": assembled,
     "assemble_pages_in_segments": assembled_in_segments,
     "classify_paths": classify_paths,
     "text_paths": text_paths,
     "kind_coverage": kind_coverage,
     "scan_tree": scan_tree,
+    "check_tree": check_tree,
+    "empty_files": empty_files,
     "decode_fallback": decode_fallback,
     "file_encodings": file_encodings,
     "scrub_status": scrub_status,

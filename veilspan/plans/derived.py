@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.session import spread
+from veilspan.session import dealt
 
 # A text per customer that holds all ten pattern entities.
 NOTE_TEXT = """concat(
@@ -27,6 +27,14 @@ FILE_SUFFIX = """case source
  when 'src8' then '.yml' when 'src9' then '.ini' when 'src10' then '' when 'src11' then '.png'
  when 'src12' then '.JPEG' when 'src13' then '.pdf' when 'src14' then '.yaml' when 'src15' then '.tar.json'
  when 'src16' then '.txt.backup_20250101_000000' when 'src17' then '.exe' when 'src18' then '.tiff' else '.txt' end"""
+# Names of one to five words, some with an initial, and letters that mention two of them.
+FULL_NAME = """case {key} % 5 when 0 then {name} when 1 then concat('J. ', {name}) when 2 then concat('Ann ', {name}, ' Lee')
+ when 3 then concat('Maria del  Carmen ', {name}) else concat('Maria del Carmen ', {name}, ' Ruiz') end"""
+LETTER_NAME = FULL_NAME.format(key="c_custkey", name="c_name")
+OTHER_NAME = FULL_NAME.format(key="(c_custkey + 1)", name="concat('Agent', cast(c_custkey as string))")
+LETTER_TEXT = f"""concat('Dear ', replace({LETTER_NAME}, 'del  ', 'del'||chr(10)), ', not ', {OTHER_NAME}, ' nor Ann Lee: mail u',
+ cast(c_custkey as string), '@mail.example.com. J. Doe')"""
+
 FILE_PREFIX = "case when source = 'src19' then '.hidden' else 'doc' end"
 FILE_PATH = f"concat('/data/', lang, '/', source, '/', {FILE_PREFIX}, cast(doc_id as string), {FILE_SUFFIX})"
 
@@ -36,16 +44,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return spread(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{NOTE_TEXT} as text")
+    return dealt(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{NOTE_TEXT} as text")
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return dealt(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{LETTER_TEXT} as text")
 
 
 def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    return table(spark, sf_dir, "customer").selectExpr(f"{LETTER_NAME} as name")
+
+
+def sparse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents whose page numbers have gaps and nulls."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.selectExpr("nullif(conv_id, 3) as conv_id", "case when turn % 4 = 3 then null else turn * 700 end as page", "role", "text")
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +78,4 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("source") == "src6", F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8"))
         .otherwise(F.encode("text", "UTF-8"))
     )
-    return spread(d, "doc_id").select("doc_id", F.expr(FILE_PATH).alias("path"), content.alias("content"))
+    return dealt(d, "doc_id").select("doc_id", F.expr(FILE_PATH).alias("path"), content.alias("content"))

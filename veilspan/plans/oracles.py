@@ -7,7 +7,7 @@ sum over unnested matches, overlaps by windows, passwords by runs and boundaries
 from __future__ import annotations
 
 from veilspan.operators.report import CONFIRMED, NOTHING_FOUND
-from veilspan.operators.verify import MIN_SCORE
+from veilspan.operators.verify import MIN_SCORE, SEED_VERDICTS
 from veilspan.plans import derived
 from veilspan.plans.catalogue import HEX_TOKEN, PAIR, STOP_WORD, TRIPLE
 from veilspan.policy import DEFAULT_POLICY, Rule, mask_with
@@ -160,9 +160,13 @@ ALL = find_many(DOCUMENTS)
 THREE = find_many(DOCUMENTS, ["EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD"])
 HEX = custom(DOCUMENTS, "HEX_TOKEN", "hex_token", HEX_TOKEN, 0.5, 11)
 
-PERSONS = f"""select doc_id, 'PERSON' as entity, 'name_list' as pattern_name, (strpos(text, c_name) - 1)::int as start,
- (strpos(text, c_name) - 1 + length(c_name))::int as "end", c_name as value, 0.85::double as score, 4::int as priority
- from {NOTES} join customer on contains(text, c_name)"""
+LETTERS = f"(select c_custkey as doc_id, {derived.LETTER_TEXT} as text from customer)"
+# Any white space in a name may be any white space in the text; a name begins and ends with a word.
+SQUEEZED = r"regexp_replace({}, '\s+', ' ', 'g')"
+PERSONS = f"""select doc_id, 'PERSON' as entity, 'name_list' as pattern_name, 5::int as start, (5 + length(value))::int as "end",
+  value, 0.85::double as score, 4::int as priority
+ from (select c_custkey as doc_id, replace({derived.LETTER_NAME}, 'del  ', 'del' || chr(10)) as value from customer)
+ where {SQUEEZED.format('value')} in (select {SQUEEZED.format(derived.LETTER_NAME)} from customer)"""
 
 LOOSE_MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 MAIL_TWICE = f"""{find("EMAIL_ADDRESS", DOCUMENTS)} union all
@@ -207,13 +211,16 @@ KEYED = f"(select source || '/' || doc_key as doc_id, text from {SOURCES})"
 FROM_END = {**DEFAULT_POLICY, "EMAIL_ADDRESS": mask_with("*", 10, True), "CREDIT_CARD": mask_with("#", 4, True)}
 
 
-def assembled(pages_per_segment: int) -> str:
-    return f"""select conv_id, segment::int as segment, string_agg(block, '' order by n) as text from (
-  select conv_id, turn // {pages_per_segment} as segment, n,
+def blocks(pages: str, page: str) -> str:
+    return f"""select conv_id, n,
    case when length(text) > 0 then chr(10) || '--- Page ' || n::varchar || ' ---' || chr(10) || text
    else chr(10) || '--- Page ' || n::varchar || ' (No text extracted or error) ---' || chr(10) end as block
-  from (select *, row_number() over (partition by conv_id order by turn, role, text) as n from conversations))
-  group by conv_id, segment"""
+  from (select *, row_number() over (partition by conv_id order by {page} nulls last, role, text) as n from {pages})"""
+
+
+BLOCKS = blocks("conversations", "turn")
+SPARSE = """(select nullif(conv_id, 3) as conv_id, case when turn % 4 = 3 then null else turn * 700 end as page, role, text
+ from conversations)"""
 
 
 KIND = """case when source in ('src11', 'src12', 'src18') then 'image' when source = 'src13' then 'pdf'
@@ -229,6 +236,9 @@ BACKUPS = """(select doc_id, '20250101_000000 ' || text as text, '20250101_00000
    where doc_id in (select doc_id from labels)
  union all select doc_id, '20250101_120000 ' || text, '20250101_120000' from documents where lang = 'en')"""
 
+SEEDS = {truth: ", ".join(f"({lit(e)}, {lit(v)})" for e, v, r in SEED_VERDICTS if (r == "True") == truth) for truth in (True, False)}
+SEED_TRUE, SEED_FALSE = SEEDS[True], SEEDS[False]
+
 ORACLES: dict[str, str] = {
     "find_email": find("EMAIL_ADDRESS", DOCUMENTS),
     "find_phone": find("PHONE_NUMBER", DOCUMENTS),
@@ -267,13 +277,25 @@ ORACLES: dict[str, str] = {
     "redact_all": redacted(DOCUMENTS, ALL),
     "redact_notes": redacted(NOTES, find_many(NOTES)),
     "redact_from_end": redacted(DOCUMENTS, find_many(DOCUMENTS, ["EMAIL_ADDRESS", "CREDIT_CARD"]), FROM_END),
-    "redact_with_names": redacted(NOTES, f"{find_many(NOTES)} union all {PERSONS}"),
+    "redact_with_names": redacted(LETTERS, f"{find_many(LETTERS)} union all {PERSONS}"),
     "verify_join": f"select doc_id, entity, start, value, coalesce(verdict::varchar, 'missing') as verdict from ({with_verdicts(ALL)})",
     "verify_parse": f"select entity, value, response, {IS_TRUE} as verdict from ({VERDICT_ROWS.format(found=ALL)})",
     "verify_fail_closed": f"""select doc_id, entity, start, value, score from ({with_verdicts(SCORED)})
  where coalesce(verdict, false) and score >= {MIN_SCORE}""",
     "verify_score_gate": f"""select doc_id, entity, start, value, score from ({with_verdicts(SCORED)})
  where coalesce(verdict, true) and score >= {MIN_SCORE}""",
+    "verify_failed_keep": redacted(DOCUMENTS, f"select * from ({ALL}) where contains(value, '7') or contains(value, '3')"),
+    "verify_seeded": f"""select doc_id, entity, start, value, score from ({with_verdicts(ALL)}) f
+ where coalesce(verdict, false) and score >= {MIN_SCORE} and (entity, value) not in ({SEED_FALSE})
+ union all select doc_id, entity, start, value, score from ({with_verdicts(ALL)})
+ where verdict is null and score >= {MIN_SCORE} and (entity, value) in ({SEED_TRUE})""",
+    "redact_custom": redacted(DOCUMENTS, find("EMAIL_ADDRESS", DOCUMENTS)).replace(
+        rule_sql("EMAIL_ADDRESS", DEFAULT_POLICY["EMAIL_ADDRESS"]),
+        "when 'EMAIL_ADDRESS' then case when contains(value, '7') then repeat('*', length(value)::int) "
+        "else '<' || length(value)::varchar || '>' end",
+    ),
+    "redacted_in_order": EMAIL_REDACTED,
+    "find_in_language": find_many("(select doc_id, text from documents where lang = 'en')", ["EMAIL_ADDRESS", "CREDIT_CARD"]),
     "verify_distinct": f"select entity, value, count(*) as n_findings from ({ALL}) group by entity, value",
     "verify_classified": f"""select distinct entity, value,
  case when contains(value, '7') then 'True' else 'False' end as response from ({ALL})""",
@@ -300,12 +322,22 @@ ORACLES: dict[str, str] = {
     "filter_url_sources": "select page_id, url from pages where url like 'http://%' or url like 'https://%'",
     "repository_flags": f"""select url as input, (url like 'http://%' or url like 'https://%') as is_repository from pages
  union all select path, false from {PATHS}""",
-    "assemble_pages": assembled(1000),
-    "assemble_pages_in_segments": assembled(3),
+    "page_blocks": BLOCKS,
+    "page_blocks_sparse": blocks(SPARSE, "page"),
+    "assemble_pages": f"select conv_id, string_agg(block, '' order by n) as text from ({BLOCKS}) group by conv_id",
+    "assemble_pages_in_segments": f"""select conv_id, ((n - 1) // 3)::int as segment, string_agg(block, '' order by n) as text
+ from ({BLOCKS}) group by conv_id, (n - 1) // 3""",
     "classify_paths": f"select doc_id, path, {KIND} as kind from {PATHS}",
     "text_paths": f"select doc_id, path from {PATHS} where ({KIND}) = 'text' and source <> 'src19'",
     "kind_coverage": f"select {KIND} as kind, count(*) as n from documents group by 1",
-    "scan_tree": "select lang, sum(length(text) + 1)::bigint as n_chars from documents group by lang",
+    "scan_tree": "select doc_id, text || chr(10) as text from documents",
+    "check_tree": f"""select doc_id, case when d.text <> r.redacted then r.redacted else d.text end || chr(10) as text,
+ case when {CHANGED} then 'modified' else 'skipped' end as status
+ from documents d join ({redacted(DOCUMENTS, find_many(DOCUMENTS, ["EMAIL_ADDRESS", "CREDIT_CARD"]))}) r using (doc_id)""",
+    "empty_files": rf"""select doc_id, strlen(regexp_extract(t, '(?m)^[^\n]{{60,}}$'))::bigint as length
+ from (select p.*, case when p.source = 'src6' then chr(65279) || d.text else d.text end as t
+       from documents d join {PATHS} p using (doc_id))
+ where ({KIND}) = 'text' and source <> 'src19' and regexp_matches(t, '(?m)^[^\n]{{60,}}$')""",
     "decode_fallback": "select doc_id, case when source = 'src6' then chr(65279) || text else text end as text from documents",
     "file_encodings": r"""select doc_id, case when source in ('src0', 'src1', 'src2', 'src5')
    and regexp_matches(text, '[^\x00-\x7F]') then 'latin-1' else 'utf-8' end as encoding,
@@ -313,11 +345,12 @@ ORACLES: dict[str, str] = {
     "scrub_status": STATUS,
     "scrub_append": f"""select d.doc_id, d.text || chr(10) || r.redacted as text
  from documents d join ({EMAIL_REDACTED}) r using (doc_id)""",
-    "scrub_summary": f"select status, count(*) as n_files from ({STATUS}) group by status",
-    "scrub_errors": f"""select doc_id, case when d.lang = 'de' then 'errors' else s.status end as status,
+    "scrub_summary": f"select status, count(*) as n_files, count(backup_path) as n_backups from ({STATUS}) group by status",
+    "scrub_errors": f"""select doc_id, case when m.sevens > 0 then 'errors' when m.n > 0 then 'modified' else 'skipped' end as status,
  null::varchar as backup_path,
- case when d.lang = 'de' then 'Failed modifying ' || doc_id::varchar || ': no redacted text' end as error
- from documents d join ({STATUS}) s using (doc_id)""",
+ case when m.sevens > 0 then 'Failed modifying ' || doc_id::varchar || ': no redacted text' end as error
+ from documents left join (select doc_id, count(*) as n, count(*) filter (where contains(value, '7')) as sevens
+   from ({find("EMAIL_ADDRESS", DOCUMENTS)}) group by doc_id) m using (doc_id)""",
     "unmatched_results": """select doc_id, 'no redacted result' as problem from documents
  where doc_id not in (select doc_id from labels)
  union all select doc_id, 'no source document' from labels where doc_id not in (select doc_id from documents)""",

@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions.words import listed_names
 from veilspan.operators.detect import NO_FINDINGS, detect, explode_findings, gather_findings
-from veilspan.operators.names import inline_names, person_findings
+from veilspan.operators.names import candidates, matched
 from veilspan.operators.redact import redact
 from veilspan.operators.report import report_entries
 from veilspan.operators.resolve import overlapping_entities
 from veilspan.operators.verify import MIN_SCORE, classify, confirm, distinct_values
 from veilspan.policy import DEFAULT_POLICY, Rule, require_rules
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, RecognizerSet
-from veilspan.session import materialise
+from veilspan.session import materialise, remove_folders
 from veilspan.sources import versions
-from veilspan.sources.files import read_documents
+from veilspan.sources.files import documents_of, list_files, oversized, text_files
+
+
+ROW = "_row"
 
 
 @dataclass
 class ScanResult:
-    """``findings`` before overlap resolution; ``redacted`` one row per document."""
+    """``findings`` before overlap resolution; ``redacted`` one row per document.
+
+    ``close`` removes what was staged in the shared work folder (raw texts among it); the frames cannot be read after it.
+    Used as a context manager, the result closes itself.
+    """
 
     findings: DataFrame
     redacted: DataFrame
@@ -31,12 +39,27 @@ class ScanResult:
     key: str = "path"
     scrub_status: DataFrame | None = None
     scrub_summary: DataFrame | None = None
+    folders: list[str] = field(default_factory=list)
 
+    def close(self) -> None:
+        remove_folders(self.redacted.sparkSession, self.folders)
+        self.folders.clear()
 
-def stage(detected: DataFrame) -> DataFrame:
-    """Detection results written once, split by whether anything was found."""
-    hit = F.when(F.size("raw") > 0, F.lit("yes")).otherwise(F.lit("no"))
-    return materialise(detected.withColumn("hit", hit), "detected", "hit")
+    def __enter__(self) -> ScanResult:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def stage(detected: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """Texts and detection results written once, with a number for each row, split by whether anything was found."""
+    found = F.size("raw") > 0
+    if "people" in detected.columns:
+        found = found | (F.size("people") > 0)
+    hit = F.when(found, F.lit("yes")).otherwise(F.lit("no"))
+    numbered = detected.withColumn("hit", hit).withColumn(ROW, F.monotonically_increasing_id())
+    return materialise(numbered, "detected", "hit", folders=folders)
 
 
 def scan(
@@ -51,69 +74,62 @@ def scan(
     on_missing: str = "drop",
     min_score: float = MIN_SCORE,
     policy: Mapping[str, Rule] = DEFAULT_POLICY,
-    staged: bool | None = None,
+    staged: bool = False,
 ) -> ScanResult:
-    """Find and redact sensitive values in ``documents[text]``; ``key`` is unique per row.
-
-    Without verdicts and with at most a list of names everything happens inside the
-    row: one scan, no shuffle. Verdicts, a classifier and a name table need joins;
-    these move findings, and only texts that have findings meet them again. Because
-    findings are then used several times, they are written once to the shared work
-    folder and read from there; ``staged`` forces or forbids that.
+    """Find and redact sensitive values in ``documents[text]``.
+
+    Without verdicts and with at most a list of names everything happens inside the row: one scan, no shuffle. Verdicts, a
+    classifier and a name table need joins; these move findings, and only texts that have findings (or words that may begin a
+    name) meet them again. Because findings are then used several times, texts and findings are written once to the
+    shared work folder, and so are a classifier's answers: each value is asked once for all results.
+    ``staged`` forces that for scans that would not need it. Rows are told apart by a number of their own, so a key that
+    repeats mixes nothing up.
     """
     if entities is not None:
         wanted = list(entities)
         recognizers = recognizers.only(wanted)
         if "PERSON" not in wanted:
             names = None
-    name_table = None
+    listed = None
     if isinstance(names, DataFrame):
-        listed = inline_names(names)
-        if listed is None:
-            name_table, names = names, None
-        else:
-            names = listed
-    has_names = bool(names) or name_table is not None
+        listed, names = listed_names(names), None
+    has_names = bool(names) or listed is not None
     require_rules(policy, [r.entity for r in recognizers] + (["PERSON"] if has_names else []))
     shared = overlapping_entities(recognizers, has_names)
 
+    folders: list[str] = []
     docs = documents.select(F.col(key), F.col(text).alias("text"))
     detected = detect(docs, "text", recognizers, names or ())
+    if listed is not None:
+        listed = materialise(listed, "names", folders=folders)
+        detected = detected.withColumn("people", candidates(F.col("text"), listed))
     verifying = verdicts is not None or classifier is not None
-    if staged or (staged is None and (verifying or name_table is not None)):
-        detected = stage(detected)
-
-    findings = explode_findings(detected, key)
-    if name_table is not None:
-        findings = findings.unionByName(
-            person_findings(docs, name_table.select(F.col(name_table.columns[0]).alias("name")), key)
-        )
+    joining = verifying or listed is not None
+    if not (joining or staged):
+        findings = explode_findings(detected, key)
+        redacted = redact(detected, shared, policy).select(key, "text", "raw", "kept", "redacted")
+        return ScanResult(findings, redacted, report_entries(findings, key), key)
+
+    detected = stage(detected, folders)
+    hits = detected.where("hit = 'yes'")
+    findings = explode_findings(hits, key, ROW)
+    if listed is not None:
+        findings = findings.unionByName(matched(hits, listed, key, ROW))
     if classifier is not None:
-        answers = classify(distinct_values(findings), classifier)
+        answers = materialise(classify(distinct_values(findings), classifier), "answers", folders=folders)
         verdicts = answers if verdicts is None else verdicts.unionByName(answers)
     if verifying:
-        findings = confirm(findings, verdicts, key, on_missing=on_missing, min_score=min_score)
-
-    if verifying or name_table is not None:
-        detected = _attach(detected, findings, key, any_document=name_table is not None)
+        findings = confirm(findings, verdicts, on_missing=on_missing, min_score=min_score)
+    if joining:
+        # Documents in which nothing was found bypass the join, so their texts are not shuffled.
+        arrays = gather_findings(findings, ROW, column="raw")
+        settled = F.coalesce("raw", F.expr(NO_FINDINGS)).alias("raw")
+        clean = detected.where("hit = 'no'").select(key, "text", F.expr(NO_FINDINGS).alias("raw"))
+        met = hits.select(key, ROW, "text").join(arrays, ROW, "left").select(key, "text", settled)
+        detected = clean.unionByName(met)
     redacted = redact(detected, shared, policy).select(key, "text", "raw", "kept", "redacted")
-    return ScanResult(findings, redacted, report_entries(findings, key, confirmed=verifying), key)
-
-
-def _attach(detected: DataFrame, findings: DataFrame, key: str, any_document: bool) -> DataFrame:
-    """Put changed findings back beside their texts.
-
-    Documents in which no pattern matched bypass the join, so their texts are not
-    shuffled; only a name table can add findings to any document.
-    """
-    arrays = gather_findings(findings, key, column="raw")
-    settled = F.coalesce("raw", F.expr(NO_FINDINGS)).alias("raw")
-    if any_document:
-        return detected.select(key, "text").join(arrays, key, "left").select(key, "text", settled)
-    hit = F.col("hit") == "yes" if "hit" in detected.columns else F.size("raw") > 0
-    clean = detected.where(~hit).select(key, "text", F.expr(NO_FINDINGS).alias("raw"))
-    joined = detected.where(hit).select(key, "text").join(arrays, key, "left").select(key, "text", settled)
-    return clean.unionByName(joined)
+    findings = findings.drop(ROW)
+    return ScanResult(findings, redacted, report_entries(findings, key, confirmed=verifying), key, folders=folders)
 
 
 def check(
@@ -134,20 +150,27 @@ def check(
     """
     if scrub_files and out is None:
         raise ValueError("scrub_files needs an output folder")
-    documents = read_documents(spark, indir)
-    result = scan(documents, "path", "text", verdicts=verdicts, classifier=classifier, **options)
-    return scrub(result, out, create_backup, append_to_files) if scrub_files else result
+    files = text_files(list_files(spark, indir))
+    result = scan(documents_of(files), "path", "text", verdicts=verdicts, classifier=classifier, **options)
+    return scrub(result, out, create_backup, append_to_files, oversized(files)) if scrub_files else result
+
 
+def scrub(
+    result: ScanResult, out: str, create_backup: bool = True, append: bool = False, unread: DataFrame | None = None
+) -> ScanResult:
+    """Write the redacted texts as a new version; statuses are read back from it.
 
-def scrub(result: ScanResult, out: str, create_backup: bool = True, append: bool = False) -> ScanResult:
-    """Write the redacted texts as a new version; statuses are read back from it."""
+    ``unread`` are status rows of inputs that could not be read; they stand beside the others.
+    """
     spark = result.redacted.sparkSession
     # Only the key column is read for this test, so nothing is matched yet.
-    if result.redacted.select(result.key).isEmpty():
+    if result.redacted.select(result.key).isEmpty() and (unread is None or unread.isEmpty()):
         status = versions.status_of_empty(spark)
         return replace(result, scrub_status=status, scrub_summary=versions.scrub_summary(status))
     version = versions.write_scrubbed(
         result.redacted, out, result.key, create_backup=create_backup, append=append
     )
     status = versions.read_status(spark, out, version, result.key)
+    if unread is not None:
+        status = status.unionByName(unread)
     return replace(result, scrub_status=status, scrub_summary=versions.scrub_summary(status))

@@ -10,10 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from veilspan import schemas
 
 
-# Rules become literals of the plan.
-MAX_RULES = 1000
-
-
 @dataclass(frozen=True)
 class Rule:
     op: str
@@ -22,6 +18,7 @@ class Rule:
     mask_n: int | None = None
     from_end: bool = False
     apply: Callable[[Column], Column] | None = None
+    on_null: str = "mask"
 
     def __post_init__(self) -> None:
         if self.op == "replace":
@@ -33,6 +30,8 @@ class Rule:
         elif self.op == "custom":
             if self.apply is None:
                 raise ValueError("custom needs apply")
+            if self.on_null not in ("mask", "error"):
+                raise ValueError("on_null must be 'mask' or 'error'")
         else:
             raise ValueError(f"unknown op: {self.op!r}")
 
@@ -45,9 +44,13 @@ def mask_with(char: str, n: int, from_end: bool = False) -> Rule:
     return Rule("mask", mask_char=char, mask_n=n, from_end=from_end)
 
 
-def custom(apply: Callable[[Column], Column]) -> Rule:
-    """The user's own operation, as a function from the value column to its replacement."""
-    return Rule("custom", apply=apply)
+def custom(apply: Callable[[Column], Column], on_null: str = "mask") -> Rule:
+    """The user's own operation, as a function from the value column to its replacement.
+
+    Where it gives null the value is masked whole, or with ``on_null='error'`` the document has no result and its status is
+    an error. A value never stays and the text around it is never lost.
+    """
+    return Rule("custom", apply=apply, on_null=on_null)
 
 
 # ---------------------------------------------------------------------------
@@ -82,10 +85,8 @@ def policy_df(spark: SparkSession, policy: Mapping[str, Rule] = DEFAULT_POLICY)
 
 
 def policy_from_df(df: DataFrame) -> dict[str, Rule]:
-    """A policy kept as a table; one row per entity."""
-    rows = df.select(*schemas.POLICY.fieldNames()).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a policy has at most {MAX_RULES} rows")
+    """A policy kept as a table; one row per entity. Its rules become literals of the plan."""
+    rows = df.select(*schemas.POLICY.fieldNames()).collect()
     return {
         r["entity"]: Rule(r["op"], r["new_value"], r["mask_char"], r["mask_n"], bool(r["from_end"])) for r in rows
     }

@@ -6,6 +6,9 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspan import schemas
@@ -63,13 +66,22 @@ PERSON_SCORE = 0.85
 # ---------------------------------------------------------------------------
 
 # Where a pattern has failed at a word boundary, it also fails everywhere in the run
-# that follows: an e-mail's local part must reach its '@', and an address may start at
-# any earlier number of its run. Passing over the run keeps long texts linear.
+# that follows: an e-mail's local part must reach its '@'. Passing over the run keeps
+# long texts linear.
 EMAIL_SKIP = r"\b[a-zA-Z0-9._%+-]{32,}+"
-ADDRESS_SKIP = r"\b\d{1,5}\s[A-Za-z0-9\s\.,'#-]*+"
 
-# Patterns become literals of the plan.
-MAX_RECOGNIZERS = 1000
+# An address read from its end: the ZIP code comes first, and the digit-free stretch before it
+# holds the street word. Stretches of different ZIP codes do not overlap, so long texts without an
+# address, or with street words only, take linear time; the forward pattern tries every
+# street word against the rest of its run. A match goes from the first number of its run to the
+# last ZIP code that has a street word, in either direction.
+_STREET = re.search(r"\(\?:(Street[^)]*)\)", ADDRESS)[1]
+_DRAWER = "|".join(word[::-1] for word in _STREET.split("|"))
+_ADDRESS_TAIL = rf"\b(?:\d{{4}}-)?\d{{5}}\s*[A-Z]{{2}}\s*,[A-Za-z\s\.,'-]+[\s,]\.?(?:{_DRAWER})[A-Za-z0-9\s\.,'#-]"
+ADDRESS_BACKWARDS = _ADDRESS_TAIL + r"+\s\d{1,5}\b"
+# A tail with its street word but without a number: no number is left of it in the whole run.
+ADDRESS_SKIP = _ADDRESS_TAIL + "*+"
+
 PASSWORD_SCOPES = ("line", "text", "token")
 
 
@@ -84,6 +96,8 @@ class Recognizer:
     in it; it has no effect on the result. Neither pattern may have capturing groups.
     ``needs_ahead`` lists classes that must each occur at or after a match's start,
     within ``scope`` ('line', 'text', or 'token' for the match itself).
+    ``backwards`` is the same pattern for the reversed text (``skip`` then is too).
+    ``language`` is the language of the texts it is meant for; ``for_language`` chooses by it.
     """
 
     entity: str
@@ -97,6 +111,7 @@ class Recognizer:
     needs_ahead: tuple[str, ...] = ()
     scope: str = "line"
     language: str = "en"
+    backwards: str | None = None
 
 
 def _default_list() -> tuple[Recognizer, ...]:
@@ -126,6 +141,7 @@ def _default_list() -> tuple[Recognizer, ...]:
             needs_regex=r"\d",
             needs_also=r",\s*[A-Z]{2}\s*\d{5}",
             skip=ADDRESS_SKIP,
+            backwards=ADDRESS_BACKWARDS,
         ),
         Recognizer("SSH_KEY", "ssh_key_pattern", SSH_KEY, s["SSH_KEY"], needs_text="ssh-"),
         Recognizer("AADHAAR_NUMBER", "aadhaar_pattern", AADHAAR_NUMBER, s["AADHAAR_NUMBER"], needs_regex=r"\d"),
@@ -134,6 +150,23 @@ def _default_list() -> tuple[Recognizer, ...]:
     )
 
 
+def _matches_nothing(regex: str) -> bool:
+    """Whether a pattern matches the empty text, by the engine that will run it; raises ValueError if it is not one.
+
+    Without a running session there is no engine to ask: the pattern is looked at as far as ``re`` can read it.
+    """
+    context = SparkContext._active_spark_context
+    if context is None:
+        try:
+            return re.search(regex, "") is not None
+        except re.error:
+            return False
+    try:
+        return context._jvm.java.util.regex.Pattern.compile(regex).matcher("").find()
+    except (Py4JJavaError, IllegalArgumentException) as error:
+        raise ValueError(f"not a pattern: {regex!r}") from error
+
+
 class RecognizerSet:
     """An ordered set of recognizers plus the matching flags they share.
 
@@ -182,9 +215,13 @@ class RecognizerSet:
             raise ValueError(f"unknown entities: {sorted(unknown)}")
         return RecognizerSet((r for r in self.items if r.entity in wanted), self.flags, self.entities)
 
+    def for_language(self, language: str) -> RecognizerSet:
+        """Keep the recognizers meant for texts of ``language``."""
+        return RecognizerSet((r for r in self.items if r.language == language), self.flags, self.entities)
+
     def with_recognizer(self, entity: str, regex: str, score: float, name: str | None = None) -> RecognizerSet:
         """Add a pattern of the user's own, for a known or a new entity."""
-        if re.compile(regex).search("") is not None:
+        if _matches_nothing(regex):
             raise ValueError(f"pattern matches the empty string: {regex!r}")
         if not 0.0 <= score <= 1.0:
             raise ValueError(f"score out of range: {score}")
@@ -193,9 +230,9 @@ class RecognizerSet:
         return RecognizerSet((*self.items, added), self.flags, entities)
 
     def with_flags(self, flags: str) -> RecognizerSet:
-        # With dot-all, "ahead on the line" becomes "ahead in the text".
-        scope = "text" if "s" in flags else "line"
-        items = tuple(replace(r, scope=scope) if r.needs_ahead and r.scope != "token" else r for r in self.items)
+        # With dot-all, "ahead on the line" becomes "ahead in the text"; a chosen scope stays.
+        wide = "s" in flags
+        items = tuple(replace(r, scope="text") if wide and r.needs_ahead and r.scope == "line" else r for r in self.items)
         return RecognizerSet(items, flags, self.entities)
 
     def with_scope(self, scope: str) -> RecognizerSet:
@@ -203,10 +240,8 @@ class RecognizerSet:
         return RecognizerSet(items, self.flags, self.entities)
 
     def with_recognizers_from(self, df: DataFrame) -> RecognizerSet:
-        """Add the patterns of a recognizer table."""
-        rows = df.select("entity", "pattern_name", "regex", "score").limit(MAX_RECOGNIZERS + 1).collect()
-        if len(rows) > MAX_RECOGNIZERS:
-            raise ValueError(f"at most {MAX_RECOGNIZERS} recognizers")
+        """Add the patterns of a recognizer table; they become literals of the plan."""
+        rows = df.select("entity", "pattern_name", "regex", "score").collect()
         out = self
         for r in sorted(rows, key=lambda r: (r["entity"], r["pattern_name"])):
             out = out.with_recognizer(r["entity"], r["regex"], r["score"], r["pattern_name"])

@@ -38,13 +38,15 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` once to the shared work folder and read it back.
+def materialise(df: DataFrame, purpose: str, *partition_by: str, folders: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared work folder and read it back; ``folders`` is told the place, for its removal.
 
     For results that are used several times: costly steps above it run once, and a
     lost executor re-reads the files instead of repeating them.
     """
     folder = work_folder(df.sparkSession, purpose)
+    if folders is not None:
+        folders.append(folder)
     df.write.partitionBy(*partition_by).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -56,17 +58,18 @@ def _local_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="veilspan-")
 
 
-def spread(df: DataFrame, key: str, bytes_per_core: int = 4 << 20) -> DataFrame:
-    """Spread a *small* input over the cores before regex work.
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete work folders; their data frames cannot be read any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    A table of a few MB arrives as one scan split, so one core would do all the
-    matching. Only inputs whose planned size is below ``bytes_per_core`` per core
-    are repartitioned: anything larger already has a split per core and its text
-    stays where it was read.
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to as many partitions as the session sets in ``veilspan.input.partitions``; unset, as it was read.
+
+    For small tables in a single scan split, which only the caller can know of. Data at scale has a split per core and
+    texts should stay where they are read.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if planned > cores * bytes_per_core:
-        return df
-    return df.repartition(cores, key)
+    partitions = df.sparkSession.conf.get("veilspan.input.partitions", None)
+    return df.repartition(int(partitions), key) if partitions else df

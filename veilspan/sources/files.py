@@ -19,6 +19,9 @@ PDF_EXTENSIONS = (".pdf",)
 REPOSITORY_PREFIXES = ("http://", "https://")
 # ---------------------------------------------------------------------------
 
+# What one value of a row can hold; reading a larger file would fail the whole job.
+MAX_BYTES = (1 << 31) - 1024
+
 
 def is_repository(source: Column) -> Column:
     return F.startswith(source, F.lit(REPOSITORY_PREFIXES[0])) | F.startswith(source, F.lit(REPOSITORY_PREFIXES[1]))
@@ -103,9 +106,23 @@ def text_files(files: DataFrame) -> DataFrame:
     return files.where(is_text_path(F.col("_metadata.file_name")) & (F.col("length") > 0))
 
 
-def documents_of(files: DataFrame) -> DataFrame:
-    """(path, text) of listed files; a file that cannot be read has no row."""
-    return files.select("path", decode(F.col("content")).alias("text")).where(F.col("text").isNotNull())
+def documents_of(files: DataFrame, details: bool = False, limit: int = MAX_BYTES) -> DataFrame:
+    """(path, text) of listed files; a file that cannot be read has no row, one above ``limit`` bytes is in ``oversized``.
+
+    With ``details`` also encoding and had_crlf, for a writer that is to restore the file's form.
+    """
+    read = files.where(F.col("length") <= limit)
+    more = [source_encoding(F.col("content")).alias("encoding"), had_crlf(F.col("content")).alias("had_crlf")] if details else []
+    return read.select("path", decode(F.col("content")).alias("text"), *more).where(F.col("text").isNotNull())
+
+
+def oversized(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
+    """Status rows of the files above ``limit`` bytes; the others go on. Sizes come from the listing, nothing is read."""
+    none = F.lit(None).cast("string")
+    error = F.concat(F.lit("Failed modifying "), "path", F.lit(": larger than "), F.lit(f"{limit} bytes"))
+    return files.where(F.col("length") > limit).select(
+        "path", F.lit("errors").alias("status"), none.alias("backup_path"), error.alias("error")
+    )
 
 
 def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

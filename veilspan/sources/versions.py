@@ -7,6 +7,7 @@ makes the version current. Readers therefore see a whole version or the one befo
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from veilspan.functions.text import strip
 MODIFIED, SKIPPED, ERROR = "modified", "skipped", "errors"
 NEW, ORIGINAL = "new", "original"
 NO_FILES = "No text files found."
+FAILED = "Failed modifying "
 BACKUP_STAMP = "%Y%m%d_%H%M%S"
 # ---------------------------------------------------------------------------
 
@@ -39,16 +41,17 @@ def output_text(text: Column, redacted: Column, append: bool = False) -> Column:
 
 
 def scrub_status_columns(
-    key: str, text: str, result: str, append: bool, backup_stamp: str | None
+    key: str, text: str, result: str, append: bool, backup: Callable[[Column], Column] | None
 ) -> dict[str, Column]:
+    """``backup`` names the backup of a key; None if none is made."""
     failed = F.col(result).isNull()
     written = F.lit(append) | is_changed(F.col(text), F.col(result))
     status = F.when(failed, F.lit(ERROR)).when(written, F.lit(MODIFIED)).otherwise(F.lit(SKIPPED))
     name = F.col(key).cast("string")
     none = F.lit(None).cast("string")
-    backup = F.when(status == MODIFIED, F.concat(name, F.lit(f".backup_{backup_stamp}"))) if backup_stamp else none
-    error = F.when(failed, F.concat(F.lit("Failed modifying "), name, F.lit(": no redacted text")))
-    return {"status": status, "backup_path": backup, "error": error}
+    place = F.when(status == MODIFIED, backup(name)) if backup else none
+    error = F.when(failed, F.concat(F.lit(FAILED), name, F.lit(": no redacted text")))
+    return {"status": status, "backup_path": place, "error": error}
 
 
 def scrub_status(
@@ -60,13 +63,14 @@ def scrub_status(
     backup_stamp: str | None = None,
 ) -> DataFrame:
     """(key, status, backup_path, error) per document; one bad row does not stop the others."""
-    columns = scrub_status_columns(key, text, result, append, backup_stamp)
+    named = (lambda name: F.concat(name, F.lit(f".backup_{backup_stamp}"))) if backup_stamp else None
+    columns = scrub_status_columns(key, text, result, append, named)
     return redacted.select(key, *[c.alias(name) for name, c in columns.items()])
 
 
 def scrub_summary(status: DataFrame) -> DataFrame:
-    """Files per status. The lists themselves are the rows of ``scrub_status``."""
-    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
+    """Files and backups per status. The lists themselves are the rows of ``scrub_status``."""
+    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"), F.count("backup_path").alias("n_backups"))
 
 
 def unmatched(documents: DataFrame, redacted: DataFrame, key: str) -> DataFrame:
@@ -126,7 +130,7 @@ def write_scrubbed(
     """
     now = datetime.now(timezone.utc)
     version = new_version_id(now)
-    status = scrub_status_columns(key, text, result, append, stamp(now) if create_backup else None)
+    status = scrub_status_columns(key, text, result, append, (lambda name: backup_place(root, version, name)) if create_backup else None)
     changed = status["status"] == MODIFIED
     out = F.when(changed, output_text(F.col(text), F.col(result), append)).otherwise(F.col(text))
     none = F.lit(None).cast("string")
@@ -142,6 +146,11 @@ def write_scrubbed(
     return _write(redacted.select(key, F.explode(rows).alias("r")).select(key, "r.*"), root, version)
 
 
+def backup_place(root: str, version: str, name: Column) -> Column:
+    """Where a backup is: the folder of the version's originals and, behind ``#``, the key of the row."""
+    return F.concat(F.lit(f"{root}/data/version={version}/kind={ORIGINAL}#"), name)
+
+
 def publish(spark: SparkSession, root: str, version: str) -> None:
     published = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
     pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(published).alias("published"))
@@ -190,6 +199,18 @@ def latest_backup(backups: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return backups.join(newest, [key, ts], "left_semi")
 
 
+def rollback(spark: SparkSession, root: str, key: str = "path") -> str:
+    """Publish a version in which every modified document has its latest backup again; returns its id.
+
+    Only modified rows meet the backups; the others are copied as they are.
+    """
+    current = read_current(spark, root)
+    changed = F.coalesce(F.col("status") == MODIFIED, F.lit(False))
+    back = restore(current.where(changed).select(key, "text"), read_backups(spark, root), key)
+    whole = current.where(~changed).select(key, "text").unionByName(back.select(key, "text"))
+    return write_version(whole, root)
+
+
 def restore(current: DataFrame, backups: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Current rows with the text of their latest backup where there is one."""
     latest = latest_backup(backups, key).select(key, F.col("text").alias("_backup"))
