@@ -1,4 +1,4 @@
-"""The queries of this subpackage, over whole tables, and the SQL that checks them."""
+"""The queries of this subpackage, over whole tables."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspan.llm import chunk_dedup, gated_lm, language_spans, maxscore, packing, quality_fm, sharding, suffix_decontamination
 from veilspan.llm.chat_format import format_chats, parse, unescape
 from veilspan.llm.minhash_forest import near_duplicates
+from veilspan.llm.oracles import ORACLES as ORACLES
 from veilspan.session import materialise
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,5 +108,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding, op9_chat_format, op10_suffix_decontamination,
     )
 }
-
-ORACLES: dict[str, str] = {}
