@@ -29,7 +29,12 @@ HEADLINE = (
     "report_joined",
     "assemble_pages",
     "find_person",
+    "find_address",
+    "redact_with_names",
+    "verify_redacted",
     "write_versions",
+    "restore_written",
+    "restore",
 )
 
 
@@ -37,10 +42,12 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS, spark__ui__enabled="false",
         spark__driver__memory="16g",
+        # The tables are one scan split each: deal them out, as the many splits of a large table are.
+        veilspan__input__partitions=CPUS,
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # The first job pays for starting up; it is not a query's cost.
-    spark.read.parquet(f"{SF_DIR}/documents.parquet").selectExpr("sum(length(text))").collect()
+    # Starting up and compiling the matching code are not a query's cost: one real query runs first.
+    QUERIES["redact_email"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
