@@ -8,9 +8,10 @@
    order with probability 1 - 5e-6, of similarity 0.8 with 1 - 5e-8.
 3. Depth adapts to the region: each class is first compared only with its neighbours of longest common prefix, as deep as
    the region allows. Confirmed links are contracted to components.
-4. The rest, exactly: in regions that hold more than one component, members of different components are compared, in
-   blocks of bounded size, by all 128 values; pairs whose estimate is not more than 5 standard errors below the threshold
-   are confirmed on the full sets: first the best pair of two components, then what is still apart.
+4. The rest, exactly: in regions that hold more than one component, members of different components meet in blocks of
+   bounded size, each pair in the first order in which it shares a region. Pairs whose estimate from all 128 values is not more
+   than 5 standard errors below the threshold are confirmed on the full sets inside the block, where only links leave:
+   at most one per class and component, not the pairs that were looked at.
 
 A link is never taken from an estimate: every one is confirmed on the full shingle sets (64-bit digests of shingles).
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,24 +91,29 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary")
 
 
+def _region_keys(values: np.ndarray) -> np.ndarray:
+    """Keys of the regions of signatures (classes by 128 values): one per order."""
+    firsts = values.reshape(len(values), TREES, PREFIX).astype(np.uint64)
+    region = np.broadcast_to(np.arange(TREES, dtype=np.uint64), firsts.shape[:2])
+    for d in range(PREFIX):
+        region = mix(region * np.uint64(5) + firsts[:, :, d])
+    return region.view(np.int64)
+
+
 def _labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per order: its number and first values, the further values, the class."""
-    places = (np.arange(TREES)[:, None] * PREFIX + np.arange(DEPTH)[None, :]) % VALUES
+    places = (np.arange(TREES)[:, None] * PREFIX + np.arange(PREFIX, DEPTH)[None, :]) % VALUES
     for batch in batches:
         for k in range(0, batch.num_rows, 2048):
             part = batch.slice(k, 2048)
             sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
-            values = sig[:, places].astype(np.uint64)  # class, order, depth
-            region = np.broadcast_to(np.arange(TREES, dtype=np.uint64), values.shape[:2])
-            for d in range(PREFIX):
-                region = mix(region * np.uint64(5) + values[:, :, d])
-            deep = np.ascontiguousarray(values[:, :, PREFIX:].astype(">u4")).view(f"S{4 * (DEPTH - PREFIX)}").ravel()
+            deep = np.ascontiguousarray(sig[:, places].astype(">u4")).view(f"S{4 * (DEPTH - PREFIX)}").ravel()
             deep = pa.FixedSizeBinaryArray.from_buffers(
                 pa.binary(4 * (DEPTH - PREFIX)), len(deep), [None, pa.py_buffer(deep.tobytes())]
             )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(region.ravel().view(np.int64)),
+                    pa.array(_region_keys(sig).ravel()),
                     deep.cast(pa.binary()),
                     pa.array(np.repeat(part.column("class").to_numpy(zero_copy_only=False), TREES)),
                 ],
@@ -160,16 +165,29 @@ def _members(table: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatc
     )
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
+def _shingle_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """class and shingles (sorted 64-bit digests) of the classes that share a region with another."""
 
-    def shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(_class(s), s.tobytes()) for _, s in _sets(batch.column("text"), words) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "shingles"]
             )
 
+    # Regions at the edge of a task may hold one class only.
+    crowded = members.groupBy("region").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("region")
+    needed = members.join(crowded, "region", "left_semi").select("class").distinct()
+    needed = materialise(needed.join(classes.select("class", F.col("rep").alias("doc_id")), "class"), "needed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A repeated doc_id may bring other texts: only the classes asked for stay, once each.
+    sets = texts.select("text").mapInArrow(run, "class long, shingles binary").join(needed.select("class"), "class", "left_semi")
+    return materialise(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+
     def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -179,18 +197,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    ids = needed.join(classes.select("class", "rep"), "class").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    # A repeated doc_id may bring other texts: only the classes asked for stay, once each.
-    sets = texts.select("text").mapInArrow(shingle_sets, "class long, shingles binary")
-    sets = materialise(sets.join(needed, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
     side = lambda key, name: sets.select(F.col("class").alias(key), F.col("shingles").alias(name))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes that share a region, lie in different components and may be similar: (a, b, la, lb, estimate)."""
+def _meeting(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the regions with more than one component, dealt so that those outside a region's largest component
+    (side 0) meet all its members (side 1) in blocks (region, i, j)."""
     named = members.select("region", "class").join(labels, members["class"] == labels["node"], "left")
     named = named.select("region", "class", F.coalesce("label", "class").alias("label"))
     sizes = named.groupBy("region", "label").agg(F.count("*").alias("n"))
@@ -201,45 +214,78 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, similarity
         "region", F.col("major.label").alias("major"),
         F.ceil(F.col("rows") / SIDE).alias("all_blocks"), F.ceil((F.col("rows") - F.col("major.n")) / SIDE).alias("other_blocks"),
     )
-    rows = materialise(named.join(mixed, "region"), "mixed")
+    rows = materialise(named.join(mixed, "region").withColumn("other", F.col("label") != F.col("major")), "mixed")
     place = lambda blocks: F.pmod(F.xxhash64("class", "region"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
-    # The rows outside a region's largest component meet all its rows, block by block.
-    left = rows.where("label <> major").select(
-        "region", "class", "label", F.lit(0).alias("side"), place("other_blocks").alias("i"), every("all_blocks").alias("j")
-    )
-    right = rows.select(
-        "region", "class", "label", F.lit(1).alias("side"), every("other_blocks").alias("i"), place("all_blocks").alias("j")
-    )
-    sigs = classes.select("class", "n_shingles", "signature")
-    dealt = left.union(right).join(sigs, "class")
-    keys = ["region", "i", "j"]
-    least = similarity / 100 - 5 * np.sqrt(similarity / 100 * (1 - similarity / 100) / VALUES)
+    own = ["region", "class", "label", "other"]
+    left = rows.where("other").select(*own, F.lit(0).alias("side"), place("other_blocks").alias("i"), every("all_blocks").alias("j"))
+    right = rows.select(*own, F.lit(1).alias("side"), every("other_blocks").alias("i"), place("all_blocks").alias("j"))
+    return left.union(right)
+
+
+_BLOCK = ["region", "i", "j"]
+_DEALT = "region long, class long, label long, other boolean, side int, i int, j int"
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, keys):
-            bounds = group_bounds(table, keys)
+
+def _candidates(table: pa.Table, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For every row of side 0: the rows of side 1 in its block that may be similar and are apart from it."""
+    bounds = group_bounds(table, _BLOCK)
+    cls, label, region = (table.column(c).to_numpy() for c in ("class", "label", "region"))
+    side, n, other = (table.column(c).to_numpy() for c in ("side", "n_shingles", "other"))
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
+    least = similarity / 100 - 5 * np.sqrt(similarity / 100 * (1 - similarity / 100) / VALUES)
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        x = low + np.flatnonzero(side[low:high] == 0)
+        y = low + np.flatnonzero(side[low:high] == 1)
+        tree = int(np.flatnonzero(_region_keys(sig[low : low + 1])[0] == region[low])[0])
+        for i in x:
+            # Two classes outside the largest component meet once, not from both sides.
+            z = y[(label[y] != label[i]) & (~other[y] | (cls[y] > cls[i]))]
+            z = z[100 * np.minimum(n[z], n[i]) >= similarity * np.maximum(n[z], n[i])]
+            if len(z):
+                equal = sig[z] == sig[i]
+                z, equal = z[(ok := equal.mean(axis=1) >= least)], equal[ok]
+                # In this order for the first time?
+                before = equal[:, : tree * PREFIX].reshape(len(z), tree, PREFIX).all(axis=2).any(axis=1)
+                z = z[~before]
+            yield i, z
+
+
+def _links_apart(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between classes that share a region and lie in different components."""
+
+    def taking_part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, _BLOCK):
+            some = np.zeros(table.num_rows, bool)
+            for i, z in _candidates(table, similarity):
+                some[z] = True
+                some[i] |= len(z) > 0
+            yield from table.select(["region", "class", "label", "other", "side", "i", "j"]).filter(pa.array(some)).to_batches()
+
+    def confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, _BLOCK):
             cls, label = table.column("class").to_numpy(), table.column("label").to_numpy()
-            side, n = table.column("side").to_numpy(), table.column("n_shingles").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint16)
-            out = []
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                x = low + np.flatnonzero(side[low:high] == 0)
-                y = low + np.flatnonzero(side[low:high] == 1)
-                for i in x:
-                    z = y[(label[y] != label[i]) & (100 * np.minimum(n[y], n[i]) >= similarity * np.maximum(n[y], n[i]))]
-                    estimate = (sig[z] == sig[i]).mean(axis=1) if len(z) else np.zeros(0)
-                    ok = estimate >= least
-                    z = z[ok]
-                    out += zip(np.minimum(cls[i], cls[z]), np.maximum(cls[i], cls[z]), np.where(cls[i] < cls[z], label[i], label[z]),
-                               np.where(cls[i] < cls[z], label[z], label[i]), estimate[ok])
-            frame = pd.DataFrame(out, columns=["a", "b", "la", "lb", "estimate"]).drop_duplicates(["a", "b"])
-            yield pa.RecordBatch.from_pandas(
-                frame.astype({"a": "int64", "b": "int64", "la": "int64", "lb": "int64", "estimate": "float64"}), preserve_index=False
-            )
+            own = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+            size = np.array([len(s) for s in own])
+            out: list[tuple[int, int]] = []
+            for i, z in _candidates(table, similarity):
+                if not len(z):
+                    continue
+                x = own[i]
+                every = np.concatenate([own[k] for k in z])
+                at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+                both = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(size[z]) - size[z])
+                z = z[100 * both >= similarity * (len(x) + size[z] - both)]
+                z = z[np.unique(label[z], return_index=True)[1]]
+                out += [(int(cls[i]), int(cls[k])) for k in z]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*out) if out else ((), ()))], ["a", "b"])
 
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, la long, lb long, estimate double")
-    return found.dropDuplicates(["a", "b"])
+    sigs = classes.select("class", "n_shingles", "signature")
+    dealt = _meeting(members, labels).join(sigs, "class")
+    part = dealt.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(taking_part, _DEALT)
+    part = materialise(part, "meeting")
+    full = part.join(sigs, "class").join(sets, "class")
+    return full.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(confirmed, "a long, b long").distinct()
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -267,7 +313,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 75) -> Da
     near = near.agg(F.max("shared").alias("shared"), F.first("class").alias("class"))
     best = near.groupBy("class").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a", "b")), False), 1, NEIGHBOURS).alias("best"))
     pairs = materialise(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), "pairs")
-    links = _confirm(pairs, docs, classes, words, similarity)
+    sets = _shingle_sets(docs, classes, members, words)
+    links = _confirm(pairs, sets, similarity)
     # Rows that repeat a doc_id are one document.
     repeated = signed.where("class is not null and doc_id is not null").groupBy("doc_id").agg(
         F.min("class").alias("a"), F.max("class").alias("z")
@@ -275,14 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 75) -> Da
     repeated = signed.join(repeated, "doc_id").select("a", F.col("class").alias("b"))
     labels = components(links.union(repeated))
 
-    apart = materialise(_apart(members, labels, classes, similarity), "apart")
-    best = apart.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
-    best = materialise(best.agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
-    labels = _relabel(labels, _confirm(best, docs, classes, words, similarity))
-    name = lambda key: labels.select(F.col("node").alias(key), F.col("label").alias(f"l{key}"))
-    still = apart.select("a", "b").join(best, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
-    still = materialise(still.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b"), "pairs")
-    labels = _relabel(labels, _confirm(still, docs, classes, words, similarity))
+    labels = _relabel(labels, _links_apart(members, labels, classes, sets, similarity))
 
     named = classes.select("class", "rep").join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("class", "rep", F.coalesce("label", "class").alias("label"))
