@@ -37,7 +37,7 @@ TREES = 32
 PREFIX = 4
 DEPTH = 8
 NEIGHBOURS = 2
-SIDE = 512
+SIDE = 2048
 
 _RNG = np.random.default_rng(11)
 _MULTIPLY = _RNG.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
@@ -179,7 +179,9 @@ def _shingle_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, words
     crowded = members.groupBy("region").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("region")
     needed = members.join(crowded, "region", "left_semi").select("class").distinct()
     needed = materialise(needed.join(classes.select("class", F.col("rep").alias("doc_id")), "class"), "needed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    # The ids grow with the documents: no broadcast, at any size.
+    ids = needed.select("doc_id").distinct().hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     # A repeated doc_id may bring other texts: only the classes asked for stay, once each.
     sets = texts.select("text").mapInArrow(run, "class long, shingles binary").join(needed.select("class"), "class", "left_semi")
     return materialise(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
