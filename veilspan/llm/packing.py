@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +36,36 @@ from veilspan.session import materialise
 CAPACITY = 1024
 END = 2
 ROUNDS = 250
-CACHED = 300_000
+CACHED = 350_000
 
 # White space as the tokenizer's splitting pattern has it.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that no token spans: a word with at most one space before it, or white space.
 _PIECE = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: White space next to a space, or a space at the end: there, splitting at spaces is not enough.
 _BORDER = re.compile(rf" (?=[{_SPACE}]|\Z)|[{_SPACE}](?= )")
 
 
+class _Numbers(dict):
+    """Numbers of pieces, given out as they are first asked for; at most two generations of ``CACHED`` pieces are kept."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, int] = {}
+        self.new: list[str] = []
+        self.count = 0
+
+    def __missing__(self, piece: str) -> int:
+        number = self.old.get(piece)
+        if number is None:
+            number = self.count
+            self.count += 1
+            self.new.append(piece)
+        self[piece] = number
+        return number
+
+
 class Encoder:
-    """Token ids of whole texts; the ids of words seen before are looked up.
+    """Token ids of whole texts; the ids of pieces seen lately are looked up.
 
     Splitting at single spaces does not change the ids: no token of the byte-level vocabulary spans the border between a
     word and the space before the next. Texts that hold a special token go to the tokenizer whole.
@@ -56,49 +76,73 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
-        self.clear()
+        self.numbers = _Numbers()
+        self.ids, self.lengths = array("I"), array("I")
+
+    def _age(self) -> None:
+        """Forget what was not asked for since the last time; number the rest anew."""
+        kept = dict(self.numbers)
+        start, length = self._places()
+        flat = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
+        at = np.fromiter(kept.values(), np.int64, len(kept))
+        n = length[at]
+        taken = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        del flat
+        self.ids, self.lengths = array("I", taken.tobytes()), array("I", n.astype(np.uint32).tobytes())
+        self.numbers = _Numbers()
+        self.numbers.old = dict(zip(kept, range(len(kept))))
+        self.numbers.count = len(kept)
+
+    def _places(self) -> tuple[np.ndarray, np.ndarray]:
+        length = np.array(self.lengths, np.int64)
+        return np.cumsum(length) - length, length
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.lengths: list[int] = []
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        for k in range(0, len(new), 4096):
+            for code in self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False):
+                ids = code.ids
+                self.ids.extend(ids)
+                self.lengths.append(len(ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > CACHED:
-            self.clear()
-        pieces: list[list[str] | None] = []
-        for text in texts:
+        if len(self.numbers) > CACHED:
+            self._age()
+        pieces: list[str] = []
+        ends, special = [], {}
+        for k, text in enumerate(texts):
             if any(s in text for s in self.special):
-                pieces.append(None)
-                continue
-            head, *words = text.split(" ")
-            own = [head] if head else []
-            own += [" " + w for w in words]
-            pieces.append(_PIECE.findall(text) if _BORDER.search(text) else own)
-        number = self.number
-        new = list(dict.fromkeys(p for own in pieces if own is not None for p in own if p not in number))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                number[piece] = len(self.ids)
-                self.ids.append(np.array(code.ids, np.uint32))
-                self.lengths.append(len(code.ids))
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, own in zip(texts, pieces) if own is None], add_special_tokens=False))
-        flat = np.concatenate([np.zeros(0, np.uint32), *self.ids]) if self.ids else np.zeros(0, np.uint32)
-        length = np.array(self.lengths, np.int64)
-        start = np.cumsum(length) - length
-        out = []
-        for own in pieces:
-            if own is None:
-                out.append(np.array(next(whole).ids, np.uint32))
-                continue
-            at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            n = length[at]
-            total = int(n.sum())
-            out.append(flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32))
+                special[k] = text
+            elif _BORDER.search(text):
+                # White space beside a space: not every border between words is one between tokens.
+                pieces += _PIECE.findall(text)
+            else:
+                # Every word but the first brings the space before it; an empty first one is none.
+                head, *words = text.split(" ")
+                if head:
+                    pieces.append(head)
+                pieces += [" " + w for w in words]
+            ends.append(len(pieces))
+        at = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        self._learn()
+        start, length = self._places()
+        n = length[at]
+        flat = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
+        ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        del flat
+        cuts = np.concatenate(([0], np.cumsum(n)))[np.array([0, *ends])]
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for k, code in zip(special, self.tokenizer.encode_batch_fast(list(special.values()), add_special_tokens=False)):
+            out[k] = np.array(code.ids, np.uint32)
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> Encoder:
+    """One per worker process: its pieces serve the next task too."""
+    return Encoder(definition)
+
+
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids (unsigned little-endian 32-bit), task and rank of its length in the task."""
     with open(tokenizer, encoding="utf-8") as file:
@@ -108,7 +152,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, seen = Encoder(sent.value), np.zeros(capacity + 1, np.int64)
+        encoder, seen = _encoder(sent.value), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, offsets, _ = utf8(batch.column("text"))
             for low, high in blocks(offsets, 1 << 20):
