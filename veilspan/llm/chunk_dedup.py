@@ -1,10 +1,10 @@
 """Removal of passages that repeat, by content-defined chunking with a gear rolling hash.
 
-The gear runs over words: ``g = 2 * g + G(word)``; a cut follows where the low four bits of ``g``, which depend on the last
-four words only, fall below 3. Cuts therefore depend on the content around them and an insertion moves only those near it.
-Single gear chunks are short (5 words on average), and short chunks repeat by chance in a large corpus; so a
-digest is taken at every cut, over the following chunks up to the first cut at least ``min_words`` on. A passage of
-more than 50 words holds such a chunk with a probability above 0.99, wherever it stands.
+The gear runs over words: ``g = 2 * g + G(word)``; a cut follows where the low four bits of ``g``, which depend on the
+last four words only, fall below 4. Cuts therefore depend on the content around them and an insertion moves only those near it.
+Single gear chunks are short (4 words on average), and short chunks repeat by chance in a large corpus, as licence lines and
+other stock phrases do by intent; so a digest is taken at every cut, over the following chunks up to the first cut at least
+``min_words`` (20) on. A passage of more than 50 words holds such a chunk with a probability above 0.99, wherever it stands.
 
 A digest belongs to the document of least doc_id that has it; there it stays. Everywhere else the words it covers are cut,
 with the white space after them; within a document all but the first occurrence (not overlapping it) are cut.
@@ -47,7 +47,7 @@ def cuts(words: np.ndarray) -> np.ndarray:
     value = np.zeros(len(words), np.uint64)
     for k in range(min(WINDOW, len(words))):
         value[k:] += gear[: len(gear) - k] << np.uint64(k)
-    places = np.concatenate(([0], np.flatnonzero((value & np.uint64(15)) < 3) + 1, [len(words)]))
+    places = np.concatenate(([0], np.flatnonzero((value & np.uint64(15)) < 4) + 1, [len(words)]))
     places = np.unique(places)
     far = np.flatnonzero(np.diff(places) > LONGEST)
     if len(far):
@@ -156,7 +156,7 @@ def _cut(schema: T.StructType, min_words: int):
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated passages cut from ``text``; adds removed_spans, n_words and n_removed."""
     docs = docs.drop(*_ADDED.names, MARKS, "_id").withColumn("_id", F.col("doc_id").cast("long"))
     rows = digests(docs.select(F.col("_id").alias("doc_id"), "text"), min_words)
