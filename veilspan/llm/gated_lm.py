@@ -36,7 +36,9 @@ FREQUENT = CLASSES * MEMBERS
 RARE = FREQUENT
 START = FREQUENT + 1
 WINDOW = 16
-LANES = 256
+LANES = 512
+#: Tokens whose outputs are worked out at a time.
+TALL = 16_384
 ROUNDS = ((0, 1), (1, 4), (4, 8))
 BLOCK_BYTES = 12 << 20
 SMOOTH = 0.1
@@ -205,7 +207,7 @@ def log_probabilities(net: Network, ids: np.ndarray, begins: np.ndarray) -> np.n
     """Natural log probability of every token; each document runs through one lane, whole and from an empty state."""
     lengths = np.diff(np.append(begins, len(ids)))
     longest = int(lengths.max(initial=1))
-    lanes = int(np.clip(len(ids) // longest, 16, 2 * LANES))
+    lanes = int(np.clip(len(ids) // longest, 16, LANES))
     load = [(0, lane) for lane in range(lanes)]
     at, lane_of = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for doc in np.argsort(-lengths, kind="stable"):
@@ -229,9 +231,11 @@ def log_probabilities(net: Network, ids: np.ndarray, begins: np.ndarray) -> np.n
     state = np.zeros((lanes, UNITS), np.float32)
     keep = np.ones(len(ids) + 1, np.float32)
     keep[begins] = 0
-    tall = 2 * WINDOW
-    for t in range(0, steps, tall):
+    t = 0
+    while t < steps:
         running = int(np.searchsorted(-size, -t, "left"))
+        # Few long documents left: more steps at a time.
+        tall = max(2 * WINDOW, TALL // running)
         place = grid[t : t + tall, :running]
         some = place >= 0
         inputs = np.where(some, before[place], START)
@@ -239,6 +243,7 @@ def log_probabilities(net: Network, ids: np.ndarray, begins: np.ndarray) -> np.n
         state[:running] = states[-1]
         logs, _ = net.outputs(states[some], ids[place[some]], False)
         out[place[some]] = logs
+        t += tall
     return out
 
 
