@@ -407,7 +407,7 @@ def test_ids_are_the_tokenizers_for_any_white_space():
     rng = np.random.default_rng(9)
     with open(TOKENIZER, encoding="utf-8") as file:
         encoder = packing.Encoder(file.read())
-    parts = ["a", "the", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "é", "日本", "'s", "12", "--", "<|endoftext|>", "it's"]
+    parts = ["a", "the", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "é", "日本", "'s", "12", "--", ", ", ". ", "_", "e\u0301", "\u00b2", "\0", "<|endoftext|>", "it's"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000)]
     assert [x.tolist() for x in encoder.encode(texts)] == [i[:-1] for i in ids_of(texts)]
 

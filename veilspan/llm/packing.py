@@ -45,6 +45,9 @@ _PIECE = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: White space next to a space, or a space at the end: there, splitting at spaces is not enough.
 _BORDER = re.compile(rf" (?=[{_SPACE}]|\Z)|[{_SPACE}](?= )")
 
+#: A comma or full stop that may share a token with what stands before it.
+_MARKS = re.compile(r"[\W_][.,] ")
+
 
 class _Numbers(dict):
     """Numbers of pieces, given out as they are first asked for; at most two generations of ``CACHED`` pieces are kept."""
@@ -113,15 +116,14 @@ class Encoder:
         for k, text in enumerate(texts):
             if any(s in text for s in self.special):
                 special[k] = text
-            elif _BORDER.search(text):
+            elif _BORDER.search(text) or "\0" in text:
                 # White space beside a space: not every border between words is one between tokens.
                 pieces += _PIECE.findall(text)
             else:
-                # Every word but the first brings the space before it; an empty first one is none.
-                head, *words = text.split(" ")
-                if head:
-                    pieces.append(head)
-                pieces += [" " + w for w in words]
+                # Every word brings the space before it; a comma or full stop behind a letter or digit is a piece of its own.
+                if not _MARKS.search(text):
+                    text = text.replace(", ", "\0, ").replace(". ", "\0. ")
+                pieces += filter(None, text.replace(" ", "\0 ").split("\0"))
             ends.append(len(pieces))
         at = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
