@@ -105,7 +105,7 @@ class Words:
         self.script = _SCRIPT[np.searchsorted(_FIRST, first_letter, "right") - 1]
 
 
-def _texts(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
+def _texts(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
     _, offsets, _ = utf8(column)
     for low, high in blocks(offsets, size):
         yield low, high, Words([t or "" for t in column.slice(low, high - low).to_pylist()])

@@ -36,7 +36,7 @@ from veilspan.session import materialise
 CAPACITY = 1024
 END = 2
 ROUNDS = 250
-CACHED = 350_000
+CACHED = 120_000
 
 # White space as the tokenizer's splitting pattern has it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
