@@ -427,6 +427,19 @@ def test_configurations_cover_every_count():
         assert sum(m for _, m in plan) <= sum(m for _, m in packing.best_fit(counts, 1024))
 
 
+def test_the_configuration_program_places_most_pieces():
+    counts = np.zeros(1025, np.int64)
+    np.add.at(counts, np.random.default_rng(4).integers(300, 480, 20_000), 1)
+    left = counts.copy()
+    for config, many in packing.program(counts, 1024):
+        assert sum(length * k for length, k in config.items()) <= 1024
+        for length, k in config.items():
+            left[length] -= k * many
+    assert (left >= 0).all() and left.sum() < 0.2 * counts.sum()
+    # Best fit alone puts two of the long pieces together and three of the short ones.
+    assert sum(m for _, m in packing.configurations(counts)) < 0.98 * sum(m for _, m in packing.best_fit(counts, 1024))
+
+
 # 8
 
 

@@ -6,8 +6,9 @@
 2. Over the histogram of lengths (at most ``capacity`` entries, whatever the corpus): cover the counts with as few
    sequences as possible, a sequence being a configuration of lengths of at most ``capacity`` together. The fractional program
    is solved by multiplicative weights: lengths still short of their count gain price, and a knapsack dynamic program finds
-   the configuration of most price. Counts are rounded down to whole sequences; what is left is packed by
-   subset-sum filling, the longest length first. The result is compared with best-fit decreasing, and the better kept.
+   the configurations of most price, until the least covered length is within ``GAP`` of the mean. Counts are rounded
+   to whole sequences; what is left is packed by subset-sum filling, the longest length first. Best-fit decreasing packs
+   the whole histogram too, and its plan is taken where it needs fewer sequences; the log says what each needs.
 3. The plan is a list of slots (length, range of ranks, first sequence, offset), bounded by the number of configurations,
    not of documents. A piece's rank over the whole corpus is its task's first rank plus its own; the slot with this rank is
    its place. Token ids never leave the table they were written to.
@@ -19,6 +20,7 @@ other. Other columns are not read.
 from __future__ import annotations
 
 import json
+import logging
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -33,9 +35,16 @@ from pyspark.sql import types as T
 from veilspan.llm.text import blocks, utf8
 from veilspan.session import materialise
 
+log = logging.getLogger(__name__)
+
 CAPACITY = 1024
 END = 2
-ROUNDS = 250
+#: A round's share of a length lowers its weight by so much.
+STEP = 0.25
+#: The program ends when the least covered length is so near the mean.
+GAP = 0.1
+#: Configurations so near the best of a round are taken in it.
+NEAR = 0.02
 CACHED = 120_000
 
 # White space as the tokenizer's splitting pattern has it.
@@ -179,31 +188,34 @@ _NAMES = ["doc_id", "piece", "start", "length", "ids", "rank"]
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
 
-def best_configuration(price: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The lengths of at most ``capacity`` together with the highest price, by dynamic programming over capacities.
+class Knapsack:
+    """For every room up to ``capacity`` the lengths of highest price together, by dynamic programming over the rooms.
 
-    A length over ``most`` times is thrown out again; price may be 0 for lengths that are not wanted.
+    Lengths of price 0 are not wanted; of equal prices together, longer lengths are taken.
     """
-    value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    wanted = np.flatnonzero(price > 0)
-    for room in range(1, capacity + 1):
-        fits = wanted[: np.searchsorted(wanted, room, "right")]
-        if len(fits):
-            options = value[room - fits] + price[fits]
-            best = int(options.argmax())
-            value[room], choice[room] = options[best], fits[best]
-        if value[room - 1] > value[room]:
-            value[room], choice[room] = value[room - 1], 0
-    chosen: dict[int, int] = {}
-    room = capacity
-    while room:
-        length = int(choice[room])
-        if not length:
-            room -= 1
-            continue
-        chosen[length] = min(int(most[length]), chosen.get(length, 0) + 1)
-        room -= length
-    return chosen
+
+    def __init__(self, price: np.ndarray, capacity: int) -> None:
+        self.value, self.choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        wanted = np.flatnonzero(price > 0)[::-1]
+        own = price[wanted]
+        first = np.searchsorted(-wanted, -np.arange(capacity + 1), "left")
+        for room in range(1, capacity + 1):
+            self.value[room] = self.value[room - 1]
+            fits = first[room]
+            if fits < len(wanted):
+                options = self.value[room - wanted[fits:]] + own[fits:]
+                best = int(options.argmax())
+                if options[best] > self.value[room] * (1 + 1e-12):
+                    self.value[room], self.choice[room] = options[best], wanted[fits + best]
+
+    def lengths(self, room: int) -> dict[int, int]:
+        chosen: dict[int, int] = {}
+        while room:
+            length = int(self.choice[room])
+            if length:
+                chosen[length] = chosen.get(length, 0) + 1
+            room -= length or 1
+        return chosen
 
 
 def filled(left: np.ndarray, capacity: int) -> dict[int, int]:
@@ -276,44 +288,76 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return [(config, many) for group in rooms.values() for config, many in group]
 
 
-def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(lengths and how often each, number of such sequences): together every counted piece exactly once."""
-    plan = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
-    rest = counts.copy()
-    rest[capacity] = 0
+def program(rest: np.ndarray, capacity: int, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences of the fractional program's solution; they hold no length more often than ``rest`` counts it.
+
+    ``rounds`` ends the program before the covered shares are within ``GAP``.
+    """
     wanted = np.flatnonzero(rest)
-    if not len(wanted):
-        return plan
-    # Multiplicative weights: covered[l] is the share of length l's count that the fractional solution has so far.
-    weight = np.zeros(capacity + 1)
-    weight[wanted] = np.log(wanted / capacity)
+    # covered[l]: the share of length l's count that the solution has so far; a price is a weight by piece, first the length.
+    weight, covered = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    weight[wanted] = np.log(rest[wanted] * (wanted / capacity))
     used: dict[tuple[tuple[int, int], ...], float] = {}
-    covered, step = np.zeros(capacity + 1), 0.25
-    for _ in range(rounds):
+    done = 0
+    while len(wanted) and done != rounds:
+        done += 1
         price = np.zeros(capacity + 1)
         price[wanted] = np.exp(weight[wanted] - weight[wanted].max()) / rest[wanted]
-        price[price < price.max() * 1e-12] = 0
-        config = best_configuration(price, rest, capacity)
-        # As many sequences of it as its scarcest length allows.
-        amount = min(rest[n] / k for n, k in config.items())
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + amount
-        for n, k in config.items():
-            share = k * amount / rest[n]
-            covered[n] += share
-            weight[n] -= step * share
-    # Scaled so that no length is covered more than once on the way down, then whole sequences.
-    scale = max(covered[wanted].mean(), 1e-9)
-    left = rest.copy()
+        best = Knapsack(price, capacity)
+        room = rest.astype(float)
+        first = wanted[np.lexsort((-wanted, covered[wanted]))]
+        # The best configuration, and for every length the best one with it, if that is hardly worse.
+        good = price[first] + best.value[capacity - first] >= (1 - NEAR) * best.value[capacity]
+        for length in (0, *first[good].tolist()):
+            if length and room[length] <= 0:
+                continue
+            config = best.lengths(capacity - length)
+            if length:
+                config[length] = config.get(length, 0) + 1
+            # A length over its count is thrown out again.
+            config = {n: min(k, int(rest[n])) for n, k in config.items()}
+            amount = min(room[n] / k for n, k in config.items())
+            if amount > 0:
+                key = tuple(sorted(config.items()))
+                used[key] = used.get(key, 0.0) + amount
+                for n, k in config.items():
+                    room[n] -= k * amount
+        share = 1 - room[wanted] / rest[wanted]
+        covered[wanted] += share
+        weight[wanted] -= STEP * share
+        if covered[wanted].min() >= (1 - GAP) * covered[wanted].mean():
+            break
+    # Scaled so that the lengths are covered once on average, then whole sequences; fractions are carried on.
+    plan, left, carried = [], rest.copy(), 0.0
+    scale = covered[wanted].mean() if len(wanted) else 1.0
     for key, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-        many = min(int(amount / scale), *(int(left[n]) // k for n, k in key))
+        carried += amount / scale
+        many = min(int(carried + 1e-9), *(int(left[n]) // k for n, k in key))
         if many > 0:
+            carried -= many
             plan.append((dict(key), many))
             for n, k in key:
                 left[n] -= k * many
-    packed = plan + _greedy(left, capacity)
-    plain = best_fit(counts, capacity)
-    return min((packed, plain), key=lambda p: sum(many for _, many in p))
+    return plan
+
+
+def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
+    """(lengths and how often each, number of such sequences): together every counted piece exactly once."""
+    plan = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
+    rest = counts.copy()
+    rest[capacity] = 0
+    solved = program(rest, capacity, rounds)
+    left = rest.copy()
+    for config, many in solved:
+        for n, k in config.items():
+            left[n] -= k * many
+    packed, plain = plan + solved + _greedy(left, capacity), best_fit(counts, capacity)
+    n_packed, n_plain = (sum(many for _, many in p) for p in (packed, plain))
+    log.info(
+        "configuration program: %d of %d pieces shorter than a sequence, %d sequences; best fit: %d",
+        rest.sum() - left.sum(), rest.sum(), n_packed, n_plain,
+    )
+    return packed if n_packed <= n_plain else plain
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int]]:
