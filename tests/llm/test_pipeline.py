@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, and on odd rows."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -36,6 +37,18 @@ def test_stages_and_run(spark):
     assert {r.doc_id for r in rows} == set(clean.doc_id)
 
 
+def test_documents_in_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    letters = np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz    "), 600)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    planted = [(-1, "यह एक हिन्दी वाक्य है और इसमें कुछ शब्द हैं " * 8), (-2, "".join(letters)), (-3, finnish)]
+    # Rows without lang are not learned from: every fourth of the table is held out, and has to stay.
+    rows = docs.withColumn("lang", F.when(F.col("doc_id") % 4 != 2, F.col("lang")))
+    rows = rows.union(spark.createDataFrame([(i, t, None) for i, t in planted], docs.schema))
+    left = {r.doc_id for r in corpus_pipeline.identify_language(spark, rows, SF).collect()}
+    assert left == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
+
+
 def test_odd_rows_and_empty_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, matches string, class string"
     odd = spark.createDataFrame([(i, t, lang, None, len(t or ""), "m", "c") for i, t, lang in ODD], schema)

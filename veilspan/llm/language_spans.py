@@ -8,7 +8,10 @@ labels spans; the language with most letters is the text's. Texts are labelled s
 The model's size is fixed by the hash places and the number of languages; it is summed by Spark from sparse
 counts of each task and broadcast.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0 and no spans; with no labelled text to learn
+A text's evidence is the log probability ratio of its words under their languages to an unknown language, per letter; words in a
+script that their language does not use give none.
+
+Defined cases: null texts and texts without a letter are ``und`` with score and evidence 0 and no spans; with no labelled text to learn
 from, all are ``und``. A language null in training is not learned. Other columns are kept; columns named as the added ones
 are replaced.
 """
@@ -48,6 +51,7 @@ _FIRST = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([b for _, b in SCRIPTS])
 ADDED = T.StructType(
     [
+        T.StructField("lang_evidence", T.DoubleType()),
         T.StructField("lang_pred", T.StringType()),
         T.StructField("lang_score", T.DoubleType()),
         T.StructField(
@@ -115,23 +119,33 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray) -> None:
         """``counts``: languages by trigram places, word places and scripts."""
         self.languages = languages
-        tables = []
+        tables, common = [], []
         for low in (0, PLACES):
             part = counts[:, low : low + PLACES] + 0.05
             logs = np.log(part / part.sum(axis=1, keepdims=True))
             tables.append(logs - logs.mean(axis=0))
+            common.append(logs.mean(axis=0) + np.log(PLACES))
         self.table = np.concatenate(tables, axis=1).T.astype(np.float32).copy()
+        # What the ratios to the mean of all languages lack to the ratio to an unknown language, for which all places are alike.
+        self.common = np.concatenate(common).astype(np.float32)
         letters = counts[:, 2 * PLACES :]
         used = letters >= 0.01 * np.maximum(1, letters.sum(axis=1, keepdims=True))
         self.candidates = np.where(used | ~used.any(axis=0), 0.0, FAR).T.astype(np.float32).copy()
+        self.used = used.T.copy()
 
     def scores(self, words: Words) -> np.ndarray:
         total = np.add.reduceat(self.table[words.gram], words.head, axis=0) if len(words.head) else np.zeros((0, len(self.languages)), np.float32)
         return SHARPNESS * (total + self.table[words.word]) + self.candidates[words.script]
 
-    def label(self, words: Words) -> np.ndarray:
+    def evidence(self, words: Words, labels: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Log probability ratio of every word under its language to an unknown one; 0 for scripts the language does not use."""
+        if not len(labels):
+            return np.zeros(0)
+        ratio = scores[np.arange(len(labels)), labels] / SHARPNESS + np.add.reduceat(self.common[words.gram], words.head) + self.common[words.word]
+        return np.where(self.used[words.script, labels], ratio, 0.0)
+
+    def label(self, words: Words, scores: np.ndarray) -> np.ndarray:
         """The language number of every word, by the best path with switches."""
-        scores = self.scores(words)
         counts = np.diff(words.first)
         order = np.argsort(-counts, kind="stable")
         active = np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), "left")
@@ -193,7 +207,9 @@ def learn(docs: DataFrame) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` (text, ...) with lang_pred, lang_score (share of the letters in its spans) and lang_spans (characters)."""
+    """``docs`` (text, ...) with lang_evidence (log probability ratio to an unknown language, per letter), lang_pred,
+    lang_score (share of the letters in its spans) and lang_spans (characters).
+    """
     docs = docs.drop(*ADDED.names)
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -201,23 +217,27 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            langs, scores, spans = [], [], []
+            evidence, langs, scores, spans = [], [], [], []
             for low, high, words in _texts(batch.column(names.index("text"))):
-                labels = model.label(words) if model else None
+                if model:
+                    by_word = model.scores(words)
+                    labels = model.label(words, by_word)
+                    ratio = model.evidence(words, labels, by_word)
                 for i in range(high - low):
                     a, b = words.first[i], words.first[i + 1]
                     if model is None or a == b:
-                        langs.append(UNKNOWN), scores.append(0.0), spans.append([])
+                        evidence.append(0.0), langs.append(UNKNOWN), scores.append(0.0), spans.append([])
                         continue
                     weight = np.bincount(labels[a:b], words.letters[a:b], len(model.languages))
                     langs.append(model.languages[int(weight.argmax())])
                     scores.append(float(weight.max() / weight.sum()))
+                    evidence.append(float(ratio[a:b].sum() / weight.sum()))
                     cut = np.concatenate(([a], a + 1 + np.flatnonzero(np.diff(labels[a:b])), [b]))
                     spans.append([
                         {"start": int(words.starts[x] - words.begin[i]), "end": int(words.ends[y - 1] - words.begin[i]), "lang": model.languages[int(labels[x])]}
                         for x, y in zip(cut[:-1], cut[1:])
                     ])
-            added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, _SPANS)]
+            added = [pa.array(evidence, pa.float64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *added], [*names, *ADDED.names])
 
     return docs.mapInArrow(run, T.StructType(list(docs.schema) + list(ADDED)))
