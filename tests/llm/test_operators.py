@@ -499,6 +499,16 @@ def test_chats_of_any_text_come_back(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_no_control_string_stays_inside_a_text(spark):
+    said = ["a <s> b", "a [INST] b", "a [/INST] b", "a [/INST] b [INST]", "plain"]
+    rows = [(c, 0, "user", text) for c, text in enumerate(said)]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in out.withColumn("back", parse(F.col("formatted"))).collect():
+        assert [(b.role, b.text) for b in r.back] == [("user", said[r.conv_id])]
+        body = r.formatted.removeprefix("<s>[INST] user [/INST] ").removesuffix("</s>")
+        assert not re.search(r"[<\[](/?s>|/?INST\])", body)
+
+
 # 10
 
 ALNUM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

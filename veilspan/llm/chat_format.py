@@ -2,7 +2,8 @@
 
 Grammar: conversation = turn*; turn = ``<s>[INST] `` role `` [/INST] `` text ``</s>``. The parser splits at ``</s>``, drops the opening
 string, splits at the first `` [/INST] `` and takes one backslash out of every escaped control string.
-A conversation is first rendered as it is and parsed again. Where the turns that come back differ from the source, the
+A conversation is first rendered as it is and parsed again. Where the turns that come back differ from the source, or hold a
+control string (all of them are grammar, those that the parser does not split at too), the
 roles and texts that hold a control string (or something that looks like an escaped one) are escaped, each
 by one more backslash behind its opening bracket: then no control string is left inside, and taking the
 backslash out restores the source, so the second round trip is identical.
@@ -23,6 +24,7 @@ OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
 #: A control string with any number of backslashes behind its bracket.
 _CONTROL = r"([<\[])(\\*)(/?s>|/?INST\])"
 _ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\])"
+_GRAMMAR = r"[<\[](/?s>|/?INST\])"
 LEARNED = "assistant"
 
 
@@ -89,7 +91,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     whole = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     plain = whole.withColumn("plain", _render(F.col("turns")))
-    same = parse(F.col("plain")) == F.col("turns")
+    inside = F.exists(_raw_turns(F.col("plain")), lambda t: t["role"].rlike(_GRAMMAR) | t["text"].rlike(_GRAMMAR))
+    same = (parse(F.col("plain")) == F.col("turns")) & ~inside
     safe = _render(F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))))
     formatted = plain.select("conv_id", F.when(same, F.col("plain")).otherwise(safe).alias("formatted"))
     return formatted.withColumn("loss_spans", loss_spans(F.col("formatted")))
