@@ -8,13 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import chunk_dedup, gated_lm, language_spans, maxscore, packing, quality_fm, sharding, suffix_decontamination
+from veilspan.llm import (
+    chunk_dedup,
+    gated_lm,
+    language_spans,
+    maxscore,
+    packing,
+    prefix_trie,
+    quality_fm,
+    sharding,
+    suffix_decontamination,
+    token_counts,
+    vector_codes,
+)
 from veilspan.llm.chat_format import format_chats, parse, unescape
 from veilspan.llm.minhash_forest import near_duplicates
 from veilspan.llm.oracles import ORACLES as ORACLES
 from veilspan.session import materialise
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+COUNTER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,10 +114,32 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.learn(vectors)
+    codes = materialise(vector_codes.encode(vectors, books).drop("embedding"), "codes")
+    # One row a label; Spark's size check decides how it meets the codes.
+    totals = materialise(codes.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error")), "labels")
+    found = codes.join(totals, F.col("label").eqNullSafe(F.col("l")))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.own_turns(_table(spark, sf_dir, "conversations"))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, base, shared, 3))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, COUNTER).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_forest, op2_language_spans, op3_chunk_dedup, op4_maxscore, op5_quality_fm, op6_gated_lm, op7_packing,
-        op8_sharding, op9_chat_format, op10_suffix_decontamination,
+        op8_sharding, op9_chat_format, op10_suffix_decontamination, op11_vector_codes, op12_prefix_trie, op13_token_counts,
     )
 }
