@@ -205,9 +205,10 @@ def test_second_run_restores_the_newest_backup(spark, secrets, tmp_path):
     assert by_name(restored, "text")["c.log"] == "ssn 999-99-9999"
 
 
-def test_too_large_files_are_errors_and_the_others_go_on(spark, secrets, tmp_path, monkeypatch):
-    from veilspan.sources import files
+def test_too_large_files_are_errors_where_only_spark_lists(spark, secrets, tmp_path, monkeypatch):
+    from veilspan.sources import files, tree
 
+    monkeypatch.setattr(tree, "listable", lambda path: False)
     monkeypatch.setattr(files.documents_of, "__defaults__", (False, 20))
     monkeypatch.setattr(files.oversized, "__defaults__", (20,))
     result = check(spark, secrets, str(tmp_path / "out"))

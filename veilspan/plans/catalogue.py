@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.operators import report, verify
+from veilspan.operators import report, segments, verify
 from veilspan.operators.detect import detect, explode_findings
 from veilspan.operators.names import person_findings
 from veilspan.operators.redact import redact, redact_one
@@ -17,8 +17,8 @@ from veilspan.plans.derived import customer_names, documents, letters, notes, ta
 from veilspan.plans.scan import check, scan
 from veilspan.policy import DEFAULT_POLICY, custom, mask_with
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, ENTITIES, RecognizerSet
-from veilspan.session import dealt, materialise, work_folder
-from veilspan.sources import versions
+from veilspan.session import dealt, materialise, remove_folders, work_folder
+from veilspan.sources import tree, versions
 from veilspan.sources.files import (
     coverage,
     decode,
@@ -31,6 +31,7 @@ from veilspan.sources.files import (
     source_encoding,
     text_files,
 )
+from veilspan.sources.ranges import units_of_files
 from veilspan.sources.pages import assemble_pages, assemble_segments, page_blocks
 from veilspan.sources.tables import as_documents, only_language, union_documents
 
@@ -402,6 +403,56 @@ def check_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id"), "text", "status")
 
 
+def scan_hidden_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below hidden and underscored directories, listed and read in tasks."""
+    root = work_folder(spark, "tree")
+    derived.write_tree(spark, sf_dir, root)
+    files = tree.text_files(tree.walk(spark, root))
+    folder = F.regexp_extract("path", r"/([^/]+)/doc_id=", 1).alias("folder")
+    return tree.read_documents(files).select(derived.doc_id_of().alias("doc_id"), folder, "text", "encoding")
+
+
+def scan_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files read by ranges of 2,000 bytes, and matched unit by unit: the findings of whole documents."""
+    root = work_folder(spark, "tree")
+    derived.write_tree(spark, sf_dir, root)
+    units, _ = units_of_files(tree.text_files(tree.walk(spark, root)), size=2000)
+    found = segments.findings_of_units(segments.detect_units(units), "path")
+    return found.select(derived.doc_id_of().alias("doc_id"), "entity", "start", "end", "value", "score")
+
+
+def scrub_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which a third is gone between listing and reading: these are error rows, the others are scrubbed."""
+    root = work_folder(spark, "tree")
+    derived.write_tree(spark, sf_dir, root)
+    files = materialise(tree.text_files(tree.walk(spark, root)), "files")
+    remove_folders(spark, [f"{root}/{derived.TREE_FOLDERS[0]}"])
+    mails = DEFAULT_RECOGNIZERS.only(["EMAIL_ADDRESS"])
+    done = redact(detect(tree.read_documents(files), recognizers=mails))
+    status = versions.scrub_status(done, "path", reason="unread")
+    # Without the path, which is another in every run.
+    return status.select(derived.doc_id_of().alias("doc_id"), "status", F.regexp_replace("error", r"(?<=modifying ).*(?=: )", "").alias("error"))
+
+
+def findings_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings, each text matched in pieces of 200 characters."""
+    return segments.segmented_findings(documents(spark, sf_dir), "doc_id", size=200)
+
+
+def findings_segmented_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segmented_findings(notes(spark, sf_dir), "doc_id", size=20)
+
+
+def findings_segmented_text_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passwords whose classes may stand anywhere ahead in the text, that is in any later piece."""
+    wide = DEFAULT_RECOGNIZERS.only(["PASSWORD"]).with_scope("text")
+    return segments.segmented_findings(documents(spark, sf_dir), "doc_id", recognizers=wide, size=200)
+
+
+def redact_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.segmented_texts(documents(spark, sf_dir), "doc_id", size=200)
+
+
 def empty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut to their first line of more than 60 characters: some are empty, and empty files are not documents."""
     files = derived.document_files(spark, sf_dir)
@@ -536,6 +587,13 @@ QUERIES: dict[str, Query] = {
     "kind_coverage": kind_coverage,
     "scan_tree": scan_tree,
     "check_tree": check_tree,
+    "scan_hidden_tree": scan_hidden_tree,
+    "scan_in_ranges": scan_in_ranges,
+    "scrub_unreadable": scrub_unreadable,
+    "findings_segmented": findings_segmented,
+    "findings_segmented_notes": findings_segmented_notes,
+    "findings_segmented_text_scope": findings_segmented_text_scope,
+    "redact_segmented": redact_segmented,
     "empty_files": empty_files,
     "decode_fallback": decode_fallback,
     "file_encodings": file_encodings,

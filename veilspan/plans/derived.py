@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.session import dealt
@@ -79,3 +79,18 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.encode("text", "UTF-8"))
     )
     return dealt(d, "doc_id").select("doc_id", F.expr(FILE_PATH).alias("path"), content.alias("content"))
+
+
+#: Where documents go as files: hidden and underscored directories, and a plain one.
+TREE_FOLDERS = (".a", "_b/.c", "c")
+
+
+def write_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Every document as a file ``doc_id=N/part-….txt`` under one of ``TREE_FOLDERS``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
+    for k, folder in enumerate(TREE_FOLDERS):
+        docs.where(F.pmod("doc_id", F.lit(len(TREE_FOLDERS))) == k).repartition("doc_id").write.partitionBy("doc_id").text(f"{root}/{folder}")
+
+
+def doc_id_of(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"doc_id=(-?\d+)/", 1).cast("long")

@@ -239,6 +239,10 @@ BACKUPS = """(select doc_id, '20250101_000000 ' || text as text, '20250101_00000
 SEEDS = {truth: ", ".join(f"({lit(e)}, {lit(v)})" for e, v, r in SEED_VERDICTS if (r == "True") == truth) for truth in (True, False)}
 SEED_TRUE, SEED_FALSE = SEEDS[True], SEEDS[False]
 
+# Documents written as files end with a line end; places in long texts are 64-bit numbers.
+LINE_ENDED = find_many("(select doc_id, text || chr(10) as text from documents)")
+LONG = """select doc_id, entity, pattern_name, start::bigint as start, "end"::bigint as "end", value, score, priority from ({})"""
+
 ORACLES: dict[str, str] = {
     "find_email": find("EMAIL_ADDRESS", DOCUMENTS),
     "find_phone": find("PHONE_NUMBER", DOCUMENTS),
@@ -334,6 +338,15 @@ ORACLES: dict[str, str] = {
     "check_tree": f"""select doc_id, case when d.text <> r.redacted then r.redacted else d.text end || chr(10) as text,
  case when {CHANGED} then 'modified' else 'skipped' end as status
  from documents d join ({redacted(DOCUMENTS, find_many(DOCUMENTS, ["EMAIL_ADDRESS", "CREDIT_CARD"]))}) r using (doc_id)""",
+    "scan_hidden_tree": r"""select doc_id, case doc_id % 3 when 0 then '.a' when 1 then '.c' else 'c' end as folder, text || chr(10) as text,
+ 'utf-8' as encoding from documents""",
+    "scan_in_ranges": f'select doc_id, entity, start::bigint as start, "end"::bigint as "end", value, score from ({LINE_ENDED})',
+    "scrub_unreadable": f"""select doc_id, case when doc_id % 3 = 0 then 'errors' else status end as status,
+ case when doc_id % 3 = 0 then 'Failed modifying : No such file or directory' end as error from ({STATUS})""",
+    "findings_segmented": LONG.format(ALL),
+    "findings_segmented_notes": LONG.format(find_many(NOTES)),
+    "findings_segmented_text_scope": LONG.format(find("PASSWORD", DOCUMENTS, "text")),
+    "redact_segmented": redacted(DOCUMENTS, ALL),
     "empty_files": rf"""select doc_id, strlen(regexp_extract(t, '(?m)^[^\n]{{60,}}$'))::bigint as length
  from (select p.*, case when p.source = 'src6' then chr(65279) || d.text else d.text end as t
        from documents d join {PATHS} p using (doc_id))

@@ -14,20 +14,24 @@ from veilspan.operators.names import candidates, matched
 from veilspan.operators.redact import redact
 from veilspan.operators.report import report_entries
 from veilspan.operators.resolve import overlapping_entities
+from veilspan.operators.segments import is_known, scope_of
 from veilspan.operators.verify import MIN_SCORE, classify, confirm, distinct_values
 from veilspan.policy import DEFAULT_POLICY, Rule, require_rules
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, RecognizerSet
 from veilspan.session import materialise, remove_folders
-from veilspan.sources import versions
-from veilspan.sources.files import documents_of, list_files, oversized, text_files
+from veilspan.sources import tree, versions
+from veilspan.sources.files import MAX_BYTES, check_directory, documents_of, list_files, oversized, text_files
+from veilspan.sources.ranges import units_of_files
 
 
 ROW = "_row"
+#: What a file's row tells beside its text: how it was written, and why it could not be read.
+FORM, REASON = ("encoding", "had_crlf"), "unread"
 
 
 @dataclass
 class ScanResult:
-    """``findings`` before overlap resolution; ``redacted`` one row per document.
+    """``findings`` before overlap resolution; ``redacted`` one row per document (one per unit of a very large file).
 
     ``close`` removes what was staged in the shared work folder (raw texts among it); the frames cannot be read after it.
     Used as a context manager, the result closes itself.
@@ -75,8 +79,12 @@ def scan(
     min_score: float = MIN_SCORE,
     policy: Mapping[str, Rule] = DEFAULT_POLICY,
     staged: bool = False,
+    keep: Sequence[str] = (),
+    offset: str | None = None,
 ) -> ScanResult:
-    """Find and redact sensitive values in ``documents[text]``.
+    """Find and redact sensitive values in ``documents[text]``; columns in ``keep`` stay beside the redacted texts.
+
+    ``offset`` is one of them: where a row's text begins in its document. Places of findings are then the document's.
 
     Without verdicts and with at most a list of names everything happens inside the row: one scan, no shuffle. Verdicts, a
     classifier and a name table need joins; these move findings, and only texts that have findings (or words that may begin a
@@ -98,23 +106,29 @@ def scan(
     shared = overlapping_entities(recognizers, has_names)
 
     folders: list[str] = []
-    docs = documents.select(F.col(key), F.col(text).alias("text"))
+    docs = documents.select(F.col(key), F.col(text).alias("text"), *keep)
+    shown = [key, "text", "raw", "kept", "redacted", *keep]
     detected = detect(docs, "text", recognizers, names or ())
     if listed is not None:
         listed = materialise(listed, "names", folders=folders)
         detected = detected.withColumn("people", candidates(F.col("text"), listed))
     verifying = verdicts is not None or classifier is not None
     joining = verifying or listed is not None
+    place = [] if offset is None else [offset]
+
+    def moved(findings: DataFrame) -> DataFrame:
+        return findings if offset is None else findings.withColumns({n: F.col(n) + F.col(offset) for n in ("start", "end")}).drop(offset)
+
     if not (joining or staged):
-        findings = explode_findings(detected, key)
-        redacted = redact(detected, shared, policy).select(key, "text", "raw", "kept", "redacted")
+        findings = moved(explode_findings(detected, key, *place))
+        redacted = redact(detected, shared, policy).select(*shown)
         return ScanResult(findings, redacted, report_entries(findings, key), key)
 
     detected = stage(detected, folders)
     hits = detected.where("hit = 'yes'")
-    findings = explode_findings(hits, key, ROW)
+    findings = explode_findings(hits, key, ROW, *place)
     if listed is not None:
-        findings = findings.unionByName(matched(hits, listed, key, ROW))
+        findings = findings.unionByName(matched(hits, listed, key, ROW, *place))
     if classifier is not None:
         answers = materialise(classify(distinct_values(findings), classifier), "answers", folders=folders)
         verdicts = answers if verdicts is None else verdicts.unionByName(answers)
@@ -124,11 +138,11 @@ def scan(
         # Documents in which nothing was found bypass the join, so their texts are not shuffled.
         arrays = gather_findings(findings, ROW, column="raw")
         settled = F.coalesce("raw", F.expr(NO_FINDINGS)).alias("raw")
-        clean = detected.where("hit = 'no'").select(key, "text", F.expr(NO_FINDINGS).alias("raw"))
-        met = hits.select(key, ROW, "text").join(arrays, ROW, "left").select(key, "text", settled)
+        clean = detected.where("hit = 'no'").select(key, "text", F.expr(NO_FINDINGS).alias("raw"), *keep)
+        met = hits.select(key, ROW, "text", *keep).join(arrays, ROW, "left").select(key, "text", settled, *keep)
         detected = clean.unionByName(met)
-    redacted = redact(detected, shared, policy).select(key, "text", "raw", "kept", "redacted")
-    findings = findings.drop(ROW)
+    redacted = redact(detected, shared, policy).select(*shown)
+    findings = moved(findings.drop(ROW))
     return ScanResult(findings, redacted, report_entries(findings, key, confirmed=verifying), key, folders=folders)
 
 
@@ -146,13 +160,53 @@ def check(
     """Scan directories; with ``scrub_files`` write the redacted texts under ``out``.
 
     The source files stay as they are: ``out`` gets a new version of every document
-    and, with ``create_backup``, the originals of the changed ones.
+    and, with ``create_backup``, the originals of the changed ones. A file that cannot be read is an error among the
+    statuses, with the reason. Where tasks can list the directories themselves (``tree.listable``), hidden directories
+    are walked too, files of any size are matched in units, and the version tells each file's encoding and line ends; else
+    Spark's own lister is used.
     """
     if scrub_files and out is None:
         raise ValueError("scrub_files needs an output folder")
-    files = text_files(list_files(spark, indir))
-    result = scan(documents_of(files), "path", "text", verdicts=verdicts, classifier=classifier, **options)
-    return scrub(result, out, create_backup, append_to_files, oversized(files)) if scrub_files else result
+    roots = [indir] if isinstance(indir, str) else list(indir)
+    for root in roots:
+        check_directory(spark, root)
+    if not all(tree.listable(root) for root in roots):
+        files = text_files(list_files(spark, roots))
+        result = scan(documents_of(files), "path", "text", verdicts=verdicts, classifier=classifier, **options)
+        return scrub(result, out, create_backup, append_to_files, oversized(files)) if scrub_files else result
+    folders: list[str] = []
+    files = materialise(tree.text_files(tree.walk(spark, roots, folders)), "files", folders=folders)
+    docs = file_documents(files, options.get("recognizers", DEFAULT_RECOGNIZERS), not (options.get("names") or append_to_files), folders)
+    result = scan(
+        docs.withColumn("text", F.concat("text", "ahead")), "path", "text", verdicts=verdicts, classifier=classifier,
+        keep=("unit", "unit_start", "ahead", *FORM, REASON), offset="unit_start", **options,
+    )
+    own = {c: F.substring(F.col(c), F.lit(1), F.length(c) - F.length("ahead")) for c in ("text", "redacted")}
+    result.redacted = result.redacted.withColumns({c: F.when(F.col("ahead") == "", F.col(c)).otherwise(x) for c, x in own.items()}).drop("ahead", "unit_start")
+    result.folders.extend(folders)
+    return scrub(result, out, create_backup, append_to_files) if scrub_files else result
+
+
+def file_documents(files: DataFrame, recognizers: RecognizerSet, cuttable: bool, folders: list[str]) -> DataFrame:
+    """Rows of listed files to be matched: whole files, and the units of those above ``tree.WHOLE`` bytes.
+
+    path, unit, unit_start, ahead, text, encoding, had_crlf and the reason of a file without text. Where texts cannot be
+    cut (names, patterns of the user's own), files up to what a row holds are read whole and larger ones are errors.
+    """
+    cuttable = cuttable and is_known(recognizers)
+    whole = tree.WHOLE if cuttable else MAX_BYTES
+    one = [F.lit(0).cast("long").alias("unit"), F.lit(0).cast("long").alias("unit_start"), F.lit("").alias("ahead")]
+    docs = tree.read_documents(files, whole).select("*", *one)
+    large = files.where((F.col("length") > whole) & F.col("error").isNull())
+    if large.isEmpty():
+        return docs
+    if cuttable:
+        units, unreadable = units_of_files(large, scope_of(recognizers), folders=folders)
+        docs = docs.unionByName(units)
+    else:
+        unreadable = large.select("path", F.lit(f"larger than {whole} bytes").alias(REASON))
+    none = {c: F.lit(None).cast(t) for c, t in (("text", "string"), ("encoding", "string"), ("had_crlf", "boolean"))}
+    return docs.unionByName(unreadable.select("path", REASON, *one).withColumns(none))
 
 
 def scrub(
@@ -167,10 +221,14 @@ def scrub(
     if result.redacted.select(result.key).isEmpty() and (unread is None or unread.isEmpty()):
         status = versions.status_of_empty(spark)
         return replace(result, scrub_status=status, scrub_summary=versions.scrub_summary(status))
+    carried = set(result.redacted.columns)
     version = versions.write_scrubbed(
-        result.redacted, out, result.key, create_backup=create_backup, append=append
-    )
+        result.redacted, out, result.key, create_backup=create_backup, append=append,
+        form=[c for c in ("unit", *FORM) if c in carried], reason=REASON if REASON in carried else None,
+    )
     status = versions.read_status(spark, out, version, result.key)
+    if "unit" in carried:
+        status = versions.status_of_documents(status, result.key)
     if unread is not None:
         status = status.unionByName(unread)
     return replace(result, scrub_status=status, scrub_summary=versions.scrub_summary(status))

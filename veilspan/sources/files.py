@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan import schemas
 from veilspan.functions.text import basename, extension, unix_newlines
+from veilspan.sources.versions import ERROR, failure
 
 # ---------------------------------------------------------------------------
 # File extensions; '' stands for no extension.
@@ -119,9 +120,9 @@ def documents_of(files: DataFrame, details: bool = False, limit: int = MAX_BYTES
 def oversized(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     """Status rows of the files above ``limit`` bytes; the others go on. Sizes come from the listing, nothing is read."""
     none = F.lit(None).cast("string")
-    error = F.concat(F.lit("Failed modifying "), "path", F.lit(": larger than "), F.lit(f"{limit} bytes"))
+    error = failure(F.col("path"), F.lit(f"larger than {limit} bytes"))
     return files.where(F.col("length") > limit).select(
-        "path", F.lit("errors").alias("status"), none.alias("backup_path"), error.alias("error")
+        "path", F.lit(ERROR).alias("status"), none.alias("backup_path"), error.alias("error")
     )
 
 

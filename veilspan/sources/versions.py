@@ -7,7 +7,7 @@ makes the version current. Readers therefore see a whole version or the one befo
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,17 +40,22 @@ def output_text(text: Column, redacted: Column, append: bool = False) -> Column:
     return F.concat(text, F.lit("\n"), redacted) if append else redacted
 
 
+def failure(name: Column, why: Column) -> Column:
+    return F.concat(F.lit(FAILED), name, F.lit(": "), why)
+
+
 def scrub_status_columns(
-    key: str, text: str, result: str, append: bool, backup: Callable[[Column], Column] | None
+    key: str, text: str, result: str, append: bool, backup: Callable[[Column], Column] | None, reason: str | None = None
 ) -> dict[str, Column]:
-    """``backup`` names the backup of a key; None if none is made."""
+    """``backup`` names the backup of a key; None if none is made. ``reason``: a column with why there is no text to redact."""
     failed = F.col(result).isNull()
     written = F.lit(append) | is_changed(F.col(text), F.col(result))
     status = F.when(failed, F.lit(ERROR)).when(written, F.lit(MODIFIED)).otherwise(F.lit(SKIPPED))
     name = F.col(key).cast("string")
     none = F.lit(None).cast("string")
     place = F.when(status == MODIFIED, backup(name)) if backup else none
-    error = F.when(failed, F.concat(F.lit(FAILED), name, F.lit(": no redacted text")))
+    why = F.lit("no redacted text") if reason is None else F.coalesce(reason, F.lit("no redacted text"))
+    error = F.when(failed, failure(name, why))
     return {"status": status, "backup_path": place, "error": error}
 
 
@@ -61,10 +66,11 @@ def scrub_status(
     result: str = "redacted",
     append: bool = False,
     backup_stamp: str | None = None,
+    reason: str | None = None,
 ) -> DataFrame:
     """(key, status, backup_path, error) per document; one bad row does not stop the others."""
     named = (lambda name: F.concat(name, F.lit(f".backup_{backup_stamp}"))) if backup_stamp else None
-    columns = scrub_status_columns(key, text, result, append, named)
+    columns = scrub_status_columns(key, text, result, append, named, reason)
     return redacted.select(key, *[c.alias(name) for name, c in columns.items()])
 
 
@@ -121,16 +127,21 @@ def write_scrubbed(
     result: str = "redacted",
     create_backup: bool = True,
     append: bool = False,
+    form: Sequence[str] = (),
+    reason: str | None = None,
 ) -> str:
     """New texts, statuses and backups of the changed originals in one write.
 
     A changed document gives two rows, the new text and the original, in separate
     directories of the same version. The patterns run once, nothing is shuffled, and
     a text is never replaced without its backup: both appear with the same commit.
+    ``form``: columns that say how a file was written (texts are UTF-8 with Unix line ends here), kept beside its text.
+    ``reason``: a column with why a document has no text; such a document is an error row without text.
     """
     now = datetime.now(timezone.utc)
     version = new_version_id(now)
-    status = scrub_status_columns(key, text, result, append, (lambda name: backup_place(root, version, name)) if create_backup else None)
+    backup = (lambda name: backup_place(root, version, name)) if create_backup else None
+    status = scrub_status_columns(key, text, result, append, backup, reason)
     changed = status["status"] == MODIFIED
     out = F.when(changed, output_text(F.col(text), F.col(result), append)).otherwise(F.col(text))
     none = F.lit(None).cast("string")
@@ -143,7 +154,7 @@ def write_scrubbed(
         none.alias("backup_path"), none.alias("error"),
     )
     rows = F.when(changed, F.array(new, original)).otherwise(F.array(new)) if create_backup else F.array(new)
-    return _write(redacted.select(key, F.explode(rows).alias("r")).select(key, "r.*"), root, version)
+    return _write(redacted.select(key, *form, F.explode(rows).alias("r")).select(key, *form, "r.*"), root, version)
 
 
 def backup_place(root: str, version: str, name: Column) -> Column:
@@ -175,6 +186,14 @@ def read_status(spark: SparkSession, root: str, version: str, key: str = "path")
     return read_version(spark, root, version).select(key, "status", "backup_path", "error")
 
 
+def status_of_documents(status: DataFrame, key: str = "path") -> DataFrame:
+    """One row per document of several units: an error of any unit, else whether any was changed. Only statuses move."""
+    rank = F.when(F.col("status") == ERROR, 2).when(F.col("status") == MODIFIED, 1).otherwise(0)
+    worst = F.max_by(F.struct("status", "error"), rank).alias("s")
+    rows = status.groupBy(key).agg(worst, F.max("backup_path").alias("backup_path"))
+    return rows.select(key, "s.status", "backup_path", "s.error")
+
+
 def read_backups(spark: SparkSession, root: str) -> DataFrame:
     """Originals kept by all runs; ``ts`` is the run's version, which sorts by time."""
     rows = spark.read.parquet(f"{root}/data").where(F.col("kind") == ORIGINAL)
@@ -189,14 +208,18 @@ def backup_rows(
     return redacted.where(changed).select(key, F.col(text).alias("text"))
 
 
-def latest_backup(backups: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def latest_backup(backups: DataFrame, key: str | Sequence[str], ts: str = "ts") -> DataFrame:
     """The newest backup row of each document.
 
     The newest stamps are found on keys alone; the match is on (key, stamp), so a
     document with very many backups does not gather in one task.
     """
-    newest = backups.groupBy(key).agg(F.max(ts).alias(ts))
-    return backups.join(newest, [key, ts], "left_semi")
+    newest = backups.groupBy(*_keys(key)).agg(F.max(ts).alias(ts))
+    return backups.join(newest, [*_keys(key), ts], "left_semi")
 
 
 def rollback(spark: SparkSession, root: str, key: str = "path") -> str:
@@ -206,12 +229,14 @@ def rollback(spark: SparkSession, root: str, key: str = "path") -> str:
     """
     current = read_current(spark, root)
     changed = F.coalesce(F.col("status") == MODIFIED, F.lit(False))
-    back = restore(current.where(changed).select(key, "text"), read_backups(spark, root), key)
-    whole = current.where(~changed).select(key, "text").unionByName(back.select(key, "text"))
+    # Very large documents are several rows.
+    keys = [key, *({"unit"} & set(current.columns))]
+    back = restore(current.where(changed).select(*keys, "text"), read_backups(spark, root), keys)
+    whole = current.where(~changed).select(*keys, "text").unionByName(back.select(*keys, "text"))
     return write_version(whole, root)
 
 
-def restore(current: DataFrame, backups: DataFrame, key: str, text: str = "text") -> DataFrame:
+def restore(current: DataFrame, backups: DataFrame, key: str | Sequence[str], text: str = "text") -> DataFrame:
     """Current rows with the text of their latest backup where there is one."""
-    latest = latest_backup(backups, key).select(key, F.col("text").alias("_backup"))
-    return current.join(latest, key, "left").withColumn(text, F.coalesce("_backup", text)).drop("_backup")
+    latest = latest_backup(backups, key).select(*_keys(key), F.col("text").alias("_backup"))
+    return current.join(latest, _keys(key), "left").withColumn(text, F.coalesce("_backup", text)).drop("_backup")
