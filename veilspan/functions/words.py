@@ -18,13 +18,15 @@ from veilspan.functions.spans import gaps_and_matches
 # possessive: a greedy group loop recurses in the JVM and overflows on very long words.
 WORD = r"(?Ud)\w[\w#]*+(?:['’.-][\w#]++)*+"
 
+NO_RUNS = "cast(array() as array<struct<start:int,end:int,gram:string,value:string>>)"
+
 
 def plain(piece: Column) -> Column:
     return F.regexp_replace(piece, r"(?U)\s+", " ")
 
 
 def name_parts(name: Column) -> Column:
-    """struct<key, words, first> of a name; key is null without words. What is outside the words does not count."""
+    """struct<key, words, first, second> of a name; key is null without words. What is outside the words does not count."""
 
     def build(parts: Column) -> Column:
         inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
@@ -33,48 +35,65 @@ def name_parts(name: Column) -> Column:
             F.when(some, F.array_join(F.transform(inner, plain), "")).alias("key"),
             F.floor(F.size(parts) / 2).cast("int").alias("words"),
             F.get(parts, F.lit(1)).alias("first"),
+            F.get(parts, F.lit(3)).alias("second"),
         )
 
     return let(gaps_and_matches(name, WORD), build)
 
 
-def word_runs(text: Column, lengths: Sequence[int], may_begin: Callable[[Column], Column]) -> Column:
-    """array<struct<start, end, gram, value>>: runs of each of ``lengths`` words from words that ``may_begin`` allows."""
+def word_runs(
+    text: Column, lengths: Sequence[int], may_begin: Callable[[Column], Column],
+    may_go_on: Callable[[Column, Column, Column], Column] | None = None, may_be: Callable[[Column], Column] | None = None,
+) -> Column:
+    """array<struct<start, end, gram, value>>: runs of each of ``lengths`` words that pass three tests, each before the next one's work.
+
+    ``may_begin`` of the first word; ``may_go_on`` of the first and second word (null for a run of one) and the length;
+    ``may_be`` of the run as names are compared.
+    """
     if not lengths:
-        return F.expr("cast(array() as array<struct<start:int,end:int,gram:string,value:string>>)")
+        return F.expr(NO_RUNS)
 
     def build(parts: Column) -> Column:
-        starts = sums_before(F.transform(parts, lambda p: F.length(p)))
+        def heads(places: Column) -> Column:
+            return F.filter(places, lambda i: F.coalesce(may_begin(F.get(parts, i)), F.lit(False)))
+
+        def grams(i: Column) -> Column:
+            def of_length(n: Column) -> Column:
+                second = F.when(n > 1, F.get(parts, i + 2))
+                within = i + 2 * (n - 1) < F.size(parts)
+                if may_go_on is not None:
+                    within = within & may_go_on(F.get(parts, i), second, n)
+                gram = F.array_join(F.transform(F.slice(parts, i + 1, 2 * n - 1), plain), "")
+                return F.when(within, F.struct(i.alias("i"), n.alias("n"), gram.alias("gram")))
+
+            found = F.array_compact(F.transform(F.array(*[F.lit(n) for n in lengths]), of_length))
+            return found if may_be is None else F.filter(found, lambda g: may_be(g["gram"]))
 
-        def runs(at: Column) -> Column:
-            # Odd places hold words, even places the gaps between them.
-            places = F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(2))
-            heads = F.filter(places, lambda i: F.coalesce(may_begin(F.get(parts, i)), F.lit(False)))
+        def runs(found: Column) -> Column:
+            # Offsets and values are worked out for what passed only.
+            starts = sums_before(F.transform(parts, lambda p: F.length(p)))
 
-            def of_head(i: Column) -> Column:
-                def of_length(n: Column) -> Column:
-                    piece = F.slice(parts, i + 1, 2 * n - 1)
-                    value = F.array_join(piece, "")
-                    start = F.get(at, i)
-                    run = F.struct(
-                        start.alias("start"), (start + F.length(value)).alias("end"),
-                        F.array_join(F.transform(piece, plain), "").alias("gram"), value.alias("value"),
-                    )
-                    return F.when(i + 2 * (n - 1) < F.size(parts), run)
+            def placed(at: Column) -> Column:
+                def run(g: Column) -> Column:
+                    value = F.array_join(F.slice(parts, g["i"] + 1, 2 * g["n"] - 1), "")
+                    start = F.get(at, g["i"])
+                    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), g["gram"].alias("gram"), value.alias("value"))
 
-                return F.array_compact(F.transform(F.array(*[F.lit(n) for n in lengths]), of_length))
+                return F.transform(found, run)
 
-            return F.flatten(F.transform(heads, of_head))
+            return F.when(F.size(found) > 0, let(starts, placed)).otherwise(F.expr(NO_RUNS))
 
-        return let(starts, runs)
+        # Odd places hold words, even places the gaps between them.
+        places = F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(2))
+        return let(F.flatten(F.transform(heads(places), grams)), runs)
 
     return let(gaps_and_matches(text, WORD), build)
 
 
 def listed_names(names: DataFrame) -> DataFrame:
-    """Distinct key, words and first of the names in the first column."""
+    """Distinct key, words, first and second of the names in the first column."""
     parts = names.select(name_parts(F.col(names.columns[0])).alias("n"))
-    return parts.where("n.key is not null").select("n.key", "n.words", "n.first").distinct()
+    return parts.where("n.key is not null").select("n.key", "n.words", "n.first", "n.second").distinct()
 
 
 def name_spans(text: Column, names: Sequence[str]) -> Column:
@@ -82,6 +101,5 @@ def name_spans(text: Column, names: Sequence[str]) -> Column:
     spark = SparkSession.builder.getOrCreate()
     rows = listed_names(spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")).collect()
     firsts, keys = sorted({r["first"] for r in rows}), sorted({r["key"] for r in rows})
-    runs = word_runs(text, sorted({r["words"] for r in rows}), lambda word: word.isin(firsts))
-    hits = F.filter(runs, lambda g: g["gram"].isin(keys))
-    return F.transform(hits, lambda g: F.struct(g["start"].alias("start"), g["value"].alias("value")))
+    runs = word_runs(text, sorted({r["words"] for r in rows}), lambda word: word.isin(firsts), may_be=lambda gram: gram.isin(keys))
+    return F.transform(runs, lambda g: F.struct(g["start"].alias("start"), g["value"].alias("value")))

@@ -1,4 +1,10 @@
-"""PERSON findings from a table of names of any size and length."""
+"""PERSON findings from a table of names of any size and length.
+
+The names are put into one bit map (a Bloom filter): each by its first word, by its first two words with its length, and
+whole. A text's runs of words pass these three tests inside the row, so what leaves it are the names that occur and
+few others, whatever the table's size; a join with the table then decides. The map grows with the names, up to
+``MOST`` bits; beyond that more runs are carried to the join, with the same result.
+"""
 
 from __future__ import annotations
 
@@ -9,29 +15,58 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.words import listed_names, word_runs
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, PERSON_SCORE
+from veilspan.session import materialise
+
+#: Bits for each of a name's three entries, and in all: two megabytes in the plan, enough for some 400,000 names.
+PER_ENTRY, LEAST, MOST = 14, 1 << 10, 1 << 24
+PROBES = 3
+
+
+def _places(hashed: Column, bits: int) -> list[Column]:
+    """Where the bits of an entry are: three stretches of its hash; the first test needs no shift."""
+    mask = F.lit(bits - 1).cast("long")
+    return [(F.shiftrightunsigned(hashed, 20 * k) if k else hashed).bitwiseAND(mask).cast("int") for k in range(PROBES)]
+
+
+def _first(first: Column) -> Column:
+    return F.xxhash64(first)
 
-# First words of names are marked in a bit map of this many places: 8 KB in the plan, whatever the table.
-PLACES = 1 << 16
 
+def _pair(first: Column, second: Column, words: Column) -> Column:
+    return F.xxhash64(words, first, second)
 
-def _place(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(PLACES)).cast("int")
+
+def _whole(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(0))
+
+
+def bit_map(listed: DataFrame, names: int) -> tuple[int, list[int]]:
+    """The number of bits, and the bits in 64-bit numbers; set in tasks, at most ``MOST / 64`` rows come to the driver."""
+    wanted = 3 * PER_ENTRY * names
+    bits = min(MOST, max(LEAST, 1 << (wanted - 1).bit_length() if wanted else LEAST))
+    entries = [_first(F.col("first")), _pair(F.col("first"), F.col("second"), F.col("words")), _whole(F.col("key"))]
+    places = listed.select(F.explode(F.array(*[p for e in entries for p in _places(e, bits)])).alias("p"))
+    words = places.groupBy(F.floor(F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
+    out = [0] * (bits // 64)
+    for row in words.collect():
+        out[row["word"]] = row["bits"]
+    return bits, out
 
 
 def candidates(text: Column, listed: DataFrame) -> Column:
-    """Word runs of the lengths that names have, from words that may begin one.
-
-    Reads two small things from the table: the distinct lengths, and the bit map of first words (at most ``PLACES`` rows).
-    """
-    lengths = sorted(r["words"] for r in listed.select("words").distinct().collect())
-    bits = [0] * (PLACES // 64)
-    for row in listed.select(_place(F.col("first")).alias("p")).distinct().collect():
-        bits[row["p"] // 64] |= 1 << (row["p"] % 64)
-    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    """Word runs that are names, but for the few that the bit map cannot tell from one."""
+    counts = {r["words"]: r["n"] for r in listed.groupBy("words").agg(F.count("*").alias("n")).collect()}
+    bits, words = bit_map(listed, sum(counts.values()))
     # Folded to one literal array when the plan is made.
-    bit_map = F.from_json(F.lit(json.dumps(signed)), "array<bigint>")
-    marked = lambda word: F.getbit(F.get(bit_map, F.floor(_place(word) / 64).cast("int")), _place(word) % 64) == 1
-    return word_runs(text, lengths, marked)
+    held = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+    def known(hashed: Column) -> Column:
+        tests = [F.getbit(F.get(held, F.floor(p / 64).cast("int")), p % 64) == 1 for p in _places(hashed, bits)]
+        return tests[0] & tests[1] & tests[2]
+
+    return word_runs(
+        text, sorted(counts), lambda first: known(_first(first)), lambda first, second, n: known(_pair(first, second, n)), lambda gram: known(_whole(gram))
+    )
 
 
 def matched(runs: DataFrame, listed: DataFrame, *keys: str, column: str = "people") -> DataFrame:
@@ -51,7 +86,7 @@ def matched(runs: DataFrame, listed: DataFrame, *keys: str, column: str = "peopl
     )
 
 
-def person_findings(documents: DataFrame, names: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """One row per occurrence of a name in the first column of ``names``."""
-    listed = listed_names(names)
+def person_findings(documents: DataFrame, names: DataFrame, *keys: str, text: str = "text", folders: list[str] | None = None) -> DataFrame:
+    """One row per occurrence of a name in the first column of ``names``; the names' parts are written once."""
+    listed = materialise(listed_names(names), "names", folders=folders)
     return matched(documents.select(*keys, candidates(F.col(text), listed).alias("people")), listed, *keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.operators import report, segments, verify
 from veilspan.operators.detect import detect, explode_findings
+from veilspan.operators.model import ModelHook, with_model
 from veilspan.operators.names import person_findings
 from veilspan.operators.redact import redact, redact_one
 from veilspan.operators.resolve import clip_overlaps, dedupe, drop_contained, merge_same_entity, overlapping_entities
@@ -93,6 +94,38 @@ def find_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return person_findings(letters(spark, sf_dir), customer_names(spark, sf_dir), "doc_id")
 
 
+def load_stand_in():
+    """A stand-in for a model: names with offsets in bytes, and with the word before them once more."""
+    import re
+
+    pattern, wide = re.compile(rb"Customer#\d+"), re.compile(rb"Contact Customer#")
+
+    def model(texts):
+        found = []
+        for data in (text.encode() for text in texts):
+            names = [(m.start(), m.end(), "PER", 0.9) for m in pattern.finditer(data)]
+            found.append(names + [(m.start(), m.end(), "PER") for m in wide.finditer(data)] + [(0, 5, "TITLE")])
+        return found
+
+    return model
+
+
+STAND_IN = ModelHook("stand_in", load_stand_in, {"PER": "PERSON"}, byte_offsets=True)
+
+
+def findings_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the patterns and of a model, before overlaps are settled."""
+    detected = with_model(detect(derived.accented_notes(spark, sf_dir)), STAND_IN)
+    return explode_findings(detected, "doc_id").drop("priority")
+
+
+def redact_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's findings settled with the others: its two spans of one name are one."""
+    docs = derived.accented_notes(spark, sf_dir)
+    with scan(docs, "doc_id", "text", model=STAND_IN) as result:
+        return materialise(result.redacted.select("doc_id", "redacted"), "redacted")
+
+
 def _array_query(source: Query, recognizers: RecognizerSet, step) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = detect(source(spark, sf_dir), recognizers=recognizers)
@@ -537,6 +570,8 @@ QUERIES: dict[str, Query] = {
     "find_person": find_person,
     "findings_all": all_findings,
     "findings_notes": lambda spark, sf_dir: explode_findings(detect(notes(spark, sf_dir)), "doc_id"),
+    "findings_model": findings_model,
+    "redact_with_model": redact_with_model,
     "findings_allow_list": findings_allow_list,
     "findings_custom_recognizer": findings_custom,
     "findings_provenance": findings_provenance,

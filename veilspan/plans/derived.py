@@ -20,6 +20,9 @@ NOTE_TEXT = """concat(
  lpad(cast(c_custkey % 10000 as string),4,'0'), 'Z. Card 4', lpad(cast(c_custkey as string),15,'0'),
  '. Key sk-', md5(c_name), '.', chr(10), 'ssh-rsa ', md5(cast(c_custkey as string)), ' u@h', chr(10), 'end')"""
 
+# The same with letters of two bytes in front.
+ACCENTED = f"concat('Señor né ', {NOTE_TEXT})"
+
 # A file name per document; the source decides the kind of file.
 FILE_SUFFIX = """case source
  when 'src0' then '.txt' when 'src1' then '.LOG' when 'src2' then '.csv' when 'src3' then '.Json'
@@ -52,6 +55,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{NOTE_TEXT} as text")
 
 
+def accented_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return dealt(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{ACCENTED} as text")
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return dealt(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{LETTER_TEXT} as text")

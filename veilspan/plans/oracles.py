@@ -168,6 +168,13 @@ PERSONS = f"""select doc_id, 'PERSON' as entity, 'name_list' as pattern_name, 5:
  from (select c_custkey as doc_id, replace({derived.LETTER_NAME}, 'del  ', 'del' || chr(10)) as value from customer)
  where {SQUEEZED.format('value')} in (select {SQUEEZED.format(derived.LETTER_NAME)} from customer)"""
 
+ACCENTED = f"(select c_custkey as doc_id, {derived.ACCENTED} as text from customer)"
+
+
+def modelled(regex: str, score: float) -> str:
+    return findings("PERSON", "stand_in", score, ENTITIES.index("PERSON"), spans(ACCENTED, regex))
+
+
 LOOSE_MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 MAIL_TWICE = f"""{find("EMAIL_ADDRESS", DOCUMENTS)} union all
  {custom(DOCUMENTS, "EMAIL_ADDRESS", "loose_email", LOOSE_MAIL, 0.5, 0)}"""
@@ -260,6 +267,10 @@ ORACLES: dict[str, str] = {
     "find_person": PERSONS,
     "findings_all": ALL,
     "findings_notes": find_many(NOTES),
+    "findings_model": f"""select * exclude (priority) from ({find_many(ACCENTED)} union all {modelled("Customer#[0-9]+", 0.9)}
+ union all {modelled("Contact Customer#", 0.85)})""",
+    # Two spans of one name overlap, so they are one span, from the first one's begin to the second one's end.
+    "redact_with_model": redacted(ACCENTED, f"{find_many(ACCENTED)} union all {modelled('Contact Customer#[0-9]+', 0.9)}"),
     "findings_allow_list": THREE,
     "findings_custom_recognizer": f"{find('EMAIL_ADDRESS', DOCUMENTS)} union all {HEX}",
     "findings_provenance": "select doc_id, entity, pattern_name, case entity "

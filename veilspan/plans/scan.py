@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.words import listed_names
 from veilspan.operators.detect import NO_FINDINGS, detect, explode_findings, gather_findings
+from veilspan.operators.model import FAILED, ModelHook, with_model
 from veilspan.operators.names import candidates, matched
 from veilspan.operators.redact import redact
 from veilspan.operators.report import report_entries
@@ -81,10 +82,12 @@ def scan(
     staged: bool = False,
     keep: Sequence[str] = (),
     offset: str | None = None,
+    model: ModelHook | None = None,
 ) -> ScanResult:
     """Find and redact sensitive values in ``documents[text]``; columns in ``keep`` stay beside the redacted texts.
 
     ``offset`` is one of them: where a row's text begins in its document. Places of findings are then the document's.
+    ``model`` finds spans beside the patterns; it is asked once, and a text for which it fails has no redacted text.
 
     Without verdicts and with at most a list of names everything happens inside the row: one scan, no shuffle. Verdicts, a
     classifier and a name table need joins; these move findings, and only texts that have findings (or words that may begin a
@@ -103,12 +106,17 @@ def scan(
         listed, names = listed_names(names), None
     has_names = bool(names) or listed is not None
     require_rules(policy, [r.entity for r in recognizers] + (["PERSON"] if has_names else []))
-    shared = overlapping_entities(recognizers, has_names)
+    found_by_model = set(model.entities.values()) if model is not None else set()
+    require_rules(policy, sorted(found_by_model))
+    shared = sorted({*overlapping_entities(recognizers, has_names), *found_by_model})
 
     folders: list[str] = []
     docs = documents.select(F.col(key), F.col(text).alias("text"), *keep)
+    keep = [*keep, *([FAILED] if model is not None else [])]
     shown = [key, "text", "raw", "kept", "redacted", *keep]
     detected = detect(docs, "text", recognizers, names or ())
+    if model is not None:
+        detected, staged = with_model(detected, model, recognizers), True
     if listed is not None:
         listed = materialise(listed, "names", folders=folders)
         detected = detected.withColumn("people", candidates(F.col("text"), listed))
@@ -142,6 +150,8 @@ def scan(
         met = hits.select(key, ROW, "text", *keep).join(arrays, ROW, "left").select(key, "text", settled, *keep)
         detected = clean.unionByName(met)
     redacted = redact(detected, shared, policy).select(*shown)
+    if model is not None:
+        redacted = redacted.withColumn("redacted", F.when(~F.col(FAILED), F.col("redacted")))
     findings = moved(findings.drop(ROW))
     return ScanResult(findings, redacted, report_entries(findings, key, confirmed=verifying), key, folders=folders)
 
