@@ -23,7 +23,8 @@ def apply_rule(rule: Rule, value: Column) -> Column:
         return F.lit(rule.new_value)
     if rule.op == "mask":
         return mask(value, rule.mask_char, rule.mask_n, rule.from_end)
-    done = rule.apply(value)
+    # What a batch rule gives stands beside the text already (``redact``); here is what holds without it.
+    done = rule.apply(value) if rule.op == "custom" else F.lit(None).cast("string")
     return F.coalesce(done, F.repeat(F.lit("*"), F.length(value))) if rule.on_null == "mask" else done
 
 

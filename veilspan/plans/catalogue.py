@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.operators import report, segments, verify
+from veilspan.operators import report, score, segments, verify
 from veilspan.operators.detect import detect, explode_findings
 from veilspan.operators.model import ModelHook, with_model
 from veilspan.operators.names import person_findings
 from veilspan.operators.redact import redact, redact_one
 from veilspan.operators.resolve import clip_overlaps, dedupe, drop_contained, merge_same_entity, overlapping_entities
+from veilspan.operators.verdict_store import VerdictStore
 from veilspan.plans import derived
 from veilspan.plans.derived import customer_names, documents, letters, notes, table
 from veilspan.plans.scan import check, scan
-from veilspan.policy import DEFAULT_POLICY, custom, mask_with
+from veilspan.policy import DEFAULT_POLICY, custom, custom_batch, mask_with
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, ENTITIES, RecognizerSet
 from veilspan.session import dealt, materialise, remove_folders, work_folder
-from veilspan.sources import tree, versions
+from veilspan.sources import manifest, tree, versions
 from veilspan.sources.files import (
     coverage,
     decode,
@@ -35,6 +37,7 @@ from veilspan.sources.files import (
 from veilspan.sources.ranges import units_of_files
 from veilspan.sources.pages import assemble_pages, assemble_segments, page_blocks
 from veilspan.sources.tables import as_documents, only_language, union_documents
+from veilspan.streaming.scrub import start_scrub
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +97,20 @@ def find_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return person_findings(letters(spark, sf_dir), customer_names(spark, sf_dir), "doc_id")
 
 
+def score_recognizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of the ten patterns, as written, on the notes."""
+    found = explode_findings(detect(notes(spark, sf_dir)), "doc_id")
+    return score.scores(found, derived.true_spans(spark, sf_dir), "doc_id")
+
+
+def score_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for what is left when overlaps are settled and passwords are asked for all their classes."""
+    precise = DEFAULT_RECOGNIZERS.with_scope("token")
+    raw = detect(notes(spark, sf_dir), recognizers=precise)
+    settled = raw.withColumn("settled", clip_overlaps(drop_contained(F.col("raw"))))
+    return score.scores(explode_findings(settled, "doc_id", column="settled"), derived.true_spans(spark, sf_dir), "doc_id")
+
+
 def load_stand_in():
     """A stand-in for a model: names with offsets in bytes, and with the word before them once more."""
     import re
@@ -210,8 +227,7 @@ def verify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = all_findings(spark, sf_dir)
-    rows = label_verdicts(spark, sf_dir, found)
+    rows = label_verdicts(spark, sf_dir, kept_findings(spark, sf_dir))
     return rows.select("entity", "value", "response", verify.is_true(F.col("response")).alias("verdict"))
 
 
@@ -260,10 +276,26 @@ def verify_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verify_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only confirmed findings are replaced."""
     docs = documents(spark, sf_dir)
-    verdicts = label_verdicts(spark, sf_dir, all_findings(spark, sf_dir))
+    verdicts = label_verdicts(spark, sf_dir, kept_findings(spark, sf_dir))
     return scan(docs, "doc_id", "text", verdicts=verdicts).redacted.select("doc_id", "redacted")
 
 
+def verify_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds: the documents, then all sources. The second asks only for values that the first did not have."""
+    store = VerdictStore(spark, work_folder(spark, "store"), 8)
+    first = store.ask(all_findings(spark, sf_dir), has_seven)
+    second = store.ask(explode_findings(detect(all_sources(spark, sf_dir)), "doc_key"), has_seven)
+    return first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
+
+
+def verify_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings confirmed by what the store has kept of an earlier round."""
+    store = VerdictStore(spark, work_folder(spark, "store"), 8)
+    found = kept_findings(spark, sf_dir)
+    store.ask(found, has_seven)
+    return store.confirm(found).select("doc_id", "entity", "start", "value", "score")
+
+
 def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_entries(all_findings(spark, sf_dir), "doc_id")
 
@@ -407,6 +439,18 @@ def redact_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_with(documents, ["EMAIL_ADDRESS"], _without_sevens("mask"))(spark, sf_dir)
 
 
+def pseudonyms(values):
+    """A user's operation in Python: the same value has the same pseudonym everywhere; none for values with a 7."""
+    import hashlib
+
+    return [None if "7" in value else f"user-{hashlib.sha256(value.encode()).hexdigest()[:8]}" for value in values]
+
+
+def redact_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = {**DEFAULT_POLICY, "EMAIL_ADDRESS": custom_batch(pseudonyms)}
+    return redact_with(documents, ["EMAIL_ADDRESS", "CREDIT_CARD"], policy)(spark, sf_dir)
+
+
 def scrub_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents for which the user's operation fails are errors, the others go on."""
     mails = DEFAULT_RECOGNIZERS.only(["EMAIL_ADDRESS"])
@@ -553,6 +597,41 @@ def restore_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.read_current(spark, root).select("doc_id", "text")
 
 
+def read_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions: all documents, e-mails masked, then cards masked in that; the last two hold only what changed."""
+    root = work_folder(spark, "manifest")
+    entry = manifest.write_full(documents(spark, sf_dir), root, manifest.Entry(), "doc_id")
+    for entity in ("EMAIL_ADDRESS", "CREDIT_CARD"):
+        (recognizer,) = DEFAULT_RECOGNIZERS.only([entity])
+        state = manifest.read_merged(spark, root, "doc_id", entry)
+        done = state.withColumn("redacted", redact_one(F.col("text"), recognizer, DEFAULT_RECOGNIZERS, DEFAULT_POLICY[entity]))
+        entry = manifest.write_changes(done, root, entry, "doc_id")
+    return manifest.read_merged(spark, root, "doc_id")
+
+
+def changed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a version of changes holds of each document: its status, and the lengths of the texts that it keeps."""
+    root = work_folder(spark, "manifest")
+    entry = manifest.write_full(documents(spark, sf_dir), root, manifest.Entry(), "doc_id")
+    entry = manifest.write_changes(_email_redacted(spark, sf_dir), root, entry, "doc_id")
+    rows = spark.read.parquet(f"{root}/data/version={entry.chain[-1]}")
+    length = lambda kind: F.max(F.when(F.col("kind") == kind, F.length("text"))).alias(f"{kind}_chars")
+    return rows.groupBy("doc_id").agg(F.max("status").alias("status"), length("new"), length("original"))
+
+
+def stream_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that arrive in several batches, with a table of names, then all again: no batch is written twice."""
+    arriving, root, checkpoint = (work_folder(spark, name) for name in ("arriving", "streamed", "progress"))
+    letters(spark, sf_dir).repartition(3).write.parquet(arriving)
+    stream = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1).parquet(arriving)
+    names = customer_names(spark, sf_dir)
+    for _ in range(2):
+        start_scrub(stream, root, checkpoint, key="doc_id", names=names).awaitTermination()
+    entry = manifest.current(spark, root)
+    statuses = [manifest.read_status(spark, root, version, "doc_id").select("doc_id", "status") for version in entry.chain]
+    return manifest.read_merged(spark, root, "doc_id").join(reduce(DataFrame.unionAll, statuses), "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "find_email": find("EMAIL_ADDRESS", documents),
     "find_phone": find("PHONE_NUMBER", documents),
@@ -570,6 +649,8 @@ QUERIES: dict[str, Query] = {
     "find_person": find_person,
     "findings_all": all_findings,
     "findings_notes": lambda spark, sf_dir: explode_findings(detect(notes(spark, sf_dir)), "doc_id"),
+    "score_recognizers": score_recognizers,
+    "score_confirmed": score_confirmed,
     "findings_model": findings_model,
     "redact_with_model": redact_with_model,
     "findings_allow_list": findings_allow_list,
@@ -590,6 +671,7 @@ QUERIES: dict[str, Query] = {
     "redact_from_end": redact_with(documents, ["EMAIL_ADDRESS", "CREDIT_CARD"], FROM_END),
     "redact_with_names": redact_with_names,
     "redact_custom": redact_custom,
+    "redact_udf": redact_udf,
     "redacted_in_order": redacted_in_order,
     "find_in_language": find_in_language,
     "verify_join": verify_join,
@@ -599,6 +681,8 @@ QUERIES: dict[str, Query] = {
     "verify_failed_keep": verify_failed_keep,
     "verify_seeded": verify_seeded,
     "verify_distinct": verify_distinct,
+    "verify_incremental": verify_incremental,
+    "verify_from_store": verify_from_store,
     "verify_classified": verify_classified,
     "verify_redacted": verify_redacted,
     "report_entries": report_entries,
@@ -643,4 +727,7 @@ QUERIES: dict[str, Query] = {
     "restore": restore,
     "restore_written": restore_written,
     "write_versions": write_versions,
+    "read_merged": read_merged,
+    "changed_only": changed_only,
+    "stream_scrub": stream_scrub,
 }

@@ -7,18 +7,40 @@ from pyspark.sql import functions as F
 
 from veilspan.session import dealt
 
-# A text per customer that holds all ten pattern entities.
-NOTE_TEXT = """concat(
- 'Contact ', c_name, ' at u', cast(c_custkey as string), '@mail.example.com or +1 (555) 010-',
- lpad(cast(c_custkey % 10000 as string),4,'0'),
- '. SSN ', lpad(cast(c_custkey % 900 as string),3,'0'), '-', lpad(cast(c_custkey % 97 as string),2,'0'), '-',
- lpad(cast(c_custkey % 9973 as string),4,'0'),
- '. Lives at ', cast(c_custkey % 900 + 1 as string), ' Main St, Anytown, CA ', lpad(cast(c_custkey % 99991 as string),5,'0'),
- '. Password Pw', lpad(cast(c_custkey as string),6,'0'), '@x. Aadhaar ', lpad(cast(c_custkey % 9999 as string),4,'0'),
- ' 5678 9012. PAN ',
- translate(lpad(cast(c_custkey % 100000 as string),5,'0'),'0123456789','ABCDEFGHIJ'),
- lpad(cast(c_custkey % 10000 as string),4,'0'), 'Z. Card 4', lpad(cast(c_custkey as string),15,'0'),
- '. Key sk-', md5(c_name), '.', chr(10), 'ssh-rsa ', md5(cast(c_custkey as string)), ' u@h', chr(10), 'end')"""
+_ID = "cast(c_custkey as string)"
+
+
+def _padded(number: str, digits: int) -> str:
+    return f"lpad(cast({number} as string),{digits},'0')"
+
+
+# A text per customer that holds all ten pattern entities: its parts, with the entity that a part is.
+NOTE_PARTS = (
+    (None, "'Contact '"),
+    ("PERSON", "c_name"),
+    (None, "' at '"),
+    ("EMAIL_ADDRESS", f"concat('u', {_ID}, '@mail.example.com')"),
+    (None, "' or '"),
+    ("PHONE_NUMBER", f"concat('+1 (555) 010-', {_padded('c_custkey % 10000', 4)})"),
+    (None, "'. SSN '"),
+    ("US_SSN", f"concat({_padded('c_custkey % 900', 3)}, '-', {_padded('c_custkey % 97', 2)}, '-', {_padded('c_custkey % 9973', 4)})"),
+    (None, "'. Lives at '"),
+    ("ADDRESS", f"concat(cast(c_custkey % 900 + 1 as string), ' Main St, Anytown, CA ', {_padded('c_custkey % 99991', 5)})"),
+    (None, "'. Password '"),
+    ("PASSWORD", f"concat('Pw', {_padded('c_custkey', 6)}, '@x')"),
+    (None, "'. Aadhaar '"),
+    ("AADHAAR_NUMBER", f"concat({_padded('c_custkey % 9999', 4)}, ' 5678 9012')"),
+    (None, "'. PAN '"),
+    ("PAN_NUMBER", f"concat(translate({_padded('c_custkey % 100000', 5)},'0123456789','ABCDEFGHIJ'), {_padded('c_custkey % 10000', 4)}, 'Z')"),
+    (None, "'. Card '"),
+    ("CREDIT_CARD", f"concat('4', {_padded('c_custkey', 15)})"),
+    (None, "'. Key '"),
+    ("API_KEY", "concat('sk-', md5(c_name))"),
+    (None, "concat('.', chr(10))"),
+    ("SSH_KEY", f"concat('ssh-rsa ', md5({_ID}), ' u@h')"),
+    (None, "concat(chr(10), 'end')"),
+)
+NOTE_TEXT = f"concat({', '.join(part for _, part in NOTE_PARTS)})"
 
 # The same with letters of two bytes in front.
 ACCENTED = f"concat('Señor né ', {NOTE_TEXT})"
@@ -55,6 +77,23 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{NOTE_TEXT} as text")
 
 
+def note_spans() -> list[tuple[str, str, str]]:
+    """Entity, start and end of the true spans of a note, as SQL over a customer."""
+    out, before = [], "0"
+    for entity, part in NOTE_PARTS:
+        end = f"{before} + length({part})"
+        if entity not in (None, "PERSON"):
+            out.append((entity, before, end))
+        before = end
+    return out
+
+
+def true_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, entity, start and end of what the notes were made of."""
+    rows = ", ".join(f"struct('{entity}' as entity, int({start}) as start, int({end}) as end)" for entity, start, end in note_spans())
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"inline(array({rows}))")
+
+
 def accented_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return dealt(rows, "c_custkey").selectExpr("c_custkey as doc_id", f"{ACCENTED} as text")

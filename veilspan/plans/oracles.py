@@ -175,6 +175,27 @@ def modelled(regex: str, score: float) -> str:
     return findings("PERSON", "stand_in", score, ENTITIES.index("PERSON"), spans(ACCENTED, regex))
 
 
+def find_precise(source: str) -> str:
+    """All patterns, passwords with their classes in the value itself."""
+    return "\nunion all\n".join(find(r.entity, source, "token" if r.entity == "PASSWORD" else "line") for r in DEFAULT_RECOGNIZERS)
+
+
+# A note has one true span of each entity, and a pattern's findings do not overlap: pairs are true spans that any finding meets.
+TRUE_SPANS = " union all ".join(
+    f'select c_custkey as doc_id, {lit(entity)} as entity, {start} as start, {end} as "end" from customer' for entity, start, end in derived.note_spans()
+)
+
+
+def scores(found: str) -> str:
+    return f"""with f as ({found}), t as ({TRUE_SPANS}),
+ hit as (select entity, count(*) as tp from t where exists (select 1 from f
+   where f.doc_id = t.doc_id and f.entity = t.entity and f.start < t."end" and t.start < f."end") group by entity),
+ n as (select entity, count(*) as n_true from t group by entity), m as (select entity, count(*) as n_found from f group by entity)
+select entity, n_true, coalesce(n_found, 0) as n_found, coalesce(tp, 0) as tp, coalesce(n_found, 0) - coalesce(tp, 0) as fp,
+ n_true - coalesce(tp, 0) as fn, case when n_found > 0 then coalesce(tp, 0) / n_found end as precision, coalesce(tp, 0) / n_true as recall
+from n left join m using (entity) left join hit using (entity)"""
+
+
 LOOSE_MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 MAIL_TWICE = f"""{find("EMAIL_ADDRESS", DOCUMENTS)} union all
  {custom(DOCUMENTS, "EMAIL_ADDRESS", "loose_email", LOOSE_MAIL, 0.5, 0)}"""
@@ -246,6 +267,8 @@ BACKUPS = """(select doc_id, '20250101_000000 ' || text as text, '20250101_00000
 SEEDS = {truth: ", ".join(f"({lit(e)}, {lit(v)})" for e, v, r in SEED_VERDICTS if (r == "True") == truth) for truth in (True, False)}
 SEED_TRUE, SEED_FALSE = SEEDS[True], SEEDS[False]
 
+MASKED_MAILS = f"(select doc_id, redacted as text from ({EMAIL_REDACTED}))"
+
 # Documents written as files end with a line end; places in long texts are 64-bit numbers.
 LINE_ENDED = find_many("(select doc_id, text || chr(10) as text from documents)")
 LONG = """select doc_id, entity, pattern_name, start::bigint as start, "end"::bigint as "end", value, score, priority from ({})"""
@@ -267,6 +290,8 @@ ORACLES: dict[str, str] = {
     "find_person": PERSONS,
     "findings_all": ALL,
     "findings_notes": find_many(NOTES),
+    "score_recognizers": scores(find_many(NOTES)),
+    "score_confirmed": scores(f"select * from {clipped(find_precise(NOTES))}"),
     "findings_model": f"""select * exclude (priority) from ({find_many(ACCENTED)} union all {modelled("Customer#[0-9]+", 0.9)}
  union all {modelled("Contact Customer#", 0.85)})""",
     # Two spans of one name overlap, so they are one span, from the first one's begin to the second one's end.
@@ -309,11 +334,19 @@ ORACLES: dict[str, str] = {
         "when 'EMAIL_ADDRESS' then case when contains(value, '7') then repeat('*', length(value)::int) "
         "else '<' || length(value)::varchar || '>' end",
     ),
+    "redact_udf": redacted(DOCUMENTS, find_many(DOCUMENTS, ["EMAIL_ADDRESS", "CREDIT_CARD"])).replace(
+        rule_sql("EMAIL_ADDRESS", DEFAULT_POLICY["EMAIL_ADDRESS"]),
+        "when 'EMAIL_ADDRESS' then case when contains(value, '7') then repeat('*', length(value)::int) "
+        "else 'user-' || substr(sha256(value), 1, 8) end",
+    ),
     "redacted_in_order": EMAIL_REDACTED,
     "find_in_language": find_many("(select doc_id, text from documents where lang = 'en')", ["EMAIL_ADDRESS", "CREDIT_CARD"]),
     "verify_distinct": f"select entity, value, count(*) as n_findings from ({ALL}) group by entity, value",
     "verify_classified": f"""select distinct entity, value,
  case when contains(value, '7') then 'True' else 'False' end as response from ({ALL})""",
+    "verify_incremental": f"""select entity, value, case when contains(value, '7') then 'True' else 'False' end as response, min(round)::int as round
+ from (select entity, value, 1 as round from ({ALL}) union all select entity, value, 2 from ({find_many(KEYED)})) group by entity, value""",
+    "verify_from_store": f"""select doc_id, entity, start, value, score from ({ALL}) where contains(value, '7') and score >= {MIN_SCORE}""",
     "verify_redacted": redacted(DOCUMENTS, CONFIRMED_ONLY),
     "report_entries": f'select doc_id, start, "end", {ENTRY} as entry from ({ALL})',
     "report_confirmed": f'select doc_id, start, "end", {ENTRY} || {lit(CONFIRMED)} as entry from ({CONFIRMED_ONLY})',
@@ -385,6 +418,12 @@ ORACLES: dict[str, str] = {
   select *, row_number() over (partition by doc_id order by ts desc) as rn from {BACKUPS}) where rn = 1""",
     "restore": "select doc_id, text from documents",
     "restore_written": "select doc_id, text from documents",
+    "read_merged": f"select doc_id, redacted as text from ({redacted(MASKED_MAILS, find('CREDIT_CARD', MASKED_MAILS))})",
+    "changed_only": f"""select doc_id, s.status, case when s.status = 'modified' then length(r.redacted) end::int as new_chars,
+ case when s.status = 'modified' then length(d.text) end::int as original_chars
+ from documents d join ({EMAIL_REDACTED}) r using (doc_id) join ({STATUS}) s using (doc_id)""",
+    "stream_scrub": f"""select doc_id, redacted as text, case when redacted <> text then 'modified' else 'skipped' end as status
+ from ({redacted(LETTERS, f"{find_many(LETTERS)} union all {PERSONS}")}) join {LETTERS} using (doc_id)""",
     "write_versions": f"""select doc_id, r.redacted as text, s.status
  from ({EMAIL_REDACTED}) r join ({STATUS}) s using (doc_id)""",
 }

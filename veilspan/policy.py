@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,7 @@ class Rule:
     from_end: bool = False
     apply: Callable[[Column], Column] | None = None
     on_null: str = "mask"
+    batch: Callable[[list[str]], Sequence[str | None]] | None = None
 
     def __post_init__(self) -> None:
         if self.op == "replace":
@@ -27,9 +28,9 @@ class Rule:
         elif self.op == "mask":
             if not self.mask_char or len(self.mask_char) != 1 or self.mask_n is None or self.mask_n < 0:
                 raise ValueError("mask needs one mask_char and mask_n >= 0")
-        elif self.op == "custom":
-            if self.apply is None:
-                raise ValueError("custom needs apply")
+        elif self.op in ("custom", "batch"):
+            if (self.apply if self.op == "custom" else self.batch) is None:
+                raise ValueError(f"{self.op} needs {'apply' if self.op == 'custom' else 'batch'}")
             if self.on_null not in ("mask", "error"):
                 raise ValueError("on_null must be 'mask' or 'error'")
         else:
@@ -53,6 +54,15 @@ def custom(apply: Callable[[Column], Column], on_null: str = "mask") -> Rule:
     return Rule("custom", apply=apply, on_null=on_null)
 
 
+def custom_batch(batch: Callable[[list[str]], Sequence[str | None]], on_null: str = "mask") -> Rule:
+    """The user's own operation in Python: from distinct values to their replacements, an Arrow batch of documents at a time.
+
+    Only values go to Python, and each once a batch however often it occurs. ``on_null`` as in ``custom``; a value for which
+    ``batch`` fails counts as null.
+    """
+    return Rule("batch", batch=batch, on_null=on_null)
+
+
 # ---------------------------------------------------------------------------
 # The operation for each entity.
 # ---------------------------------------------------------------------------
