@@ -12,6 +12,7 @@ from veilspan import schemas
 from veilspan.functions.arrays import jvm_id
 from veilspan.functions.spans import NO_SPANS, located, parts_of, spans_with_ahead
 from veilspan.functions.words import name_spans
+from veilspan.operators import many
 from veilspan.recognizers import DEFAULT_RECOGNIZERS, PERSON_SCORE, Recognizer, RecognizerSet
 
 NO_PARTS = "cast(array() as array<string>)"
@@ -117,7 +118,18 @@ def detect(
     names: Sequence[str] = (),
     column: str = "raw",
 ) -> DataFrame:
-    """Add the array of raw findings: one pass over the text, no shuffle."""
+    """Add the array of raw findings: one pass over the text, no shuffle.
+
+    Where there are very many plain patterns, each runs only over texts that hold what its matches must contain (``many``).
+    """
+    plain = [r for r in recognizers if many.is_plain(r)]
+    if len(plain) >= many.MANY:
+        chosen = many.Chosen(plain, recognizers)
+        rest = RecognizerSet([r for r in recognizers if not many.is_plain(r)], recognizers.flags, recognizers.entities)
+        others = F.coalesce(findings_array(text, rest, names), F.expr(NO_FINDINGS)) if len(rest) or names else F.expr(NO_FINDINGS)
+        found = F.coalesce(chosen.findings(F.col(text), F.col("_literals")), F.expr(NO_FINDINGS))
+        asked = df.withColumn("_literals", chosen.numbers(F.col(text)))
+        return asked.withColumn(column, F.array_sort(F.concat(others, found))).drop("_literals")
     return df.withColumn(column, F.coalesce(findings_array(text, recognizers, names), F.expr(NO_FINDINGS)))
 
 

@@ -93,6 +93,15 @@ def findings_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def findings_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recognizer for every customer, from a table of them, beside the default ones."""
+    users = table(spark, sf_dir, "customer").selectExpr(
+        "'ACCOUNT' as entity", "concat('account_', c_custkey) as pattern_name", "concat('\\\\bu', c_custkey, '@mail[.]example[.](?:com|org)') as regex", "0.7d as score"
+    )
+    own = DEFAULT_RECOGNIZERS.only(["EMAIL_ADDRESS", "US_SSN"]).with_recognizers_from(users)
+    return explode_findings(detect(notes(spark, sf_dir), recognizers=own), "doc_id")
+
+
 def find_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return person_findings(letters(spark, sf_dir), customer_names(spark, sf_dir), "doc_id")
 
@@ -655,6 +664,7 @@ QUERIES: dict[str, Query] = {
     "redact_with_model": redact_with_model,
     "findings_allow_list": findings_allow_list,
     "findings_custom_recognizer": findings_custom,
+    "findings_many": findings_many,
     "findings_provenance": findings_provenance,
     "dedupe_findings": dedupe_findings,
     "merge_same_entity": merge_phrases,

@@ -298,6 +298,8 @@ ORACLES: dict[str, str] = {
     "redact_with_model": redacted(ACCENTED, f"{find_many(ACCENTED)} union all {modelled('Contact Customer#[0-9]+', 0.9)}"),
     "findings_allow_list": THREE,
     "findings_custom_recognizer": f"{find('EMAIL_ADDRESS', DOCUMENTS)} union all {HEX}",
+    "findings_many": f"""{find_many(NOTES, ["EMAIL_ADDRESS", "US_SSN"])} union all
+ select * replace ('account_' || doc_id::varchar as pattern_name) from ({custom(NOTES, "ACCOUNT", "", "u[0-9]+@mail[.]example[.]com", 0.7, 11)})""",
     "findings_provenance": "select doc_id, entity, pattern_name, case entity "
     + " ".join(
         f"when {lit(r.entity)} then {lit(r.regex)}"

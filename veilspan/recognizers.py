@@ -243,10 +243,12 @@ class RecognizerSet:
     def with_recognizers_from(self, df: DataFrame) -> RecognizerSet:
         """Add the patterns of a recognizer table; they become literals of the plan."""
         rows = df.select("entity", "pattern_name", "regex", "score").collect()
-        out = self
+        items, entities = list(self.items), list(self.entities)
         for r in sorted(rows, key=lambda r: (r["entity"], r["pattern_name"])):
-            out = out.with_recognizer(r["entity"], r["regex"], r["score"], r["pattern_name"])
-        return out
+            one = RecognizerSet((), self.flags, entities).with_recognizer(r["entity"], r["regex"], r["score"], r["pattern_name"])
+            items += one.items
+            entities = list(one.entities)
+        return RecognizerSet(items, self.flags, entities)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(r.entity, r.pattern_name, r.regex, r.score, self.priority(r.entity)) for r in self.items]
