@@ -2,9 +2,12 @@
 
 The gear runs over words: ``g = 2 * g + G(word)``; a cut follows where the low four bits of ``g``, which depend on the
 last four words only, fall below 4. Cuts therefore depend on the content around them and an insertion moves only those near it.
-Single gear chunks are short (4 words on average), and short chunks repeat by chance in a large corpus, as licence lines and
-other stock phrases do by intent; so a digest is taken at every cut, over the following chunks up to the first cut at least
-``min_words`` (20) on. A passage of more than 50 words holds such a chunk with a probability above 0.99, wherever it stands.
+Where none falls for ``LONGEST`` words (a short phrase over and over has as few values of ``g`` as its period has words), cuts stand
+at the least values within ``AROUND`` words to both sides, equal ones included: these depend on the words around them as well, never on
+where the passage stands. Single gear chunks are short (4 words on average), and short chunks repeat by chance in a large
+corpus, as licence lines and other stock phrases do by intent; so a digest is taken at every cut, over the following
+chunks up to the first cut at least ``min_words`` (20) on. What is removed of a copy reaches from the first cut in it to the last
+one that such a chunk ends at; some words at its head and its tail stay.
 
 A digest belongs to the document of least doc_id that has it; there it stays. Everywhere else the words it covers are cut,
 with the white space after them; within a document all but the first occurrence (not overlapping it) are cut.
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 from veilspan.llm.text import BLOCK, WHITE, mix, utf8, word_blocks
 
 WINDOW = 4
-LONGEST = 64
+LONGEST = 16
+AROUND = 8
 _STEP = 0xC2B2AE3D27D4EB4F | 1
 MARKS = "_marks"
 SPANS = "removed_spans"
@@ -51,8 +55,15 @@ def cuts(words: np.ndarray) -> np.ndarray:
     places = np.unique(places)
     far = np.flatnonzero(np.diff(places) > LONGEST)
     if len(far):
-        forced = [np.arange(places[i] + LONGEST, places[i + 1], LONGEST) for i in far]
-        places = np.unique(np.concatenate((places, *forced)))
+        # The value at a place is that of the word before it; beyond the text there is none.
+        least = np.pad(value & np.uint64(0xFFFFFF), AROUND, constant_values=np.uint64(1 << 62))
+        least = np.lib.stride_tricks.sliding_window_view(least, 2 * AROUND + 1)
+        more = []
+        for i in far:
+            inside = slice(places[i], places[i + 1] - 1)
+            own = (value[inside] & np.uint64(0xFFFFFF)) == least[inside].min(axis=1)
+            more.append(places[i] + 1 + np.flatnonzero(own))
+        places = np.unique(np.concatenate((places, *more)))
     return places
 
 

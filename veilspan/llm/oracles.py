@@ -35,8 +35,7 @@ _FRAME = len(OPEN) + len(MIDDLE) + len(CLOSE)
 CHATS = rf"""with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
- t as (select *, contains(text, '{CLOSE}') or contains(role, '{CLOSE}') or contains(role, '{MIDDLE}')
-   or regexp_matches(role || chr(0) || text, '[<\[]\\+(/?s>|/?INST\])') as conflict from c)
+ t as (select *, regexp_matches(role || chr(0) || text, '[<\[]\\*(/?s>|/?INST\])') as conflict from c)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
  sum(case when role = '{LEARNED}' then length(text) else 0 end)::bigint as loss_chars,
  sha256(string_agg(case when role = '{LEARNED}' then text else '' end, '' order by turn, role, text)) as loss_sha256,
@@ -45,14 +44,14 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from t group by conv_id"""
 
 CONTAMINATION = rf"""with d as (select doc_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') as w from documents),
- i as (select item_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') as w from benchmark where item_id is not null),
+ i as (select item_id, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') as w from benchmark),
  runs as (select distinct item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: w[k:k + n - 1])) as g
    from (select *, least(10, len(w)) as n from i where len(w) > 0)),
  places as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as k, w from d, (select distinct n from runs)),
  hits as (select doc_id, k, n, item_id from (select doc_id, n, k, w[k:k + n - 1] as g from places) join runs using (n, g)),
  words as (select doc_id, count(distinct spot) as n_hit from (select distinct doc_id, unnest(range(k, k + n)) as spot from hits) group by doc_id),
  items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
-   from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id)
+   from (select distinct doc_id, item_id::varchar as item from hits where item_id is not null) group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)"""

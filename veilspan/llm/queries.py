@@ -107,7 +107,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_decontamination.find_matches(docs, _table(spark, sf_dir, "benchmark"))
-    items = F.array_distinct(F.transform("matches", lambda m: m["item_id"]))
+    items = F.array_compact(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(items), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -2,15 +2,16 @@
 
 A shard is a block of whole documents (about 2 MB). Its suffix array holds the word suffixes that begin as some
 benchmark window does, sorted by their first ``window`` words; every benchmark suffix is looked up in it by binary
-search. Hits of consecutive suffixes are joined to the longest verbatim matches, with their places. Shards are made and
-searched inside the tasks that read the documents: no text is shuffled, and a hot passage only marks more words.
+search. A hit goes on to the next word as long as the item goes on too, and back as far: the match is verbatim and as long as it
+gets from there. Shards are made and searched inside the tasks that read the documents: no text is shuffled, and a hot
+passage only marks more words.
 
-The benchmark is dealt by item into parts of at most ``part_bytes`` of text, and one part at a time is sent to the tasks; more
-parts are more passes over the documents, with the matches so far written in between.
+The benchmark's distinct items are dealt into parts of about ``part_bytes`` of text, copies of one text over all of them, and one part
+at a time is sent to the tasks; more parts are more passes over the documents, with the matches so far written in between.
 
-Defined cases: null texts and texts without words have no words and no hits. Items without words or without item_id take no
-part; items that repeat are one item. An item shorter than the window is a window of its own length. Other columns are kept;
-columns named as the added ones are replaced.
+Defined cases: null texts and texts without words have no words and no hits. Items without words take no part; items that
+repeat are one item. An item without item_id marks words like any other; its matches have no item_id. An item shorter than the
+window is a window of its own length. Other columns are kept; columns named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -58,17 +59,18 @@ class Suffixes:
         for *_, hashes, _, _, first in word_blocks(pa.array(texts, pa.string()), NOT_ALNUM):
             words += [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
-        rows, items, places, lengths = [], [], [], []
-        for item, own in enumerate(words):
-            if not len(own):
-                continue
-            number = np.searchsorted(self.vocabulary, own) + 1
-            length = min(window, len(number))
-            for k in range(len(number) - length + 1):
-                rows.append(np.pad(number[k : k + length], (0, window - length)))
-                items.append(item), places.append(k), lengths.append(length)
+        sizes = np.array([len(own) for own in words], np.int64)
+        # An item's number of windows; a short one has a window of its own length, filled up with zeros.
+        many = np.where(sizes > 0, np.maximum(sizes - window, 0) + 1, 0)
+        items = np.repeat(np.arange(len(words)), many)
+        places = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        lengths = np.minimum(sizes[items], window)
+        row = np.zeros(int(sizes.sum()) + window * (len(words) + 1), np.int64)
+        begins = np.cumsum(sizes) - sizes + window * np.arange(len(words))
+        for own, at in zip(words, begins):
+            row[at : at + len(own)] = np.searchsorted(self.vocabulary, own) + 1
         self.ids = ids
-        matrix = np.array(rows, np.int64).reshape(-1, window)
+        matrix = np.lib.stride_tricks.sliding_window_view(row, window)[begins[items] + places]
         keys = self.keys(matrix)
         # A window's items: one entry for each item that has it, at its first place there.
         self.unique, which = np.unique(keys, return_inverse=True)
@@ -76,6 +78,8 @@ class Suffixes:
         entry = entry[np.unique(entry[:, :2], axis=0, return_index=True)[1]] if len(entry) else entry
         self.bounds = np.searchsorted(entry[:, 0], np.arange(len(self.unique) + 1))
         self.items, self.places = entry[:, 1], entry[:, 2]
+        # The window at every place of an item.
+        self.at, self.begin, self.many = which, np.cumsum(many) - many, many
         self.lengths = np.zeros(len(self.unique), np.int64)
         self.lengths[which] = lengths
         full = np.zeros((len(self.unique), window), np.int64)
@@ -139,13 +143,25 @@ def search(part: Suffixes, hashes: np.ndarray, first: np.ndarray) -> list[list[t
     in_doc = np.searchsorted(first + w * np.arange(docs + 1), at, "right") - 1
     word = at - w * in_doc - first[in_doc]
     order = np.lexsort((word, item, in_doc))
-    item, origin, length, in_doc, word = (x[order] for x in (item, origin, length, in_doc, word))
-    new = np.ones(len(word), bool)
-    new[1:] = (item[1:] != item[:-1]) | (in_doc[1:] != in_doc[:-1]) | (word[1:] > word[:-1] + 1)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(word)) - 1
-    for a, b in zip(begin, end):
-        found[in_doc[a]].append((int(item[a]), int(origin[a]), int(word[a]), int(word[b] + length[b] - word[a])))
+    rows = [x[order].tolist() for x in (in_doc, item, word, origin, key, length)]
+    seen = {(d, i, w): k for d, i, w, k in zip(rows[0], rows[1], rows[2], rows[4])}
+    at, begin, many = part.at, part.begin, part.many
+    done = (-1, -1, -1)
+    for d, i, w, o, k, n in zip(*rows):
+        if (d, i) == done[:2] and w <= done[2]:
+            continue
+        first, last = begin[i], begin[i] + many[i]
+        # On and back along the item, window by window.
+        low, high, place = w, w, first + o
+        while place + high - w + 1 < last and seen.get((d, i, high + 1)) == at[place + high - w + 1]:
+            high += 1
+        while place - (w - low) - 1 >= first and seen.get((d, i, low - 1)) == at[place - (w - low) - 1]:
+            low -= 1
+        # Matches that began at the item's first place and stopped short are inside this one.
+        while found[d] and found[d][-1][0] == i and found[d][-1][2] >= low:
+            found[d].pop()
+        found[d].append((i, o - (w - low), low, high - low + n))
+        done = (d, i, high)
     return found
 
 
@@ -180,13 +196,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_b
     """``docs`` (text, ...) with n_words, n_hit (words inside any occurrence of a window) and matches."""
     spark = docs.sparkSession
     docs = docs.drop(*ADDED.names)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // part_bytes) + 1
     schema = T.StructType(list(docs.schema) + list(ADDED))
     out = docs
     for k in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).toArrow() if parts > 1 else items.toArrow()
+        mine = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == k).toArrow() if parts > 1 else items.toArrow()
         part = Suffixes(mine.column("item_id").to_pylist(), mine.column("text").to_pylist(), window)
         out = out.mapInArrow(_pass(spark, part, docs.columns, k > 0), schema)
         if k + 1 < parts:
