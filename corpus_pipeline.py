@@ -28,13 +28,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least doc_id; rows that repeat a doc_id are one of them.
+    """One document of each group of near-duplicates.
 
-    Rows without doc_id cannot be told apart and stay.
+    Rows are told apart by a number of their own and linked by their texts alone: two texts under one doc_id are two documents.
+    Of a group, the row of least doc_id stays (null last), of several with that doc_id the one read first. Rows without
+    words are linked with nothing, so each of them stays.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    # Ids and groups only; the texts meet the rows that stay.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = numbered.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
