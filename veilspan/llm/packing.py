@@ -6,9 +6,9 @@
 2. Over the histogram of lengths (at most ``capacity`` entries, whatever the corpus): cover the counts with as few
    sequences as possible, a sequence being a configuration of lengths of at most ``capacity`` together. The fractional program
    is solved by multiplicative weights: lengths still short of their count gain price, and a knapsack dynamic program finds
-   the configurations of most price, until the least covered length is within ``GAP`` of the mean. Counts are rounded
-   to whole sequences; what is left is packed by subset-sum filling, the longest length first. Best-fit decreasing packs
-   the whole histogram too, and its plan is taken where it needs fewer sequences; the log says what each needs.
+   the configurations of most price, until the least covered length is within ``GAP`` of the mean. The solution is rounded
+   to whole sequences, of which the fullest stay: the share of ``SHARES`` (half at least) with which all pieces need fewest.
+   The residue goes into their rooms and into new sequences by best fit. The log says how many pieces the program placed.
 3. The plan is a list of slots (length, range of ranks, first sequence, offset), bounded by the number of configurations,
    not of documents. A piece's rank over the whole corpus is its task's first rank plus its own; the slot with this rank is
    its place. Token ids never leave the table they were written to.
@@ -21,8 +21,6 @@ from __future__ import annotations
 
 import json
 import logging
-import re
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspan.llm.text import blocks, utf8
+from veilspan.llm.text import blocks, hash_spans, utf8
 from veilspan.session import materialise
 
 log = logging.getLogger(__name__)
@@ -42,111 +40,185 @@ END = 2
 #: A round's share of a length lowers its weight by so much.
 STEP = 0.25
 #: The program ends when the least covered length is so near the mean.
-GAP = 0.1
+GAP = 0.05
 #: Configurations so near the best of a round are taken in it.
 NEAR = 0.02
-CACHED = 120_000
-
-# White space as the tokenizer's splitting pattern has it.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces that no token spans: a word with at most one space before it, or white space.
-_PIECE = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: White space next to a space, or a space at the end: there, splitting at spaces is not enough.
-_BORDER = re.compile(rf" (?=[{_SPACE}]|\Z)|[{_SPACE}](?= )")
-
-#: A comma or full stop that may share a token with what stands before it.
-_MARKS = re.compile(r"[\W_][.,] ")
-
+#: How much of the rounded solution stays.
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
+#: Bytes of documents that are encoded together.
+ENCODED = 1 << 19
+#: Pieces that a worker keeps, and ids of them, at most.
+KEPT, KEPT_IDS = 1 << 20, 1 << 23
+#: New pieces are kept apart until there are so many.
+FRESH = 1 << 16
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[33:127] = ~_ALNUM[33:127]
+_ASCII_WHITE = np.zeros(256, bool)
+_ASCII_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Where a white space character begins, as the tokenizer's splitting pattern has it."""
+    out = _ASCII_WHITE[data]
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        padded = np.append(data, np.zeros(2, np.uint8))
+        a, b, c = padded[lead], padded[lead + 1], padded[lead + 2]
+        # U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+        general = (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        out[lead[two | three | general]] = True
+    return out
 
-class _Numbers(dict):
-    """Numbers of pieces, given out as they are first asked for; at most two generations of ``CACHED`` pieces are kept."""
 
-    def __init__(self) -> None:
-        self.old: dict[str, int] = {}
-        self.new: list[str] = []
-        self.count = 0
+def piece_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Bytes at which a piece begins; ``begins``: those where a document does (none is empty).
 
-    def __missing__(self, piece: str) -> int:
-        number = self.old.get(piece)
-        if number is None:
-            number = self.count
-            self.count += 1
-            self.new.append(piece)
-        self[piece] = number
-        return number
+    A piece begins at a space before something other than white space, and at a mark between a letter or digit and something
+    else: there the splitting pattern always begins a new part, whatever stands around.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[begins] = edge[-1] = True
+    white = np.append(_white(data), True)
+    alnum = np.append(_ALNUM[data] | (data >= 0x80), False)
+    start = (data == 0x20) & ~white[1:] & ~edge[1:]
+    before = np.zeros(len(data), bool)
+    before[1:] = _ALNUM[data[:-1]]
+    start |= _PUNCTUATION[data] & before & (~alnum[1:] | edge[1:])
+    return np.flatnonzero(start | edge[:-1])
 
 
 class Encoder:
-    """Token ids of whole texts; the ids of pieces seen lately are looked up.
+    """Token ids of whole texts. Texts are cut into pieces that no token spans; the ids of pieces seen lately are looked up.
 
-    Splitting at single spaces does not change the ids: no token of the byte-level vocabulary spans the border between a
-    word and the space before the next. Texts that hold a special token go to the tokenizer whole.
+    A piece is known by the 64-bit hash of its bytes. Hashes, places and ids are flat arrays, some 40 bytes a piece; beyond ``KEPT``
+    pieces (or ``KEPT_IDS`` ids) those not asked for since the last time are dropped. Texts that hold a special token
+    go to the tokenizer whole.
     """
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
-        self.numbers = _Numbers()
-        self.ids, self.lengths = array("I"), array("I")
-
-    def _age(self) -> None:
-        """Forget what was not asked for since the last time; number the rest anew."""
-        kept = dict(self.numbers)
-        start, length = self._places()
-        flat = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
-        at = np.fromiter(kept.values(), np.int64, len(kept))
-        n = length[at]
-        taken = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        del flat
-        self.ids, self.lengths = array("I", taken.tobytes()), array("I", n.astype(np.uint32).tobytes())
-        self.numbers = _Numbers()
-        self.numbers.old = dict(zip(kept, range(len(kept))))
-        self.numbers.count = len(kept)
-
-    def _places(self) -> tuple[np.ndarray, np.ndarray]:
-        length = np.array(self.lengths, np.int64)
-        return np.cumsum(length) - length, length
-
-    def _learn(self) -> None:
-        new, self.numbers.new = self.numbers.new, []
-        for k in range(0, len(new), 4096):
-            for code in self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False):
-                ids = code.ids
-                self.ids.extend(ids)
-                self.lengths.append(len(ids))
+        self.special = [t["content"].encode() for t in json.loads(definition).get("added_tokens", [])]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # sorted: the bulk, and the fresh ones
+        self.numbers = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.count = self.used_ids = 0
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.asked, self.ids = np.zeros(1 << 12, bool), np.zeros(1 << 14, np.uint32)
+
+    def _add(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Numbers of new pieces (sorted hashes)."""
+        found = [code.ids for k in range(0, len(texts), 4096) for code in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        low, high = self.count, self.count + len(found)
+        ids_high = self.used_ids + int(sizes.sum())
+        for name in ("start", "length", "asked"):
+            setattr(self, name, _grown(getattr(self, name), high))
+        self.ids = _grown(self.ids, ids_high)
+        self.ids[self.used_ids : ids_high] = np.fromiter((i for ids in found for i in ids), np.uint32, ids_high - self.used_ids)
+        self.start[low:high], self.length[low:high] = self.used_ids + np.cumsum(sizes) - sizes, sizes
+        self.count, self.used_ids = high, ids_high
+        numbers = np.arange(low, high)
+        self._merge(1, hashes, numbers)
+        if len(self.keys[1]) >= FRESH:
+            self._merge(0, self.keys[1], self.numbers[1])
+            self.keys[1], self.numbers[1] = self.keys[1][:0], self.numbers[1][:0]
+        return numbers
+
+    def _merge(self, level: int, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        at = np.searchsorted(self.keys[level], hashes)
+        self.keys[level], self.numbers[level] = np.insert(self.keys[level], at, hashes), np.insert(self.numbers[level], at, numbers)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were asked for since the last time; none, if these are more than half."""
+        kept = np.flatnonzero(self.asked[: self.count])
+        sizes = self.length[kept].astype(np.int64)
+        if len(kept) > KEPT // 2 or sizes.sum() > KEPT_IDS // 2:
+            self._clear()
+            return
+        keys, numbers = np.concatenate(self.keys), np.concatenate(self.numbers)
+        taken = self.ids[_spans(self.start[kept], sizes)]
+        hashes = np.empty(self.count, np.uint64)
+        hashes[numbers] = keys
+        self._clear()
+        order = np.argsort(hashes[kept], kind="stable")
+        self.keys[0], self.numbers[0] = hashes[kept][order], order
+        self.count, self.used_ids = len(kept), len(taken)
+        self.start, self.length = np.cumsum(sizes) - sizes, sizes.astype(np.int32)
+        self.asked, self.ids = np.zeros(len(kept), bool), taken
+
+    def _look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of pieces (sorted hashes), -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, numbers in zip(self.keys, self.numbers):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = numbers[at[hit]]
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > CACHED:
-            self._age()
-        pieces: list[str] = []
-        ends, special = [], {}
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                special[k] = text
-            elif _BORDER.search(text) or "\0" in text:
-                # White space beside a space: not every border between words is one between tokens.
-                pieces += _PIECE.findall(text)
-            else:
-                # Every word brings the space before it; a comma or full stop behind a letter or digit is a piece of its own.
-                if not _MARKS.search(text):
-                    text = text.replace(", ", "\0, ").replace(". ", "\0. ")
-                pieces += filter(None, text.replace(" ", "\0 ").split("\0"))
-            ends.append(len(pieces))
-        at = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        start, length = self._places()
-        n = length[at]
-        flat = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
-        ids = flat[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        del flat
-        cuts = np.concatenate(([0], np.cumsum(n)))[np.array([0, *ends])]
+    def encode_bytes(self, data: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """Ids of the documents ``data[own[i]:own[i + 1]]``."""
+        if self.count > KEPT or self.used_ids > KEPT_IDS:
+            self._forget()
+        whole = self._whole(data, own)
+        if not len(data):
+            return [np.zeros(0, np.uint32) for _ in own[1:]]
+        begins = own[:-1][own[:-1] < own[1:]]
+        first = piece_starts(data, begins)
+        last = np.append(first[1:], len(data))
+        hashes = hash_spans(data, first, last)
+        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        number = self._look_up(unique)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            raw = data.tobytes()
+            number[new] = self._add(unique[new], [raw[first[k] : last[k]].decode() for k in where[new]])
+        self.asked[number] = True
+        number = number[inverse]
+        size = self.length[number].astype(np.int64)
+        ids = self.ids[_spans(self.start[number], size)]
+        cuts = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(first, own)]
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        for k, code in zip(special, self.tokenizer.encode_batch_fast(list(special.values()), add_special_tokens=False)):
+        for k, code in zip(whole, self.tokenizer.encode_batch_fast([data[own[k] : own[k + 1]].tobytes().decode() for k in whole], add_special_tokens=False)):
             out[k] = np.array(code.ids, np.uint32)
         return out
 
+    def _whole(self, data: np.ndarray, own: np.ndarray) -> list[int]:
+        """Documents that hold a special token."""
+        raw, found = data.tobytes(), set()
+        for special in self.special:
+            at = raw.find(special)
+            while at >= 0:
+                doc = int(np.searchsorted(own, at, "right")) - 1
+                if at + len(special) <= own[doc + 1]:
+                    found.add(doc)
+                at = raw.find(special, at + 1)
+        return sorted(found)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        data, offsets, _ = utf8(pa.array(texts, pa.string()))
+        return self.encode_bytes(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(values):
+        return values
+    return np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)))
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, … (size[0] of them), start[1], …"""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
 
 @lru_cache(maxsize=1)
 def _encoder(definition: str) -> Encoder:
@@ -165,12 +237,12 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, seen = _encoder(sent.value), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            _, offsets, _ = utf8(batch.column("text"))
-            for low, high in blocks(offsets, 1 << 20):
+            data, offsets, _ = utf8(batch.column("text"))
+            for low, high in blocks(offsets, ENCODED):
                 rows: list[tuple] = []
-                texts = [t or "" for t in batch.column("text").slice(low, high - low).to_pylist()]
                 doc_ids = batch.column("doc_id").slice(low, high - low).to_pylist()
-                for doc, ids in zip(doc_ids, encoder.encode(texts)):
+                found = encoder.encode_bytes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                for doc, ids in zip(doc_ids, found):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                     for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -218,51 +290,11 @@ class Knapsack:
         return chosen
 
 
-def filled(left: np.ndarray, capacity: int) -> dict[int, int]:
-    """A sequence with the longest length left, filled as far as the other lengths allow (a subset-sum program)."""
-    longest = int(np.flatnonzero(left)[-1])
-    room = capacity - longest
-    chosen = {longest: 1}
-    if not room:
-        return chosen
-    # last[r]: the length that completed the sum r; longer lengths first, so that short ones stay for later.
-    last = np.zeros(room + 1, np.int64)
-    reached = np.zeros(room + 1, bool)
-    reached[0] = True
-    for length in np.flatnonzero(left[: room + 1])[::-1]:
-        times = int(left[length]) - (length == longest)
-        for _ in range(min(times, room // int(length))):
-            new = ~reached[length:] & reached[: room + 1 - length]
-            if not new.any():
-                break
-            at = np.flatnonzero(new) + length
-            reached[at], last[at] = True, length
-        if reached[room]:
-            break
-    total = int(np.flatnonzero(reached)[-1])
-    while total:
-        chosen[int(last[total])] = chosen.get(int(last[total]), 0) + 1
-        total -= int(last[total])
-    return chosen
-
-
-def _greedy(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    out = []
-    left = left.copy()
-    while left.any():
-        chosen = filled(left, capacity)
-        # A length may have served more often than it is left over; then it is dropped from this sequence.
-        chosen = {n: min(k, int(left[n])) for n, k in chosen.items()}
-        times = min(int(left[n]) // k for n, k in chosen.items())
-        for n, k in chosen.items():
-            left[n] -= k * times
-        out.append((chosen, times))
-    return out
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over a histogram, many equal lengths at a time."""
+def best_fit(counts: np.ndarray, capacity: int, started: Iterable[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over a histogram, many equal lengths at a time, into the rooms of ``started`` sequences first."""
     rooms: dict[int, list[list]] = {}  # room left: [configuration, how many sequences]
+    for config, many in started:
+        rooms.setdefault(capacity - sum(n * k for n, k in config.items()), []).append([config, many])
     for length in np.flatnonzero(counts)[::-1]:
         length, left = int(length), int(counts[length])
         while left:
@@ -341,23 +373,35 @@ def program(rest: np.ndarray, capacity: int, rounds: int | None = None) -> list[
     return plan
 
 
+def tightest(solved: list[tuple[dict[int, int], int]], share: float, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The fullest sequences of a solution, ``share`` of them in all; of a configuration used often at most the share of its use."""
+    left, out = int(share * sum(many for _, many in solved)), []
+    for config, many in sorted(solved, key=lambda x: capacity - sum(n * k for n, k in x[0].items())):
+        many = min(left, many if many == 1 else int(np.ceil(max(share, 0.9) * many)))
+        if many > 0:
+            out.append((config, many))
+            left -= many
+    return out
+
+
 def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[dict[int, int], int]]:
     """(lengths and how often each, number of such sequences): together every counted piece exactly once."""
     plan = [({capacity: 1}, int(counts[capacity]))] if counts[capacity] else []
     rest = counts.copy()
     rest[capacity] = 0
-    solved = program(rest, capacity, rounds)
-    left = rest.copy()
-    for config, many in solved:
-        for n, k in config.items():
-            left[n] -= k * many
-    packed, plain = plan + solved + _greedy(left, capacity), best_fit(counts, capacity)
-    n_packed, n_plain = (sum(many for _, many in p) for p in (packed, plain))
-    log.info(
-        "configuration program: %d of %d pieces shorter than a sequence, %d sequences; best fit: %d",
-        rest.sum() - left.sum(), rest.sum(), n_packed, n_plain,
-    )
-    return packed if n_packed <= n_plain else plain
+    solved, best = program(rest, capacity, rounds), None
+    for share in SHARES:
+        kept, left = tightest(solved, share, capacity), rest.copy()
+        for config, many in kept:
+            for n, k in config.items():
+                left[n] -= k * many
+        packed = best_fit(left, capacity, kept)
+        size = sum(many for _, many in packed)
+        if best is None or size < best[0]:
+            best = size, share, packed, int(left.sum())
+    size, share, packed, left = best
+    log.info("configuration program: %.1f of its sequences kept, %d of %d pieces shorter than a sequence, %d sequences", share, rest.sum() - left, rest.sum(), size)
+    return plan + packed
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int]]:

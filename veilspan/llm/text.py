@@ -103,6 +103,32 @@ def hash_words(data: np.ndarray, fresh: np.ndarray, separators: np.ndarray) -> t
     return mix(np.concatenate(hashes)), np.concatenate(starts), np.concatenate(ends)
 
 
+def hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes ``data[first[i]:last[i]]``, as they are; the spans are in order and do not overlap."""
+    values, power, inverse = _tables()
+    out = np.zeros(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        low = first[at]
+        high = int(np.searchsorted(last, low + _SLICE, "right"))
+        if high > at:
+            part = data[low : last[high - 1]]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values[part] * power[: len(part)], out=total[1:])
+            a, b = first[at:high] - low, last[at:high] - low
+            out[at:high] = mix((total[b] - total[a]) * inverse[a])
+            at = high
+            continue
+        # One long span, slice by slice.
+        whole = 0
+        for start in range(low, last[at], _SLICE):
+            part = data[start : min(start + _SLICE, last[at])]
+            whole += pow(_BASE, int(start - low), 1 << 64) * int((values[part] * power[: len(part)]).sum(dtype=np.uint64))
+        out[at] = mix(np.array([whole & _MASK], np.uint64))[0]
+        at += 1
+    return out
+
+
 def word_blocks(
     column: pa.Array, separators: np.ndarray, size: int = BLOCK
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
