@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.text import WHITE, utf8, word_blocks
@@ -343,9 +343,14 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
     blocks = materialise(_blocks(docs, held_out), "blocks")
     found = blocks.select("block", "held_out", "text").mapInArrow(_count, "block long, token long, n long")
-    counts = materialise(found.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
+    # Texts are read and hashed once for all counts: each token's rows, at most a few a block, learn their sum where they meet.
+    of_token = Window.partitionBy("token").orderBy("block")
+    whole = of_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = found.select("block", "token", F.sum("n").over(whole).alias("c"), (F.row_number().over(of_token) == 1).alias("first"))
+    known = materialise(known.where("c > 0"), "known")
+    counts = known.where("first")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+    top = counts.select("token", "c").orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
     tokens, most = top.column("token").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(tokens)
     tokens, place = tokens[order], order.astype(np.int64)
@@ -360,7 +365,6 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         of, c = known.column("token").to_numpy().view(np.uint64), known.column("c").to_numpy()
         order = np.argsort(of)
         of, c = of[order], c[order]
-        ids, out = [], {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         parts, sizes = [], []
         for chunk in texts.column("text").chunks:
             for _, _, own, begins in _tokens(chunk):
@@ -370,10 +374,12 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         if len(of):
             at = np.searchsorted(of, own)
             at[at == len(of)] = 0
-            count = np.where(of[at] == own, c[at], 0)
+            hit = of[at] == own
+            count = np.where(hit, c[at], 0)
+            # A frequent token is a known one: its number stands beside its count.
+            ids = np.where(hit, numbers(of, tokens, place)[at], RARE)
         else:
-            count = np.zeros(len(own), np.int64)
-        ids = numbers(own, tokens, place)
+            count, ids = np.zeros(len(own), np.int64), np.full(len(own), RARE)
         base = np.log10((count + SMOOTH) / (total + SMOOTH * (distinct + 1)))
         logs = log_probabilities(net, ids, begins) / np.log(10)
         rare = ids == RARE
@@ -390,6 +396,6 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     # A token that no training document has is absent here and counts as 0.
-    wanted = found.select("block", "token").join(counts, "token").select("block", "token", "c")
+    wanted = known.select("block", "token", "c")
     texts = blocks.select("block", "doc_id", "held_out", "text")
     return texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
