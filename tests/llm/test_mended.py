@@ -123,3 +123,26 @@ def test_two_texts_under_one_doc_id_both_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).coalesce(1)
     kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (3, c), (None, "short"), (5, None), (5, "")], key=str)
+
+
+def test_words_end_where_the_script_changes(spark):
+    from veilspan.llm import language_spans as spans
+
+    def cut(text):
+        found = spans.Words([text])
+        return ["\n".join(["", text, ""])[a:b] for a, b in zip(found.starts, found.ends)]
+
+    assert cut("日本語English русскийtext, plain words") == ["日本語", "English", "русский", "text", "plain", "words"]
+    assert cut("e\u0301té αe\u0301β x") == ["e\u0301té", "α", "e\u0301", "β", "x"]
+    assert cut("漢" * 10 + "ab") == ["漢" * 4, "漢" * 4, "漢" * 2, "ab"]
+    assert cut("東京タワー") == ["東京", "タワ", "ー"] or cut("東京タワー") == ["東京", "タワー"]
+    assert cut("") == [] and cut("12 !!") == [] and cut("a") == ["a"]
+    latin = "the quick brown fox jumps over the lazy dog "
+    cyrillic = "съешь ещё этих мягких французских булок "
+    rows = [(k, latin * 5, "en") for k in range(20)] + [(100 + k, cyrillic * 5, "ru") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = spans.learn(docs)
+    mixed = spark.createDataFrame([(1, "thequickbrownfox" + "мягкихфранцузских" + "overthelazydog")], "doc_id long, text string")
+    row = spans.identify(mixed, model).first()
+    text = mixed.first().text
+    assert [(text[s.start : s.end], s.lang) for s in row.lang_spans] == [("thequickbrownfox", "en"), ("мягкихфранцузских", "ru"), ("overthelazydog", "en")]

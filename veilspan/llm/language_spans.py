@@ -1,5 +1,6 @@
 """Languages of the spans of a text.
 
+A word is a run of letters of one script; where a script puts no spaces between words, a few of its characters.
 Learned: counts of character trigrams and of words per language, hashed to 2**16 places each, and of letters per script. A
 word's script (by code point ranges) leaves as candidates the languages that use it; each candidate scores the sum of its
 log probability ratios against the mean of all. A Viterbi pass over a text's words, with a penalty for every switch,
@@ -47,6 +48,10 @@ SCRIPTS = (
     (0xFFA0, 21), (0xFFE0, 0), (0x20000, 25), (0x32000, 0),
 )
 N_SCRIPTS = 27
+# The scripts above that put no spaces between words (Thai, Lao, Tibetan, Myanmar, Khmer, Han, Kana).
+_SPACELESS = np.isin(np.arange(N_SCRIPTS), [16, 17, 18, 19, 23, 25, 26])
+#: Places of a word in these.
+UNSPACED = 4
 _FIRST = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([b for _, b in SCRIPTS])
 ADDED = T.StructType(
@@ -73,6 +78,29 @@ def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lower, letter, letter | np.array([k[0] == "M" for k in kinds])
 
 
+def word_bounds(codes: np.ndarray, is_letter: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end places of words: runs of letters and their marks, cut where the script changes and, in scripts that put no
+    spaces between words, every ``UNSPACED`` places. The first and the last code are no part of a word."""
+    edge = np.diff(is_word.astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    if not len(starts):
+        return starts, ends
+    p = np.flatnonzero(is_letter)
+    if not len(p):
+        return starts, ends
+    script = _SCRIPT[np.searchsorted(_FIRST, codes[p], "right") - 1]
+    run = np.searchsorted(starts, p, "right") - 1
+    same = np.append(False, run[1:] == run[:-1])
+    # A mark belongs to the letter before it, so only letters are compared.
+    changed = same & np.append(False, script[1:] != script[:-1])
+    long = _SPACELESS[script] & same & ((p - starts[run]) % UNSPACED == 0)
+    more = p[changed | long]
+    if len(more):
+        starts = np.sort(np.concatenate((starts, more)))
+        ends = np.minimum(np.append(starts[1:], len(codes)), ends[np.searchsorted(ends, starts, "right")])
+    return starts, ends
+
+
 class Words:
     """The words of a block of texts."""
 
@@ -84,8 +112,7 @@ class Words:
         is_letter = letter[inside]
         is_word = member[inside]
         begin = np.append(np.cumsum([1] + [len(t) + 1 for t in texts[:-1]]), len(codes)) if texts else np.array([1, 1])
-        edge = np.diff(is_word.astype(np.int8))
-        starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        starts, ends = word_bounds(codes, is_letter, is_word)
         letters = np.concatenate(([0], np.cumsum(is_letter)))
         some = letters[ends] > letters[starts]
         self.starts, self.ends = starts[some], ends[some]
