@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.llm import chunk_dedup, language_spans, packing, suffix_decontamination
 from veilspan.llm.minhash_forest import near_duplicates
 from veilspan.llm.queries import TOKENIZER
-from veilspan.session import materialise
+from veilspan.session import materialise, remove_folders
 
 #: A document goes if less than this share of its letters is in spans of its main language.
 LEAST_SHARE = 0.5
@@ -75,7 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's texts are removed from the shared folder when the next one's are written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        folders: list[str] = []
+        docs = materialise(stage(spark, docs, sf_dir), name, folders=folders)
+        remove_folders(spark, written)
+        written = folders
+    # The last stage writes its pieces before it returns.
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove_folders(spark, written)
+    return packed
