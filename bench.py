@@ -35,6 +35,10 @@ HEADLINE = (
     "write_versions",
     "restore_written",
     "restore",
+    "findings_segmented",
+    "findings_model",
+    "redact_udf",
+    "read_merged",
 )
 
 

@@ -31,6 +31,7 @@ from veilspan.sources.files import (
     is_repository,
     is_text_path,
     list_files,
+    path_problem,
     source_encoding,
     text_files,
 )
@@ -367,6 +368,14 @@ def repository_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(paths).select("input", is_repository(F.col("input")).alias("is_repository"))
 
 
+def path_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with inputs by their name: page addresses, paths of documents, and blanks among them."""
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("input"))
+    blank = F.when(F.col("source") == "src10", F.lit(" \t")).when(F.col("source") != "src11", F.expr(derived.FILE_PATH))
+    paths = table(spark, sf_dir, "documents").select(blank.alias("input"))
+    return pages.unionByName(paths).select("input", path_problem(F.col("input")).alias("problem"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_blocks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
@@ -707,6 +716,7 @@ QUERIES: dict[str, Query] = {
     "scan_count": scan_count,
     "filter_url_sources": filter_url_sources,
     "repository_flags": repository_flags,
+    "path_problems": path_problems,
     "page_blocks": blocks,
     "page_blocks_sparse": sparse_blocks,
     "assemble_pages": assembled,

@@ -372,6 +372,10 @@ ORACLES: dict[str, str] = {
     "filter_url_sources": "select page_id, url from pages where url like 'http://%' or url like 'https://%'",
     "repository_flags": f"""select url as input, (url like 'http://%' or url like 'https://%') as is_repository from pages
  union all select path, false from {PATHS}""",
+    "path_problems": f"""select url as input, case when url like 'http://%' or url like 'https://%'
+   then 'check the repository out first and scan its directory' end as problem from pages
+ union all select case when source = 'src10' then ' ' || chr(9) when source <> 'src11' then path end,
+   case when source in ('src10', 'src11') then 'no input directory given' end from {PATHS}""",
     "page_blocks": BLOCKS,
     "page_blocks_sparse": blocks(SPARSE, "page"),
     "assemble_pages": f"select conv_id, string_agg(block, '' order by n) as text from ({BLOCKS}) group by conv_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan import schemas
-from veilspan.functions.text import basename, extension, unix_newlines
+from veilspan.functions.text import basename, extension, strip, unix_newlines
 from veilspan.sources.versions import ERROR, failure
 
 # ---------------------------------------------------------------------------
@@ -67,12 +67,22 @@ def had_crlf(content: Column) -> Column:
     return F.contains(F.decode(content, "ISO-8859-1"), F.lit("\r"))
 
 
+NO_PATH = "no input directory given"
+IS_REPOSITORY = "check the repository out first and scan its directory"
+
+
+def path_problem(path: Column) -> Column:
+    """Why an input cannot be a directory, as far as its name tells; null if it can."""
+    blank = path.isNull() | (strip(path) == "")
+    return F.when(blank, F.lit(NO_PATH)).when(is_repository(path), F.lit(IS_REPOSITORY))
+
+
 def check_directory(spark: SparkSession, path: str) -> None:
     """Fail early on an empty path, a missing one, or one that is not a directory."""
     if not path or not path.strip():
-        raise ValueError("no input directory given")
+        raise ValueError(NO_PATH)
     if path.startswith(REPOSITORY_PREFIXES):
-        raise ValueError(f"check the repository out first and scan its directory: {path}")
+        raise ValueError(f"{IS_REPOSITORY}: {path}")
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
