@@ -53,7 +53,7 @@ _SPACELESS = np.isin(np.arange(N_SCRIPTS), [16, 17, 18, 19, 23, 25, 26])
 #: Places of a word in these.
 UNSPACED = 4
 _FIRST = np.array([a for a, _ in SCRIPTS])
-_SCRIPT = np.array([b for _, b in SCRIPTS])
+_SCRIPT = np.array([b for _, b in SCRIPTS], np.int8)
 ADDED = T.StructType(
     [
         T.StructField("lang_evidence", T.DoubleType()),
@@ -85,11 +85,11 @@ def word_bounds(codes: np.ndarray, is_letter: np.ndarray, is_word: np.ndarray) -
     starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
     if not len(starts):
         return starts, ends
-    p = np.flatnonzero(is_letter)
+    p = np.flatnonzero(is_letter).astype(np.int32)
     if not len(p):
         return starts, ends
     script = _SCRIPT[np.searchsorted(_FIRST, codes[p], "right") - 1]
-    run = np.searchsorted(starts, p, "right") - 1
+    run = np.searchsorted(starts, p, "right").astype(np.int32) - 1
     same = np.append(False, run[1:] == run[:-1])
     # A mark belongs to the letter before it, so only letters are compared.
     changed = same & np.append(False, script[1:] != script[:-1])
@@ -136,7 +136,7 @@ class Words:
         self.script = _SCRIPT[np.searchsorted(_FIRST, first_letter, "right") - 1]
 
 
-def _texts(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def _texts(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, Words]]:
     _, offsets, _ = utf8(column)
     for low, high in blocks(offsets, size):
         yield low, high, Words([t or "" for t in column.slice(low, high - low).to_pylist()])

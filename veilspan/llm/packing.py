@@ -48,7 +48,7 @@ SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
 #: Bytes of documents that are encoded together.
 ENCODED = 1 << 19
 #: Pieces that a worker keeps, and ids of them, at most.
-KEPT, KEPT_IDS = 1 << 20, 1 << 23
+KEPT, KEPT_IDS = 1 << 19, 1 << 22
 #: New pieces are kept apart until there are so many.
 FRESH = 1 << 16
 
