@@ -7,18 +7,36 @@ spans of a side are disjoint, pairing the two that come first wherever they meet
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.arrays import before_each, let
+
+
+def merged(spans: Column) -> Column:
+    """A sorted array<struct<start, end>> with overlapping spans in one; touching ones stay apart."""
+
+    def join(heads: Column) -> Column:
+        # A span that begins anew stands behind all before it: what was reached by then is the end of the one before.
+        ends = F.concat(F.slice(F.transform(heads, lambda h: h["reached"]), F.lit(2), F.size(heads) - 1), F.array(F.array_max(F.transform(spans, lambda x: x["end"].cast("long")))))
+        return F.zip_with(heads, ends, lambda h, end: F.struct(h["start"].alias("start"), end.alias("end")))
+
+    reached = before_each(F.transform(spans, lambda x: x["end"].cast("long")), F.lit(-1).cast("long"), lambda a, b: F.greatest(a, b))
+    placed = F.zip_with(spans, reached, lambda x, r: F.struct(x["start"].cast("long").alias("start"), r.alias("reached")))
+    plain = F.transform(spans, lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
+    return F.when(F.size(spans) > 1, let(F.filter(placed, lambda h: h["start"] >= h["reached"]), join)).otherwise(plain)
+
+
+def _sorted(start: str = "start", end: str = "end", where: Column | None = None) -> Column:
+    span = F.struct(F.col(start).alias("start"), F.col(end).alias("end"))
+    return F.sort_array(F.collect_list(span if where is None else F.when(where, span)))
+
 
 def merged_spans(spans: DataFrame, *keys: str) -> DataFrame:
     """keys, entity, start and end with overlapping spans of one entity in one; touching ones stay apart."""
-    order = Window.partitionBy(*keys, "entity").orderBy("start", "end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fresh = (F.col("start") >= F.coalesce(F.max("end").over(before), F.col("start"))).cast("int")
-    islands = spans.select(*keys, "entity", "start", "end", fresh.alias("_fresh"))
-    islands = islands.withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "entity", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    types = [F.col(f"s.{n}").cast(spans.schema[n].dataType).alias(n) for n in ("start", "end")]
+    gathered = spans.groupBy(*keys, "entity").agg(_sorted().alias("all"))
+    return gathered.select(*keys, "entity", F.explode(merged(F.col("all"))).alias("s")).select(*keys, "entity", *types)
 
 
 def pairs(left: Column, right: Column) -> Column:
@@ -47,10 +65,11 @@ def scores(found: DataFrame, true: DataFrame, *keys: str) -> DataFrame:
 
     Documents are independent; the spans of one document and entity are gathered, bounded by its text. Null keys are one document.
     """
-    sides = [merged_spans(df.select(*keys, "entity", "start", "end"), *keys).withColumn("side", F.lit(side)) for side, df in enumerate((found, true))]
-    both = sides[0].unionByName(sides[1])
-    gathered = [F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("start", "end")))).alias(n) for side, n in enumerate(("f", "t"))]
-    documents = both.groupBy(*keys, "entity").agg(*gathered)
+    sides = [df.select(*keys, "entity", "start", "end", F.lit(side).alias("side")) for side, df in enumerate((found, true))]
+    # Gathered once for both sides and merged in the row: a window over millions of groups of a span or two costs more than the matching.
+    gathered = [_sorted(where=F.col("side") == side).alias(n) for side, n in enumerate(("f", "t"))]
+    both = sides[0].unionByName(sides[1]).groupBy(*keys, "entity").agg(*gathered)
+    documents = both.select("entity", merged(F.col("f")).alias("f"), merged(F.col("t")).alias("t"))
     counted = documents.select("entity", F.size("t").alias("n_true"), F.size("f").alias("n_found"), pairs(F.col("f"), F.col("t")).alias("tp"))
     total = counted.groupBy("entity").agg(*[F.sum(c).alias(c) for c in ("n_true", "n_found", "tp")])
     share = lambda of: F.when(F.col(of) > 0, F.col("tp") / F.col(of))
