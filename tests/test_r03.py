@@ -72,3 +72,16 @@ def test_the_map_of_names_is_not_in_the_plan(spark, tmp_path):
     listed = listed_names(derived.customer_names(spark, d))
     bits, words = names.bit_map(listed, 20_000)
     assert names.held_map(listed, bits).first()["held"] == words
+
+
+def test_digests_are_dealt_out_once(spark):
+    """pipeline, repeated_passages: the digests' own exchange, the marks' and the texts'; no second one of the digests."""
+    from veilspan.llm import chunk_dedup
+
+    passage = " ".join(f"word{k * 7919 % 1009}" for k in range(120))
+    docs = [(3, f"alpha beta {passage} omega"), (1, f"gamma {passage} delta"), (1, passage), (2, "short"), (None, passage), (4, None), (5, f"{passage} end")]
+    df = chunk_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(digest") == 1
+    cut = {(r.doc_id, len(r.text or "")): r.n_removed for r in df.collect()}
+    assert len(cut) == len(docs) and {d for (d, _), n in cut.items() if n} == {3, 5} and all(n > 90 for n in cut.values() if n)

@@ -11,7 +11,7 @@ one that such a chunk ends at; some words at its head and its tail stay.
 
 A digest belongs to the document of least doc_id that has it; there it stays. Everywhere else the words it covers are cut,
 with the white space after them; within a document all but the first occurrence (not overlapping it) are cut.
-Digests are counted with partial sums; the marks of a document return to it as one set, which its own text bounds.
+Digests are dealt out once, and sorted there; the marks of a document return to it as one set, which its own text bounds.
 
 Defined cases: a null text stays null; texts below ``min_words`` words have no chunks. Rows that repeat a doc_id are one
 document and are not cut against each other. Rows without doc_id are passed on whole and own nothing. Other columns are kept.
@@ -24,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,8 +171,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated passages cut from ``text``; adds removed_spans, n_words and n_removed."""
     docs = docs.drop(*_ADDED.names, MARKS, "_id").withColumn("_id", F.col("doc_id").cast("long"))
     rows = digests(docs.select(F.col("_id").alias("doc_id"), "text"), min_words)
-    owners = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    foreign = rows.join(owners, "digest").where("doc_id > owner")
+    # One exchange of the digests: a digest's rows meet its owner where they are, and are not dealt out a second time.
+    owned = rows.withColumn("owner", F.min("doc_id").over(Window.partitionBy("digest")))
+    foreign = owned.where("doc_id > owner")
     marks = foreign.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("digest").alias(MARKS))
     joined = docs.join(marks, "_id", "left").select(*docs.columns, MARKS)
     schema = T.StructType([f for f in docs.schema if f.name != "_id"] + list(_ADDED))
