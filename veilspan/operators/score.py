@@ -23,7 +23,7 @@ def merged(spans: Column) -> Column:
 
     reached = before_each(F.transform(spans, lambda x: x["end"].cast("long")), F.lit(-1).cast("long"), lambda a, b: F.greatest(a, b))
     placed = F.zip_with(spans, reached, lambda x, r: F.struct(x["start"].cast("long").alias("start"), r.alias("reached")))
-    plain = F.transform(spans, lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))
+    plain = spans.cast("array<struct<start:bigint,end:bigint>>")
     return F.when(F.size(spans) > 1, let(F.filter(placed, lambda h: h["start"] >= h["reached"]), join)).otherwise(plain)
 
 
@@ -56,8 +56,13 @@ def pairs(left: Column, right: Column) -> Column:
         )
         return F.when((at["i"] < F.size(left)) & (at["j"] < F.size(right)), moved).otherwise(at)
 
+    def one_each() -> Column:
+        a, b = F.get(left, F.lit(0)), F.get(right, F.lit(0))
+        return F.when((a["start"] < b["end"]) & (b["start"] < a["end"]), F.lit(1)).otherwise(F.lit(0))
+
     steps = F.sequence(F.lit(1), F.size(left) + F.size(right))
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), F.aggregate(steps, state, step)["n"]).otherwise(F.lit(0))
+    none, single = (F.size(left) == 0) | (F.size(right) == 0), (F.size(left) == 1) & (F.size(right) == 1)
+    return F.when(none, F.lit(0)).when(single, one_each()).otherwise(F.aggregate(steps, state, step)["n"])
 
 
 def scores(found: DataFrame, true: DataFrame, *keys: str) -> DataFrame:
