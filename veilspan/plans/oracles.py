@@ -391,8 +391,8 @@ ORACLES: dict[str, str] = {
     "scan_hidden_tree": r"""select doc_id, case doc_id % 3 when 0 then '.a' when 1 then '.c' else 'c' end as folder, text || chr(10) as text,
  'utf-8' as encoding from documents""",
     "scan_in_ranges": f'select doc_id, entity, start::bigint as start, "end"::bigint as "end", value, score from ({LINE_ENDED})',
-    "scrub_unreadable": f"""select doc_id, case when doc_id % 3 = 0 then 'errors' else status end as status,
- case when doc_id % 3 = 0 then 'Failed modifying : No such file or directory' end as error from ({STATUS})""",
+    "scrub_unreadable": f"""select doc_id, status, null::varchar as error from ({STATUS})
+ union all select doc_id, 'errors', 'Failed modifying : No such file or directory' from documents where doc_id % 3 = 0""",
     "findings_segmented": LONG.format(ALL),
     "findings_segmented_notes": LONG.format(find_many(NOTES)),
     "findings_segmented_text_scope": LONG.format(find("PASSWORD", DOCUMENTS, "text")),
