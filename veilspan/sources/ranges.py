@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from veilspan.functions.text import unix_newlines
 from veilspan.operators.segments import BEHIND, FACTS, WHITE, decide, facts
 from veilspan.session import materialise
-from veilspan.sources.tree import ROWS, read_bytes, reason
+from veilspan.sources.tree import BYTES, ROWS, SPLIT, read_bytes, reason
 
 #: Bytes of a range.
 SIZE = 8 << 20
@@ -79,9 +79,20 @@ def _cuts(size: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _reads(names: list[str], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range (path, low, high) at a time with its content beside it, or why there is none."""
+    """Ranges (path, low, high and more) with their contents beside them, or why there is none; about ``BYTES`` at a time."""
     for batch in batches:
-        for k, (path, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "low", "high")))):
+        contents: list[bytes | None] = []
+        errors: list[str | None] = []
+        done, held = 0, 0
+
+        def read_so_far() -> pa.RecordBatch:
+            own = [batch.column(n).slice(done, len(contents)) for n in names]
+            return pa.RecordBatch.from_arrays([*own, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], [*names, "content", "unread"])
+
+        for path, low, high in zip(*(batch.column(c).to_pylist() for c in ("path", "low", "high"))):
+            if contents and (held + high - low > BYTES or len(contents) >= ROWS):
+                yield read_so_far()
+                done, held, contents, errors = done + len(contents), 0, [], []
             content, error = None, None
             try:
                 content = read_bytes(path, low, high)
@@ -89,21 +100,24 @@ def _reads(names: list[str], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.R
                     content, error = None, "shorter than when it was listed"
             except (OSError, pa.ArrowException) as failed:
                 error = reason(failed)
-            own = [batch.column(n).slice(k, 1) for n in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([content], pa.binary()), pa.array([error], pa.string())], [*names, "content", "unread"])
+            contents.append(content)
+            errors.append(error)
+            held += len(content or b"")
+        if contents:
+            yield read_so_far()
 
 
-def _spread(ranges: DataFrame) -> DataFrame:
-    """Ranges dealt to tasks by themselves, so one file's ranges are in many tasks."""
-    n = ranges.count()
+def _spread(ranges: DataFrame, length: Column) -> DataFrame:
+    """Ranges dealt to tasks of about ``SPLIT`` bytes each, by ``length`` of a range; one file's ranges are in many tasks."""
+    total = ranges.agg(F.count("*").alias("n"), F.sum(length).alias("bytes")).first()
     wide = 4 * ranges.sparkSession.sparkContext.defaultParallelism
-    return ranges.repartition(max(1, min(n, max(wide, n // 16))))
+    return ranges.repartition(max(1, min(total["n"], max(wide, (total["bytes"] or 0) // SPLIT))))
 
 
 def _read(ranges: DataFrame) -> DataFrame:
     """``ranges`` (path, low, high and more) with content and unread."""
     schema = T.StructType([*ranges.schema, T.StructField("content", T.BinaryType()), T.StructField("unread", T.StringType())])
-    return _spread(ranges).mapInArrow(partial(_reads, ranges.columns), schema)
+    return _spread(ranges, F.col("high") - F.col("low")).mapInArrow(partial(_reads, ranges.columns), schema)
 
 
 def _latin(content: Column) -> Column:
@@ -123,7 +137,7 @@ def units_of_files(files: DataFrame, scope: str = "line", size: int = SIZE, fold
     segments = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))
     ranges = files.where("length > 0").select("path", "length", F.explode(segments).alias("segment"))
     cuts = materialise(
-        _spread(ranges).mapInArrow(partial(_cuts, size), "path string, segment long, low long, length long, unread string"), "cuts", folders=folders
+        _spread(ranges, F.lit(size).cast("long")).mapInArrow(partial(_cuts, size), "path string, segment long, low long, length long, unread string"), "cuts", folders=folders
     )
     order = Window.partitionBy("path").orderBy("segment")
     pieces = cuts.where("unread is null").withColumn("high", F.coalesce(F.lead("low").over(order), "length"))
@@ -132,11 +146,13 @@ def units_of_files(files: DataFrame, scope: str = "line", size: int = SIZE, fold
     content = F.col("content")
     valid = F.is_valid_utf8(content.cast("string"))
     plain = F.octet_length("content") == F.length(content.cast("string"))
-    struct = lambda text: F.struct(*[c.alias(n) for n, c in facts(text).items()])
-    told = _read(pieces.where(F.col("high") - F.col("low") <= LARGEST)).select(
+    struct = lambda text: F.struct(*[c.alias(n) for n, c in facts(F.col(text)).items()])
+    # The texts are columns of their own: each fact would else decode them anew.
+    decoded = _read(pieces.where(F.col("high") - F.col("low") <= LARGEST)).select(
         "path", "segment", "unread", valid.alias("valid"), F.contains(content, F.lit(b"\r")).alias("crlf"),
-        F.when(valid, struct(_utf(content))).alias("utf"), F.when(~valid | ~plain, struct(_latin(content))).alias("latin"),
+        F.when(valid, _utf(content)).alias("utf"), F.when(~valid | ~plain, _latin(content)).alias("latin"),
     )
+    told = decoded.withColumns({n: F.when(F.col(n).isNotNull(), struct(n)) for n in ("utf", "latin")})
     told = materialise(told, "facts", folders=folders)
     whole = told.groupBy("path").agg(F.bool_and("valid").alias("valid"), F.bool_or("crlf").alias("had_crlf"), F.max("unread").alias("unread"))
     long = pieces.groupBy("path").agg(F.max(F.col("high") - F.col("low")).alias("longest")).where(F.col("longest") > LARGEST)
