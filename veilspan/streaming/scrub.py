@@ -15,12 +15,21 @@ from veilspan.plans.scan import scan
 from veilspan.sources import manifest
 
 
+def _dealt(documents: DataFrame) -> DataFrame:
+    """A batch of few scan splits dealt to four tasks a core; one with more stays where it is read.
+
+    A batch is often one file, and a file one split or one row group: a single task would then match all its texts.
+    """
+    wide = 4 * documents.sparkSession.sparkContext.defaultParallelism
+    return documents.repartition(wide) if documents.rdd.getNumPartitions() < wide else documents
+
+
 def scrub_batch(documents: DataFrame, batch: int, root: str, stream: str = "stream", key: str = "path", compact_every: int = 100, **options) -> None:
     """One batch of documents (key, text), published once; ``options`` are those of ``scan``."""
     spark = documents.sparkSession
     if manifest.current(spark, root).batches.get(stream, -1) >= batch:
         return
-    with scan(documents, key, "text", **options) as result:
+    with scan(_dealt(documents), key, "text", **options) as result:
         entry = manifest.write_batch(result.redacted, root, stream, batch, key)
     if entry is not None and len(entry.chain) > compact_every:
         manifest.compact(spark, root, key)
